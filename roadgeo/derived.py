@@ -130,8 +130,8 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Track points, one per event."""
+def vehicles(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Track points, one per event; ``keep`` names event columns to keep."""
     return (
         _read(spark, sf_dir, "events")
         .selectExpr(
@@ -139,6 +139,7 @@ def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
             "(15900000 + (event_id % 1000) * 100) / 1e6D as lon",
             "concat('user ', user_id) as track",
             "if(event_id % 11 = 0, null, ts) as time",
+            *keep,
         )
         .withColumn("geometry", st_point("lon", "lat"))
     )
