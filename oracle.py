@@ -328,6 +328,29 @@ def oracle_sql() -> dict[str, str]:
             SELECT id, round(min(sqrt(power(wx - t * dx, 2) + power(wy - t * dy, 2))), 9)
               AS distance FROM q GROUP BY id"""
         ),
+        "intersects_window_pairs": _osm(
+            """, s AS (
+              SELECT way_id, x1 - ox AS x1, y1 - oy AS y1, x2 - x1 AS dx, y2 - y1 AS dy FROM (
+                SELECT *, 15.9 + (way_id % 100) * 0.004 AS ox, 45.8 + (way_id // 100) * 0.004 AS oy
+                FROM seg JOIN osm ON id = way_id WHERE x2 IS NOT NULL)),
+            tri AS (SELECT * FROM (VALUES
+              (0.000051, 0.000037, 0.002053, 0.001041), (0.002053, 0.001041, 0.001029, 0.003043),
+              (0.001029, 0.003043, 0.000051, 0.000037)) v(px, py, qx, qy)),
+            -- left of every side: f(t) = f0 + t * df >= 0
+            half AS (
+              SELECT way_id, x1, y1, dx, dy,
+                (qx - px) * (y1 - py) - (qy - py) * (x1 - px) AS f0,
+                (qx - px) * dy - (qy - py) * dx AS df
+              FROM s, (SELECT px::DOUBLE AS px, py::DOUBLE AS py, qx::DOUBLE AS qx,
+                              qy::DOUBLE AS qy FROM tri)),
+            part AS (
+              SELECT way_id,
+                max(CASE WHEN df > 0 THEN -f0 / df WHEN df = 0 AND f0 < 0 THEN 2 ELSE 0 END) AS t0,
+                min(CASE WHEN df < 0 THEN -f0 / df ELSE 1 END) AS t1
+              FROM half GROUP BY way_id, x1, y1, dx, dy)
+            SELECT way_id AS id, bool_or(greatest(t0, 0) <= least(t1, 1)) AS intersects
+            FROM part GROUP BY way_id"""
+        ),
         "distance_join_all": NEARBY,
         "distance_join_close": CLOSE,
         "range_filter_bbox": f"""WITH {BASE}, {WINDOW}

@@ -138,7 +138,7 @@ def vehicles(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
             "(45800000 + (event_id % 777) * 100) / 1e6D as lat",
             "(15900000 + (event_id % 1000) * 100) / 1e6D as lon",
             "concat('user ', user_id) as track",
-            "if(event_id % 11 = 0, null, ts) as time",
+            "if(event_id % 11 = 0, null, cast(ts as timestamp)) as time",
             *keep,
         )
         .withColumn("geometry", st_point("lon", "lat"))

@@ -1,6 +1,7 @@
 """Geometry and file name functions."""
 
 from roadgeo.functions.arrow import (
+    distance_once,
     st_aswkb,
     st_buffer,
     st_distance,

@@ -39,7 +39,9 @@ def _pairwise(kernel, return_type: T.DataType, arrow_type: pa.DataType, empty_is
             null = null | np.isnan(values)
         return pa.array(values, arrow_type, mask=null)
 
-    def call(left: Column | str, right: Column | str, wkt: str | None = None) -> Column:
+    def call(
+        left: Column | str, right: Column | str, wkt: str | None = None, once: bool = False
+    ) -> Column:
         if wkt is not None:
             fixed = _constant(wkt)
 
@@ -57,7 +59,8 @@ def _pairwise(kernel, return_type: T.DataType, arrow_type: pa.DataType, empty_is
             values = kernel(kernels.Outline.of(a), kernels.Outline.of(b))
             return result(a, values, ~(a.valid & b.valid))
 
-        return against_column(left, right)
+        f = against_column.asNondeterministic() if once else against_column
+        return f(left, right)
 
     return call
 
@@ -85,6 +88,15 @@ def st_distance(
     return _distance(a, b, wkt)
 
 
+def distance_once(a: Column | str, b: Column | str) -> Column:
+    """``st_distance`` for a column that is filtered on next.
+
+    The optimizer would push such a filter below the projection and so compute the distance twice;
+    it leaves a function alone that it takes for nondeterministic.
+    """
+    return _distance(a, b, once=True)
+
+
 @named
 def st_buffer(g: Column | str, d: float) -> Column:
     """All points within ``d`` of a point or line: round caps and joins, 8 segments per quarter.

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadgeo.functions import bbox, line_from_vertices, st_distance
+from roadgeo.functions import bbox, distance_once, line_from_vertices
 from roadgeo.types import BBOX_COLUMNS, has_bbox
 
 HOT_CELL_ROWS = 100_000  # rows of one side in one cell beyond which the cell is split
@@ -224,6 +224,6 @@ def distance_join(
         a, b, d, key=key, geom=geom, once=once, cell=cell, hot_rows=hot_rows
     )
     own = [c for c in pairs.columns if c not in ("a_g", "b_g")]
-    near = pairs.withColumn("distance", st_distance("a_g", "b_g")).filter(F.col("distance") < d)
+    near = pairs.withColumn("distance", distance_once("a_g", "b_g")).filter(F.col("distance") < d)
     # the pieces of a long line may meet the same row several times
     return near.groupBy(*own).agg(F.min("distance").alias("distance"))

@@ -22,7 +22,7 @@ from roadgeo.functions import (
 )
 from roadgeo.operators.distance_join import distance_join
 from roadgeo.operators.range_filter import range_filter
-from roadgeo.types import BBOX_COLUMNS as BOX
+from roadgeo.types import BBOX_COLUMNS
 
 # Fixed values of the query catalogue.
 MAJOR_ROADS = ("primary", "secondary", "tertiary")
@@ -33,6 +33,8 @@ MANY_POINTS = 10
 ROW_LIMIT = 100
 BUFFER_ROW_LIMIT = 50
 
+HEAD_ROADS = 1000  # roads tried first when only the first pairs are wanted
+
 
 def tag(roads: DataFrame, key: str) -> Column:
     """Value of a tag: from its own column ``tag_<key>`` if stored, else from the map."""
@@ -106,8 +108,12 @@ def roads_by_surface(roads: DataFrame) -> DataFrame:
 
 
 def _first_by_id(roads: DataFrame, n: int) -> DataFrame:
-    """The ``n`` rows of lowest id; only they reach the projection above."""
-    return roads.orderBy("id").limit(n)
+    """The ``n`` rows of lowest id, as one small partition.
+
+    The optimizer would move a projection below the limit and so run it on every row; it does not
+    move it below a coalesce.
+    """
+    return roads.orderBy("id").limit(n).coalesce(1)
 
 
 def envelope_bbox(roads: DataFrame) -> DataFrame:
@@ -138,7 +144,10 @@ def named_roads_with_lanes(roads: DataFrame) -> DataFrame:
         _named(roads)
         .filter(lanes.isNotNull())
         .select("id", _name(roads), _highway(roads), lanes.alias("num_lanes"), _length())
-        .orderBy(F.col("num_lanes").try_cast("int").desc_nulls_last(), "id")
+        # a column of its own: a sort evaluates its keys at every comparison
+        .withColumn("number", F.col("num_lanes").try_cast("int"))
+        .orderBy(F.col("number").desc_nulls_last(), "id")
+        .drop("number")
     )
 
 
@@ -202,18 +211,19 @@ def road_complexity(roads: DataFrame) -> DataFrame:
         .withColumn("num_points", num_points)
         .orderBy(F.desc("num_points"), "id")
         .limit(ROW_LIMIT)
+        .coalesce(1)
         .select("id", _name(roads), _highway(roads), "num_points", _length())
         .withColumn("avg_segment_length", F.col("length") / F.col("num_points"))
     )
 
 
-def nearby_roads(roads: DataFrame, distance: float = NEARBY_DISTANCE) -> DataFrame:
-    """All pairs of named roads nearer than ``distance``, each pair once."""
+def _nearby_side(roads: DataFrame) -> DataFrame:
     named = _named(roads)
-    side = named.select(
-        "id", _name(named), "geometry", *[c for c in named.columns if c in BOX]
-    )
-    pairs = distance_join(side, side, distance, once=True)
+    boxes = [c for c in named.columns if c in BBOX_COLUMNS]
+    return named.select("id", _name(named), "geometry", *boxes)
+
+
+def _as_nearby(pairs: DataFrame) -> DataFrame:
     return pairs.select(
         F.col("a_id").alias("road1_id"),
         F.col("a_road_name").alias("road1_name"),
@@ -223,5 +233,24 @@ def nearby_roads(roads: DataFrame, distance: float = NEARBY_DISTANCE) -> DataFra
     )
 
 
-def self_join_nearby(roads: DataFrame) -> DataFrame:
-    return nearby_roads(roads).orderBy("road1_id", "road2_id").limit(ROW_LIMIT)
+def nearby_roads(roads: DataFrame, distance: float = NEARBY_DISTANCE) -> DataFrame:
+    """All pairs of named roads nearer than ``distance``, each pair once."""
+    side = _nearby_side(roads)
+    return _as_nearby(distance_join(side, side, distance, once=True))
+
+
+def self_join_nearby(
+    roads: DataFrame, distance: float = NEARBY_DISTANCE, head: int = HEAD_ROADS
+) -> DataFrame:
+    """The first pairs of nearby named roads, by ids.
+
+    The first pairs nearly always start at one of the first roads. So the ``head`` roads of lowest
+    id are tried first, a side small enough to be broadcast to the other; one small job counts
+    whether they give enough pairs. Only if they do not is the whole join planned.
+    """
+    side = _nearby_side(roads)
+    first = side.orderBy("id").limit(head).coalesce(1)
+    pairs = distance_join(first, side, distance, once=True, hot_rows=None)
+    if pairs.limit(ROW_LIMIT).count() < ROW_LIMIT:
+        pairs = distance_join(side, side, distance, once=True)
+    return _as_nearby(pairs).orderBy("road1_id", "road2_id").limit(ROW_LIMIT)
