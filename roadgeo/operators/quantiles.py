@@ -21,20 +21,21 @@ def exact_quantiles(
     distinct value, and the wanted ranks are picked among those. If a bracket ever failed to hold
     its rank, the job would stop instead of giving a wrong number.
     """
-    df = df.select(group, value).filter(F.col(value).isNotNull())
+    df = df.select(F.col(group).alias("own"), F.col(value).cast("double").alias("v"))
+    df = df.filter(F.col("v").isNotNull())
     slack = 2.0 / accuracy
     cuts = [p + s for p in probabilities for s in (-slack, slack)]
     cuts = [min(max(c, 0.0), 1.0) for c in cuts]
-    marks = df.groupBy(group).agg(
+    marks = df.groupBy("own").agg(
         F.count(F.lit(1)).alias("n"),
-        F.min(value).alias("least"),
-        F.max(value).alias("most"),
-        F.percentile_approx(value, cuts, accuracy).alias("m"),
+        F.min("v").alias("least"),
+        F.max("v").alias("most"),
+        F.percentile_approx("v", cuts, accuracy).alias("m"),
     )
     # in a small group the slack is less than one rank; its bracket holds all of it
     small = F.col("n") <= 10 * accuracy
     brackets = marks.select(
-        F.col(group).alias("g"),
+        F.col("own").alias("g"),
         "n",
         F.array(
             *[
@@ -52,23 +53,19 @@ def exact_quantiles(
             ]
         ).alias("brackets"),
     )
-    # one pass: each row is below, inside or above each bracket; those above are not needed
+    # each row is below (-1), inside (0) or above (1) each bracket; only those inside keep a value
+    side = (
+        F.when(F.col("v") < F.col("b.lo"), -1).when(F.col("v") > F.col("b.hi"), 1).otherwise(0)
+    )
     spread = (
-        df.join(brackets, F.col(group).eqNullSafe(F.col("g")))
-        .select("g", "n", F.explode("brackets").alias("b"), F.col(value).cast("double").alias("v"))
-        .filter(F.col("v") <= F.col("b.hi"))
-        .select(
-            "g",
-            "n",
-            "b.i",
-            "b.at",
-            F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("v"),
-        )
-        .groupBy("g", "n", "i", "at", "v")
+        df.join(brackets, F.col("own").eqNullSafe(F.col("g")))
+        .select("g", "n", F.explode("brackets").alias("b"), "v")
+        .select("g", "n", "b.i", "b.at", side.alias("side"), "v")
+        .withColumn("v", F.when(F.col("side") == 0, F.col("v")))
+        .groupBy("g", "n", "i", "at", "side", "v")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    # NULLs, the rows below the bracket, sort first
-    order = W.partitionBy("g", "i").orderBy(F.col("v").asc_nulls_first())
+    order = W.partitionBy("g", "i").orderBy("side", "v")
     ranked = spread.withColumn("upto", F.sum("times").over(order))
     low, high = F.floor("at"), F.ceil("at")
 
