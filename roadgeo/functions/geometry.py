@@ -59,7 +59,7 @@ def _line_vertices(g: Column) -> Column:
 
 def _over_segments(v: Column, f) -> Column:
     """Array of ``f(p, q)`` over the consecutive vertex pairs of ``v``."""
-    n = F.greatest(F.size(v) - 1, F.lit(0))
+    n = F.greatest(F.array_size(v) - 1, F.lit(0))
     return F.zip_with(F.slice(v, F.lit(1), n), F.slice(v, F.lit(2), n), f)
 
 
@@ -120,8 +120,8 @@ def st_makeline(points: Column | str) -> Column:
     v = F.flatten(vertices)
     return (
         F.when(points.isNull(), F.lit(None))
-        .when(F.size(v) == 1, F.raise_error(F.lit("a line needs no vertex or at least two")))
-        .when(F.size(v) == 0, geometry(LINESTRING, F.slice(F.array(v), F.lit(1), F.lit(0))))
+        .when(F.array_size(v) == 1, F.raise_error(F.lit("a line needs no vertex or at least two")))
+        .when(F.array_size(v) == 0, geometry(LINESTRING, F.slice(F.array(v), F.lit(1), F.lit(0))))
         .otherwise(line_from_vertices(v))
     )
 
@@ -145,7 +145,7 @@ def st_length(g: Column | str) -> Column:
 def st_numpoints(g: Column | str) -> Column:
     """Number of vertices of a line; NULL for other geometries."""
     g = _col(g)
-    return F.when(_is_line(g), F.coalesce(F.size(_first_part(g)), F.lit(0)))
+    return F.when(_is_line(g), F.coalesce(F.array_size(_first_part(g)), F.lit(0)))
 
 
 def _ring_doubled_area(ring: Column) -> Column:
@@ -311,7 +311,7 @@ def st_centroid(g: Column | str) -> Column:
             _boundary_moments(g),
             lambda b: F.when(b["w"] != 0, point(b)).otherwise(point(_vertex_moments(g))),
         )
-        filled = g.isNotNull() & (F.size(F.flatten(g["parts"])) > 0)
+        filled = g.isNotNull() & (F.array_size(F.flatten(g["parts"])) > 0)
         return F.when(
             filled,
             _let(by_area, lambda a: F.when(a["w"] != 0, point(a)).otherwise(by_length_or_vertex)),
@@ -323,7 +323,7 @@ def st_centroid(g: Column | str) -> Column:
 def _end_point(g: Column | str, index: int) -> Column:
     v = _line_vertices(_col(g))
     return F.when(
-        F.size(v) > 0, geometry(POINT, F.array(F.array(F.try_element_at(v, F.lit(index)))))
+        F.array_size(v) > 0, geometry(POINT, F.array(F.array(F.try_element_at(v, F.lit(index)))))
     )
 
 
@@ -414,7 +414,7 @@ def st_geomfromwkt(text: Column | str) -> Column:
     parsed = F.struct(kind.alias("type"), parts.alias("parts"))
     open_ring = F.exists(
         parts,
-        lambda r: (F.size(r) < 4)
+        lambda r: (F.array_size(r) < 4)
         | (F.try_element_at(r, F.lit(1)) != F.try_element_at(r, F.lit(-1))),
     )
     bad = ~text.rlike("(?i)" + WKT_PATTERN) | (kind.isin(POLYGON, MULTIPOLYGON) & open_ring)
@@ -443,7 +443,7 @@ def st_astext(g: Column | str) -> Column:
     paths = F.transform(g["parts"], _path_text)
     shells = F.transform(paths, lambda t: F.concat(F.lit("("), t, F.lit(")")))
     body = (
-        F.when(F.size(g["parts"]) == 0, F.lit("EMPTY"))
+        F.when(F.array_size(g["parts"]) == 0, F.lit("EMPTY"))
         .when(g["type"].isin(POINT, LINESTRING), F.get(paths, F.lit(0)))
         .when(
             g["type"] == POLYGON,

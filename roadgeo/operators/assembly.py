@@ -21,7 +21,7 @@ def _located() -> Column:
 
 
 def _has_refs() -> Column:
-    return F.coalesce(F.size("refs"), F.lit(0)) > 0
+    return F.coalesce(F.array_size("refs"), F.lit(0)) > 0
 
 
 def _count_if(df: DataFrame, observation: Observation | None, condition: Column, name: str):
@@ -96,16 +96,16 @@ def ways(
         .groupBy("way_id")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("v"))
     )
-    gathered = _count_if(gathered, too_short, F.size("v") < 2, "ways_with_one_vertex")
-    lines = gathered.filter(F.size("v") >= 2).select(
+    gathered = _count_if(gathered, too_short, F.array_size("v") < 2, "ways_with_one_vertex")
+    lines = gathered.filter(F.array_size("v") >= 2).select(
         F.col("way_id").alias("id"),
-        F.size("v").alias("n_vertices"),
+        F.array_size("v").alias("n_vertices"),
         line_from_vertices(
             F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
         ).alias("geometry"),
     )
     described = of_kind(elements, "way").filter(_has_refs())
-    joined = described.select("id", "tags", F.size("refs").alias("n_refs")).join(lines, "id")
+    joined = described.select("id", "tags", F.array_size("refs").alias("n_refs")).join(lines, "id")
     if require_complete:
         joined = joined.filter(F.col("n_refs") == F.col("n_vertices"))
     return joined.select("id", "tags", "geometry")

@@ -66,7 +66,7 @@ def _pieces(geom: str, span: float) -> Column:
     """Array of (box, geometry): the whole row, or the segments of a long line."""
     g = F.col(geom)
     v = F.get(g["parts"], F.lit(0))
-    n = F.greatest(F.size(v) - 1, F.lit(0))
+    n = F.greatest(F.array_size(v) - 1, F.lit(0))
     segments = F.zip_with(
         F.slice(v, F.lit(1), n),
         F.slice(v, F.lit(2), n),

@@ -139,7 +139,7 @@ def osm_ways_dropped(spark, sf_dir):
     elements = _elements(spark, sf_dir)
     kept = assembly.ways(elements).select("id")
     all_ways = assembly.of_kind(elements, "way").select(
-        "id", F.coalesce(F.size("refs"), F.lit(0)).cast("bigint").alias("n_refs")
+        "id", F.coalesce(F.array_size("refs"), F.lit(0)).cast("bigint").alias("n_refs")
     )
     return all_ways.join(kept, "id", "left_anti")
 
@@ -408,7 +408,7 @@ def json_result_no_geometry(spark, sf_dir):
 
 def run_timing(spark, sf_dir):
     timing = runs.run_timing(derived.runs(spark, sf_dir))
-    size = F.size("execution_times").cast("bigint")
+    size = F.array_size("execution_times").cast("bigint")
     return _rounded(
         timing.select(
             "query",
