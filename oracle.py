@@ -334,8 +334,9 @@ def oracle_sql() -> dict[str, str]:
                 SELECT *, 15.9 + (way_id % 100) * 0.004 AS ox, 45.8 + (way_id // 100) * 0.004 AS oy
                 FROM seg JOIN osm ON id = way_id WHERE x2 IS NOT NULL)),
             tri AS (SELECT * FROM (VALUES
-              (0.000051, 0.000037, 0.002053, 0.001041), (0.002053, 0.001041, 0.001029, 0.003043),
-              (0.001029, 0.003043, 0.000051, 0.000037)) v(px, py, qx, qy)),
+              (0.0000513171, 0.0000377393, 0.0020533719, 0.0010417153),
+              (0.0020533719, 0.0010417153, 0.0010291733, 0.0030435927),
+              (0.0010291733, 0.0030435927, 0.0000513171, 0.0000377393)) v(px, py, qx, qy)),
             -- left of every side: f(t) = f0 + t * df >= 0
             half AS (
               SELECT way_id, x1, y1, dx, dy,

@@ -104,7 +104,7 @@ def ways(
             F.transform("v", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
         ).alias("geometry"),
     )
-    described = of_kind(elements, "way").filter(_has_refs())
+    described = of_kind(elements, "way")  # its refs are read again only where they are compared
     joined = described.select("id", "tags", F.array_size("refs").alias("n_refs")).join(lines, "id")
     if require_complete:
         joined = joined.filter(F.col("n_refs") == F.col("n_vertices"))

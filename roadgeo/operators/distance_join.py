@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from roadgeo.functions import bbox, distance_once, line_from_vertices
 from roadgeo.types import BBOX_COLUMNS, has_bbox
 
-HOT_CELL_ROWS = 100_000  # rows of one side in one cell beyond which the cell is split
+HOT_CELL_ROWS = 20_000  # rows of one side in one cell beyond which the cell is split
 MAX_HOT_CELLS = 10_000  # bound of the broadcast table of split cells
 
 BOX = "box"

@@ -240,8 +240,9 @@ def intersects_window_pairs(spark, sf_dir):
     def corner(dx, dy):
         return F.struct((x + dx).alias("x"), (y + dy).alias("y"))
 
-    first = corner(0.000051, 0.000037)
-    ring = F.array(first, corner(0.002053, 0.001041), corner(0.001029, 0.003043), first)
+    # corners off every line through two nodes: a touch there would be decided by rounding
+    first = corner(0.0000513171, 0.0000377393)
+    ring = F.array(first, corner(0.0020533719, 0.0010417153), corner(0.0010291733, 0.0030435927), first)
     window = F.struct(F.lit("POLYGON").alias("type"), F.array(ring).alias("parts"))
     return _ways(spark, sf_dir).select(
         "id", st_intersects("geometry", window).alias("intersects")
