@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -9,8 +12,15 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared folder; a local one only where none is set."""
+    """A fresh path in the cluster's shared folder, spark.checkpoint.dir.
+
+    Where that is unset, a local master gets a folder of its own that goes when the process ends; a cluster gets an
+    error, since the driver's folder is not the executors'."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/roadgeo-{uuid.uuid4().hex}/{name}"
-    return f"{tempfile.mkdtemp(prefix='roadgeo-')}/{name}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = os.path.join(tempfile.gettempdir(), f"roadgeo-{uuid.uuid4().hex}")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"{own}/{name}"
