@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -60,3 +64,34 @@ def by_row(df: DataFrame, row: Callable[..., tuple], schema: str) -> DataFrame:
 def held_out(doc_id) -> F.Column:
     """Whether a document's label may not be learnt from. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == HELD_OUT, F.lit(False))
+
+
+def partition_sums(df: DataFrame, add: Callable[[dict[str, np.ndarray]], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows of add(columns of a batch), a vector of fixed size.
+
+    Each partition adds up its own rows; the vectors meet in about as many groups as there are rows to a group, and then
+    in one, so that no task and not the driver holds more than the square root of their number at once."""
+    slots = max(1, math.isqrt(shuffle_partitions(df.sparkSession)))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for batch in batches:
+            if len(batch):
+                total += add({c: batch[c].to_numpy() for c in batch.columns})
+        yield pd.DataFrame({"slot": [TaskContext.get().partitionId() % slots], "sums": [total.tobytes()]})
+
+    def whole(group: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size)
+        for x in group["sums"]:
+            total += np.frombuffer(x)
+        return pd.DataFrame({"slot": [0], "sums": [total.tobytes()]})
+
+    schema = "slot int, sums binary"
+    sums = df.mapInPandas(partial, schema).groupBy("slot").applyInPandas(whole, schema).groupBy("slot").applyInPandas(whole, schema).collect()
+    return np.frombuffer(sums[0]["sums"]) if sums else np.zeros(size)
+
+
+def learnable(labels: DataFrame, mark: str) -> DataFrame:
+    """doc_id and y, the mean of its marks, for the ids that may be learnt from."""
+    known = labels.where(F.col(mark).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id"))
+    return known.groupBy("doc_id").agg(F.avg(mark).alias("y"))

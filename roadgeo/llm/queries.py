@@ -7,13 +7,29 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadgeo.llm import bpe, mixing, rules, secret_scan
+from roadgeo.llm import bpe, mixing, quality, rules, secret_scan, site_tree, topk, toxicity
 from roadgeo.llm.common import table
 
 #: Rank file of the encoding queries, by path.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_tree.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_block_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
@@ -31,6 +47,10 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_tree": op1_site_tree,
+    "op2_block_top_k": op2_block_top_k,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_byte_bpe": op5_byte_bpe,
     "op7_secret_scan": op7_secret_scan,
     "op8_poisson_mix": op8_poisson_mix,
@@ -87,7 +107,22 @@ f as (select *, ({bits})::bigint as failed from m)
 select *, {bad(rules.BASE)} as base_failed, not ({bad(rules.BASE)}) and not ({bad(rules.POLICIES[rules.CURRENT])}) as kept, '{rules.CURRENT}' as policy from f"""
 
 
+def _top_k_sql() -> str:
+    return f"""
+with v as (
+    select row_number() over () as r, vec_id, [floor({topk.SCALE} * x::double)::bigint for x in embedding] as parts
+    from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+    select q.r, q.vec_id as query_id, c.vec_id,
+        list_sum(list_transform(list_zip(q.parts, c.parts), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0)))::bigint as score
+    from v q join v c on q.vec_id % {topk.EVERY} = 0 and c.vec_id <> q.vec_id),
+ranked as (select *, row_number() over (partition by query_id, r order by score desc, vec_id)::int as rank from pairs)
+select query_id, rank, vec_id, score from ranked where rank <= {topk.K}"""
+
+
 ORACLE: dict[str, str] = {
+    "op2_block_top_k": _top_k_sql(),
     "op8_poisson_mix": _mix_sql(),
     "op9_rule_ledger": _ledger_sql(),
 }
