@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadgeo.llm import bpe, mixing, quality, rules, secret_scan, site_tree, topk, toxicity
+from roadgeo.llm import bpe, mixing, quality, rules, secret_scan, shingle_join, site_tree, topk, toxicity
 from roadgeo.llm.common import table
 
 #: Rank file of the encoding queries, by path.
@@ -34,6 +34,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op6_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.link(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_quality": op4_quality,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_shingle_join": op6_shingle_join,
     "op7_secret_scan": op7_secret_scan,
     "op8_poisson_mix": op8_poisson_mix,
     "op9_rule_ledger": op9_rule_ledger,
