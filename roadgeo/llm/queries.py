@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roadgeo.llm import bpe, mixing, quality, rules, secret_scan, shingle_join, site_tree, topk, toxicity
+from roadgeo.llm import bpe, mixing, quality, rules, secret_scan, shingle_join, site_tree, substring_dedup, topk, toxicity
 from roadgeo.llm.common import table
 
 #: Rank file of the encoding queries, by path.
@@ -50,6 +50,10 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_tree": op1_site_tree,
     "op2_block_top_k": op2_block_top_k,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_poisson_mix": op8_poisson_mix,
     "op9_rule_ledger": op9_rule_ledger,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 

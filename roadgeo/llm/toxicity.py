@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from roadgeo.llm.common import by_batch, by_row, held_out, learnable, staged
 
 SAMPLE, VOCABULARY, LEAST_DF = 20_000, 60_000, 3
-MINED, SHARDS = 600, 6
+#: Mined tokens at most, the voters they are dealt to, and the log odds and marked documents that a mined token has at least.
+MINED, SHARDS, ODDS, LEAST_TOXIC = 600, 6, 3.5, 4
 THRESHOLD = 0.3
 WORD = re.compile(r"[^\W\d_]+")
-BEGINNINGS = (4, 5, 6, 7)
+BEGINNINGS = (4, 6)
 
 # Common insults of four languages, a voter each.
 LEXICONS = {
@@ -120,16 +121,18 @@ def fit_label_model(bits: np.ndarray, counts: np.ndarray, prior: float, rounds:
     return model
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, size: int, steps: int = 150, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def train(rows: list[np.ndarray], target: np.ndarray, size: int, steps: int = 150, decay: float = 6e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on rows of present features, by gradient steps scaled to each feature."""
     which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     cols = np.concatenate(rows) if len(rows) else np.zeros(0, int)
     w, bias = np.zeros(size), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))) if len(target) else -2.0
     seen, seen_bias = np.full(size, 1e-8), 1e-8
+    held = np.ones(size)
+    held[size - len(VOTERS) :] = 0.05  # votes are trusted more than single words
     for _ in range(steps if len(target) else 0):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(which, w[cols], len(rows)) + bias, -30, 30)))
         rest = (p - target) / len(target)
-        g = np.bincount(cols, rest[which], size) + decay * w
+        g = np.bincount(cols, rest[which], size) + decay * w * held
         seen += g * g
         seen_bias += rest.sum() ** 2
         w -= 0.3 * g / np.sqrt(seen)
@@ -139,23 +142,28 @@ def train(rows: list[np.ndarray], target: np.ndarray, size: int, steps: int = 15
 
 @dataclass
 class Model:
-    weights: dict[str, float]
-    vote_weights: np.ndarray
+    index: dict[str, int]
+    weights: np.ndarray  # of the tokens, then of the voters
     bias: float
     voters: Voters
     labels: LabelModel
 
+    def of(self, bits: int, ids: list[int]) -> float:
+        """Score from votes and token numbers."""
+        x = self.bias + self.weights[ids].sum() if ids else self.bias
+        x += sum(w for i, w in enumerate(self.weights[len(self.index) :].tolist()) if bits >> i & 1)
+        return float(1 / (1 + np.exp(-min(max(x, -30.0), 30.0))))
+
     def score(self, text: str | None) -> float:
         found = tokens(text)
-        get = self.weights.get
-        x = self.bias + sum([get(t, 0.0) for t in found])
-        bits = self.voters(text, found)
-        x += sum(w for i, w in enumerate(self.vote_weights) if bits >> i & 1)
-        return float(1 / (1 + np.exp(-min(max(x, -30.0), 30.0))))
+        return self.of(self.voters(text, found), [self.index[t] for t in found if t in self.index])
+
 
+_SEEN = "doc_id bigint, bits int, ids array<int>"
 
-def fit(docs: DataFrame, labels: DataFrame, mark: str = "toxic") -> Model:
-    """Voters, their label model over all documents, and a classifier on the posteriors of a bounded sample."""
+
+def fit(docs: DataFrame, labels: DataFrame, mark: str = "toxic") -> tuple[Model, DataFrame]:
+    """Voters, their label model over all documents, and a classifier on the posteriors of a bounded sample; and the votes and tokens of all documents."""
     sample = learnable(labels, mark).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     sample = staged(sample, "toxicity-sample")
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "y")  # at most SAMPLE ids
@@ -168,40 +176,43 @@ def fit(docs: DataFrame, labels: DataFrame, mark: str = "toxic") -> Model:
     # A token tells if it is far more common in marked documents, and in at least a few of them.
     odds = np.log(((vocabulary["toxic"] + 0.1) / (toxic + 0.2)) / ((vocabulary["n"] - vocabulary["toxic"] + 0.5) / (n - toxic + 1))) if n else np.zeros(0)
     telling = vocabulary.assign(odds=odds, strength=odds * np.sqrt(vocabulary["toxic"]))
-    telling = telling[(telling["odds"] > 2.5) & (telling["toxic"] >= 3)].nlargest(MINED, "strength")["token"].tolist()
+    telling = telling[(telling["odds"] > ODDS) & (telling["toxic"] >= LEAST_TOXIC)].nlargest(MINED, "strength")["token"].tolist()
     shards = [frozenset(telling[i::SHARDS]) for i in range(SHARDS)]
     voters = Voters([*(frozenset(words.split()) for words in LEXICONS.values()), *shards])
 
-    def voted(text):
-        return (voters(text, tokens(text)),)
+    index = {t: i for i, t in enumerate(vocabulary["token"])}
+
+    def described(ids, texts):
+        for doc_id, text in zip(ids, texts):
+            found = tokens(text)
+            yield doc_id, voters(text, found), [index[t] for t in found if t in index]
 
-    patterns = by_row(docs.select("text"), voted, "bits int").groupBy("bits").count().toPandas()  # at most 2 ** voters rows
-    prior = toxic / n if n else 0.1
-    labels_of = fit_label_model(patterns["bits"].to_numpy(), patterns["count"].to_numpy(), prior)
+    seen = staged(by_batch(docs.select("doc_id", "text"), described, _SEEN), "toxicity-seen")
+    patterns = seen.groupBy("bits").count().toPandas()  # at most 2 ** voters rows
+    labels_of = fit_label_model(patterns["bits"].to_numpy(), patterns["count"].to_numpy(), toxic / n if n else 0.1)
 
-    index = {t: i for i, t in enumerate(vocabulary["token"])}
-    rows = by_row(known.select("text", "tokens"), lambda text, found: ([index[t] for t in found if t in index], voters(text, set(found))), "ids array<int>, bits int").toPandas()
-    votes = unpacked(rows["bits"].to_numpy()) if len(rows) else np.zeros((0, len(VOTERS)))
-    target = labels_of.posterior(votes) if len(rows) else np.zeros(0)
-    features = [np.concatenate([np.asarray(ids, int), len(index) + np.flatnonzero(v)]) for ids, v in zip(rows["ids"], votes)]
-    w, bias = train(features, target, len(index) + len(VOTERS))
+    taught = seen.join(F.broadcast(sample), "doc_id").select("bits", "ids").toPandas()  # at most SAMPLE ids
+    votes = unpacked(taught["bits"].to_numpy()) if len(taught) else np.zeros((0, len(VOTERS)))
+    target = labels_of.posterior(votes) if len(taught) else np.zeros(0)
+    rows = [np.concatenate([np.asarray(ids, int), len(index) + np.flatnonzero(v)]) for ids, v in zip(taught["ids"], votes)]
+    w, bias = train(rows, target, len(index) + len(VOTERS))
     if not len(rows):  # no labels: the voters themselves
         w[len(index) :] = (np.log(labels_of.fires[1]) - np.log(labels_of.fires[0])) * labels_of.weight
-    weights = {t: float(w[i]) for t, i in index.items() if abs(w[i]) > 1e-3}
-    return Model(weights, w[len(index) :], bias, voters, labels_of)
+    return Model(index, w, bias, voters, labels_of), seen
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of each document."""
+def score(seen: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score and predicted of each row of votes and tokens."""
 
-    def rows(ids, texts):
-        scores = [model.score(t) for t in texts]
-        return ((i, s, int(s >= threshold)) for i, s in zip(ids, scores))
+    def rows(doc_ids, bits, ids):
+        scores = [model.of(b, i) for b, i in zip(bits, ids)]
+        return ((d, s, int(s >= threshold)) for d, s in zip(doc_ids, scores))
 
-    scored = by_batch(docs.select("doc_id", "text"), rows, "doc_id bigint, score double, predicted int")
+    scored = by_batch(seen.select("doc_id", "bits", "ids"), rows, "doc_id bigint, score double, predicted int")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every document's score."""
-    return score(docs, fit(docs, labels))
+    """Every document's score, from one pass over the texts and another over the sample's."""
+    model, seen = fit(docs, labels)
+    return score(seen, model)
