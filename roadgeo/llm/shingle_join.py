@@ -1,6 +1,7 @@
 """Jaccard self join on word shingles with signature trees, and the components of its links.
 
-Two sets of a and b elements reach the threshold only if they differ in at most (a + b) / 19 elements (for 90 of 100).
+Two sets of a and b elements whose intersection is t hundredths of the union differ in (a + b) (100 - t) / (100 + t)
+elements, one nineteenth of a + b for 90.
 So when the hash space is cut into one part more than that, at least one part of both holds the same elements. Texts
 with the same set are one class. A class has a fingerprint for every part of the tables of its size, and classes that
 agree in a part meet in a bucket. This places pairs without losing one, and without a shingle, however frequent,
@@ -35,9 +36,8 @@ from pyspark.sql import functions as F
 from roadgeo.llm.common import by_batch, staged
 from roadgeo.llm.components import components
 
+#: Words of a shingle, and the intersection in hundredths of the union from which on two sets are linked.
 WORDS, OF_UNION = 3, 90
-#: Share of the sum of sizes in which two sets may differ: (100 - t) / (100 + t).
-_DIFFER, _BOTH = 100 - OF_UNION, 100 + OF_UNION
 CHUNK, LEAF, FANOUT = 2048, 16, 8
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -57,20 +57,20 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def differences(table: int) -> int:
+def differences(table: int, of_union: int) -> int:
     """Elements in which two sets of a table may differ: its sizes lie below 2 ** (table + 1)."""
-    return _DIFFER * 2 * ((2 << table) - 1) // _BOTH
+    return (100 - of_union) * 2 * ((2 << table) - 1) // (100 + of_union)
 
 
-def n_parts(table: int) -> int:
+def n_parts(table: int, of_union: int) -> int:
     """One more than may differ, and some for parts that are empty in both sets."""
-    k = differences(table)
+    k = differences(table, of_union)
     return k + 2 + k // 40
 
 
-def fingerprints(h: np.ndarray, table: int) -> np.ndarray:
+def fingerprints(h: np.ndarray, table: int, of_union: int = OF_UNION) -> np.ndarray:
     """A 32-bit number for each part of the hash space, 0 for an empty part; -1 in front of parts whose emptiness counts as agreement."""
-    m = n_parts(table)
+    m = n_parts(table, of_union)
     edges = (np.arange(m, dtype=np.uint64) * np.uint64((1 << 64) // m)).astype(np.uint64)
     starts = np.searchsorted(h, edges)
     sizes = np.diff(np.append(starts, len(h)))
@@ -81,32 +81,37 @@ def fingerprints(h: np.ndarray, table: int) -> np.ndarray:
     out[out == 0] = 1
     out[sizes == 0] = 0
     # So many empty parts that all agreement could lie in them: they are keys too.
-    if (sizes == 0).sum() >= m - differences(table):
+    if (sizes == 0).sum() >= m - differences(table, of_union):
         out[sizes == 0] = -1
     return out
 
 
-def tables_of(n: int) -> list[int]:
+def tables_of(n: int, of_union: int = OF_UNION) -> list[int]:
     """Tables by size: a set's own, and the next one if a partner may lie in it. Sets that allow no difference have none."""
     own = n.bit_length() - 1
-    return [t for t in (own, own + 1) if differences(t) and (t == own or 100 * n >= OF_UNION * (1 << t))]
+    return [t for t in (own, own + 1) if differences(t, of_union) and (t == own or 100 * n >= of_union * (1 << t))]
 
 
 _SETS = "doc_id bigint, n_shingles bigint, set_key binary, tables array<struct<size:int,parts:array<int>>>"
 
 
-def _described(ids, texts):
-    for doc_id, text in zip(ids, texts):
-        h = shingles(text)
-        key = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
-        yield doc_id, len(h), key, [{"size": t, "parts": fingerprints(h, t).tolist()} for t in tables_of(len(h))] if len(h) else []
+def _described(words: int, of_union: int):
+    def rows(ids, texts):
+        for doc_id, text in zip(ids, texts):
+            h = shingles(text, words)
+            key = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
+            yield doc_id, len(h), key, [{"size": t, "parts": fingerprints(h, t, of_union).tolist()} for t in tables_of(len(h), of_union)] if len(h) else []
 
+    return rows
 
-def _sets_of(ids, texts):
-    for doc_id, text in zip(ids, texts):
-        h = shingles(text)
-        bits = bitmap(h)
-        yield doc_id, h.view(np.int64).tolist(), len(h), bits
+
+def _sets_of(words: int):
+    def rows(ids, texts):
+        for doc_id, text in zip(ids, texts):
+            h = shingles(text, words)
+            yield doc_id, h.view(np.int64).tolist(), len(h), bitmap(h)
+
+    return rows
 
 
 def bitmap(h: np.ndarray) -> bytes:
@@ -141,13 +146,13 @@ def _missing(every: np.ndarray, some: np.ndarray) -> np.ndarray:
     return np.bitwise_count(every & ~some).sum(axis=-1, dtype=np.int64)
 
 
-def _possible(x, i, y, j) -> np.ndarray:
+def _possible(x, i, y, j, of_union: int) -> np.ndarray:
     """Whether pairs of nodes may hold a pair of sets that reaches the threshold."""
     overlap = np.minimum(x[3][i] - _missing(x[1][i], y[0][j]), y[3][j] - _missing(y[1][j], x[0][i]))
-    return _BOTH * overlap >= OF_UNION * (x[2][i] + y[2][j])
+    return (100 + of_union) * overlap >= of_union * (x[2][i] + y[2][j])
 
 
-def joined(maps: np.ndarray, sizes: np.ndarray, other_maps: np.ndarray, other_sizes: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray]:
+def joined(maps: np.ndarray, sizes: np.ndarray, other_maps: np.ndarray, other_sizes: np.ndarray, once: bool, of_union: int = OF_UNION) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows whose bitmaps and sizes allow the threshold, by the traversal of both trees. once: the two are the same rows, and each pair is given once."""
     a, b = Tree(maps, sizes), Tree(other_maps, other_sizes)
     p, q = len(a.levels) - 1, len(b.levels) - 1
@@ -159,7 +164,7 @@ def joined(maps: np.ndarray, sizes: np.ndarray, other_maps: np.ndarray, other_si
         return wide[there], np.repeat(partner, fanout)[there]
 
     while p or q:
-        ok = _possible(a.levels[p], i, b.levels[q], j)
+        ok = _possible(a.levels[p], i, b.levels[q], j, of_union)
         i, j = i[ok], j[ok]
         if p >= q and p:
             p -= 1
@@ -169,7 +174,7 @@ def joined(maps: np.ndarray, sizes: np.ndarray, other_maps: np.ndarray, other_si
             j, i = below(j, i, FANOUT, len(b.levels[q][2]))
         if once and p == q:
             i, j = i[i <= j], j[i <= j]
-    ok = _possible(a.levels[0], i, b.levels[0], j)
+    ok = _possible(a.levels[0], i, b.levels[0], j, of_union)
     i, j = i[ok], j[ok]
     found = []
     rows, others = (maps, maps, sizes, sizes), (other_maps, other_maps, other_sizes, other_sizes)
@@ -178,97 +183,107 @@ def joined(maps: np.ndarray, sizes: np.ndarray, other_maps: np.ndarray, other_si
         y, x = below(y, x, LEAF, len(other_sizes))
         if once:
             x, y = x[x < y], y[x < y]
-        ok = _possible(rows, x, others, y)
+        ok = _possible(rows, x, others, y, of_union)
         found.append((x[ok], y[ok]))
     if not found:
         return np.zeros(0, int), np.zeros(0, int)
     return tuple(np.concatenate(f) for f in zip(*found))
 
 
-def _tree_join(cell: pd.DataFrame) -> pd.DataFrame:
+def _tree_join(cell: dict[str, np.ndarray], of_union: int) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs of one bucket's pair of chunks that are not connected yet."""
-    place, left, right = (int(cell[c].iloc[0]) for c in ("place", "left", "right"))
-    cell = cell.sort_values(["n", "rep"], ignore_index=True)
-    maps, sizes = same_length(cell["bits"].tolist()), cell["n"].to_numpy().astype(np.int64)
-    parts, comp, rep = np.stack(cell["parts"].to_numpy()), cell["component"].to_numpy(), cell["rep"].to_numpy()
+    if (cell["component"] == cell["component"][0]).all():
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((cell["rep"], cell["n"]))
+    cell = {k: v[order] for k, v in cell.items()}
+    maps, sizes = same_length(cell["bits"].tolist()), cell["n"]
+    parts, comp, rep = np.stack(cell["parts"]), cell["component"], cell["rep"]
+    left, right = cell["left"][0], cell["right"][0]
     if left == right:
-        i, j = joined(maps, sizes, maps, sizes, True)
+        i, j = joined(maps, sizes, maps, sizes, True, of_union)
     else:
         x, y = np.flatnonzero(cell["chunk"] == left), np.flatnonzero(cell["chunk"] == right)
         if not len(x) or not len(y):
-            return pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-        i, j = joined(maps[x], sizes[x], maps[y], sizes[y], False)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        i, j = joined(maps[x], sizes[x], maps[y], sizes[y], False, of_union)
         i, j = x[i], y[j]
     keep = comp[i] != comp[j]
     i, j = i[keep], j[keep]
-    found = []
+    found = [(np.zeros(0, np.int64),) * 2]
     for s in range(0, len(i), 4096):
         u, v = i[s : s + 4096], j[s : s + 4096]
         agree = (parts[u] == parts[v]) & (parts[u] != 0)
-        first = agree.argmax(axis=1) == place
-        few = (parts[u] != parts[v]).sum(axis=1) <= _DIFFER * (sizes[u] + sizes[v]) // _BOTH
-        ok = first & few
-        found.append((rep[u[ok]], rep[v[ok]]))
-    a, b = (np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)})
-
-
-def _cell_by_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Joins each cell of a partition, whose rows come cell by cell; the last cell of a batch may go on in the next."""
-    rest = None
-    for batch in chain(batches, [None]):
-        rows = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        if rows is None or not len(rows):
-            continue
-        keys = rows[["key", "left", "right"]].to_numpy()
-        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        ends = [*cuts, len(rows)] if batch is None else cuts
-        start = 0
-        for end in ends:
-            if end - start > 1:
-                yield _tree_join(rows.iloc[start:end])
-            start = end
-        rest = rows.iloc[start:]
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        first = agree.argmax(axis=1) == cell["place"][0]
+        few = (parts[u] != parts[v]).sum(axis=1) <= (100 - of_union) * (sizes[u] + sizes[v]) // (100 + of_union)
+        found.append((rep[u[first & few]], rep[v[first & few]]))
+    a, b = (np.concatenate(f) for f in zip(*found))
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def _cell_by_cell(of_union: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Joins each cell of a partition, whose rows come cell by cell; the last cell of a batch may go on in the next."""
+        rest = None
+        for batch in chain(batches, [None]):
+            rows = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            columns = {c: rows[c].to_numpy() for c in rows.columns}
+            same = np.logical_and.reduce([columns[c][1:] == columns[c][:-1] for c in ("key", "left", "right")])
+            ends = np.append(np.flatnonzero(~same) + 1, [len(rows)] * (batch is None)).astype(int).tolist()
+            found, start = [(np.zeros(0, np.int64),) * 2], 0
+            for end in ends:
+                if end - start > 1:
+                    found.append(_tree_join({c: v[start:end] for c, v in columns.items()}, of_union))
+                start = end
+            rest = rows.iloc[start:]
+            a, b = (np.concatenate(f) for f in zip(*found))
+            yield pd.DataFrame({"a": a, "b": b})
+
+    return run
+
+
+def verified(pairs: DataFrame, sets: DataFrame, of_union: int = OF_UNION) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets reach the threshold."""
     of = lambda c: sets.select(F.col("rep").alias(c), F.col("hashes").alias(f"of_{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
-    reach = _BOTH * common >= OF_UNION * (F.size("of_a") + F.size("of_b"))
+    reach = (100 + of_union) * common >= of_union * (F.size("of_a") + F.size("of_b"))
     return both.where(reach).select("a", "b").distinct()
 
 
-def _fits(a: str, b: str) -> F.Column:
-    return 100 * F.least(a, b) >= OF_UNION * F.greatest(a, b)
-
-
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, words: int = WORDS, of_union: int = OF_UNION) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     texts = docs.select("doc_id", "text")
-    described = staged(by_batch(texts, _described, _SETS), "shingle-sets")
+    described = staged(by_batch(texts, _described(words, of_union), _SETS), "shingle-sets")
     known = described.where("doc_id is not null and set_key is not null")
-    classes = staged(known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tables").alias("tables")), "shingle-classes")
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tables").alias("tables"))
+    classes = staged(classes, "shingle-classes")
 
+    # size, n and place make one number: few bytes are shuffled for each part.
+    sizes = F.shiftleft(F.col("n"), 32).bitwiseOR(F.shiftleft(F.col("size").cast("bigint"), 26)).bitwiseOR(F.col("place").cast("bigint"))
     keyed = classes.select("rep", "n", F.inline("tables")).select("rep", "n", "size", F.posexplode("parts").alias("place", "part")).where("part <> 0")
-    keyed = keyed.select(F.xxhash64("size", "place", "part").alias("key"), "rep", F.col("n").cast("int").alias("n"), F.col("size").cast("smallint").alias("size"), F.col("place").cast("smallint").alias("place"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("rep", "n")).alias("first")).where("members > 1")
-    members = staged(keyed.join(buckets, "key"), "shingle-members")
+    keyed = keyed.select(F.xxhash64("size", "place", "part").alias("key"), "rep", sizes.alias("sizes"))
+    met = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    found = staged(keyed.join(met, "key"), "shingle-buckets").select(
+        "key", "rep", "members", F.shiftright("sizes", 32).alias("n"), F.shiftright("sizes", 26).bitwiseAND(F.lit(63)).cast("int").alias("size"), F.col("sizes").bitwiseAND(F.lit((1 << 26) - 1)).cast("int").alias("place"))
+    first = found.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"))
+    members = staged(found.join(first, "key"), "shingle-members")
 
     involved = members.select("rep").distinct()
-    sets = by_batch(texts.join(involved, texts["doc_id"] == involved["rep"], "left_semi"), _sets_of, "rep bigint, hashes array<bigint>, n bigint, bits binary")
+    sets = by_batch(texts.join(involved, texts["doc_id"] == involved["rep"], "left_semi"), _sets_of(words), "rep bigint, hashes array<bigint>, n bigint, bits binary")
     sets = staged(sets.dropDuplicates(["rep", "hashes"]), "shingle-hashes")
 
-    stars = members.where((F.col("rep") != F.col("first.rep")) & _fits("n", "first.n")).select(F.col("rep").alias("a"), F.col("first.rep").alias("b")).distinct()
+    fits = 100 * F.least("n", "first.n") >= of_union * F.greatest("n", "first.n")
+    stars = members.where((F.col("rep") != F.col("first.rep")) & fits).select(F.col("rep").alias("a"), F.col("first.rep").alias("b")).distinct()
     # Rows of one id that have different sets are one document.
-    same = known.select("doc_id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").where("doc_id <> rep").groupBy("doc_id").agg(
-        F.min("rep").alias("low"), F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.explode("reps").alias("a"), F.col("low").alias("b")).where("a <> b")
-    links = staged(verified(stars, sets).union(same), "shingle-links")
+    same = known.select("doc_id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").groupBy("doc_id").agg(
+        F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.explode("reps").alias("a"), "b").where("a <> b")
+    links = staged(verified(stars, sets, of_union).union(same), "shingle-links")
     connected = staged(components(links), "shingle-components")
 
-    more = staged(_tree_pairs(members, classes, sets, connected), "shingle-tree-pairs")
-    rest = staged(verified(more, sets), "shingle-tree-links")
+    more = staged(_tree_pairs(members, classes, sets, connected, of_union), "shingle-tree-pairs")
+    rest = staged(verified(more, sets, of_union), "shingle-tree-links")
     if not rest.isEmpty():
         connected = staged(components(connected.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest)), "shingle-components")
     placed = classes.select("set_key", "rep").join(connected.withColumnRenamed("node", "rep"), "rep", "left")
@@ -277,7 +292,7 @@ def link(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _tree_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, connected: DataFrame) -> DataFrame:
+def _tree_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, connected: DataFrame, of_union: int) -> DataFrame:
     """Candidates, not connected yet, of the buckets that hold several components."""
     rows = members.join(connected.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
@@ -291,4 +306,4 @@ def _tree_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, connect
     dealt = dealt.select("key", "place", "rep", "component", "n", "bits", "parts", "chunk", F.inline(cells))
     cell = ["key", "left", "right"]
     laid = dealt.repartition(*cell).sortWithinPartitions(*cell)
-    return laid.mapInPandas(_cell_by_cell, "a bigint, b bigint").distinct()
+    return laid.mapInPandas(_cell_by_cell(of_union), "a bigint, b bigint").distinct()
