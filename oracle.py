@@ -57,11 +57,12 @@ shape AS (
   FROM seg GROUP BY way_id HAVING count(*) >= 2),
 osm AS (SELECT * FROM shape JOIN way USING (id)),
 member AS (
-  SELECT c_custkey + (o_orderkey // 65536) * 4294967296 AS id, o_orderkey AS ref,
+  SELECT c_custkey AS id, o_orderkey AS ref,
          CASE WHEN o_orderkey % 3 = 0 THEN 'node' ELSE 'way' END AS ref_type
   FROM customer JOIN orders ON o_custkey = c_custkey),
 run AS (
-  SELECT event_type AS query, event_id AS run, value AS execution_time, user_id FROM events)
+  SELECT event_type AS query, value AS execution_time, user_id,
+    row_number() OVER (PARTITION BY event_type ORDER BY ts NULLS FIRST, event_id) - 1 AS run FROM events)
 """
 
 # Segments of roads (closed up for one-vertex leftovers), for exact distances.
@@ -207,9 +208,6 @@ def oracle_sql() -> dict[str, str]:
     )
     members = """SELECT m.id, m.ref, m.ref_type, 'route' AS relation_type, round(len, 9) AS length
       FROM member m JOIN osm ON osm.id = m.ref"""
-    times = """SELECT query, (run // 1000) * 1000 AS first_run, count(*) AS n_times,
-        arg_min(execution_time, run) AS first_time, arg_max(execution_time, run) AS last_time
-      FROM run GROUP BY 1, 2"""
     summary = """SELECT query, count(*) AS runs, avg(execution_time) AS avg_time,
         min(execution_time) AS min_time, max(execution_time) AS max_time FROM run GROUP BY 1"""
     way_columns = "id, name, lanes, n_points, round(len, 9) AS length FROM osm"
@@ -280,6 +278,13 @@ def oracle_sql() -> dict[str, str]:
         "q15_self_join_nearby": f"{NEARBY} ORDER BY road1_id, road2_id LIMIT 100",
         "osm_points": _osm("SELECT id, x, y FROM node WHERE x IS NOT NULL"),
         "osm_points_strict": _osm("SELECT id, x, y FROM node WHERE x IS NOT NULL"),
+        "osm_drop_counts": _osm(
+            """SELECT (SELECT count(*) FROM osm) AS ways,
+              (SELECT count(*) FROM node WHERE x IS NULL) AS nodes_without_location,
+              (SELECT count(*) FROM way WHERE n IS NULL) AS ways_without_refs,
+              (SELECT count(*) FROM (SELECT way_id FROM vert GROUP BY 1 HAVING count(*) = 1))
+                AS ways_with_one_vertex"""
+        ),
         "osm_points_dropped": _osm("SELECT id FROM node WHERE x IS NULL"),
         "osm_ways": _osm(
             """SELECT id, highway, name, lit, surface, lanes, ref, n_points,
@@ -381,19 +386,20 @@ def oracle_sql() -> dict[str, str]:
             f"SELECT id, name AS road_name, round(len, 9) AS length {named} ORDER BY id LIMIT 100"
         ),
         "run_timing": _osm(
-            f"""SELECT query, first_run, n_times, round(first_time, 9) AS first_time,
-              round(last_time, 9) AS last_time, round(avg_time, 9) AS avg_time,
-              round(min_time, 9) AS min_time, round(max_time, 9) AS max_time
-              FROM ({times}) JOIN ({summary}) USING (query)"""
+            f"""SELECT query, run, round(execution_time, 9) AS execution_time,
+              round(avg_time, 9) AS avg_time, round(min_time, 9) AS min_time,
+              round(max_time, 9) AS max_time
+              FROM run JOIN ({summary}) s USING (query)"""
         ),
         "run_summary": _osm(
             f"""SELECT query, runs, round(avg_time, 9) AS avg_time,
               round(min_time, 9) AS min_time, round(max_time, 9) AS max_time FROM ({summary})"""
         ),
         "timing_json": _osm(
-            f"""SELECT query, first_run, round(total, 6) AS total, round(max_time, 6) AS max_time
-              FROM (SELECT query, (run // 1000) * 1000 AS first_run, sum(execution_time) AS total
-                    FROM run GROUP BY 1, 2) JOIN ({summary}) USING (query)"""
+            f"""SELECT query, run, round(execution_time, 9) AS execution_time,
+              round(avg_time, 9) AS avg_time, round(min_time, 9) AS min_time,
+              round(max_time, 9) AS max_time
+              FROM run JOIN ({summary}) s USING (query)"""
         ),
         "run_mean_sorted": _osm(
             "SELECT query, round(avg(execution_time), 9) AS avg_time FROM run GROUP BY 1"
@@ -412,8 +418,7 @@ def oracle_sql() -> dict[str, str]:
             FROM run JOIN q USING (query) GROUP BY query, q1, median, q3"""
         ),
         "run_points": _osm(
-            """SELECT query, (run // 1000) * 1000 + row_number() OVER (
-                PARTITION BY query, run // 1000 ORDER BY run) AS run, execution_time FROM run"""
+            "SELECT query, run + 1 AS run, execution_time FROM run"
         ),
         "frame_diff": _osm(
             f""", before AS ({lit}), after AS (

@@ -11,10 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadgeo.functions import st_point
+from roadgeo.operators.numbering import numbered
 from roadgeo.types import ELEMENTS, TAGS
 
 NODES_PER_WAY = 64  # room for nodes in a way's id range
-MEMBERS_PER_RELATION = 1 << 16  # order keys covered by one relation
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -100,11 +100,10 @@ def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One relation per customer and block of order keys, so that no relation grows unbounded."""
-    block = F.expr(f"o_orderkey div {MEMBERS_PER_RELATION}")
+    """One relation per customer, of its orders. A relation is one element, so one row, by its format."""
     held = (
         _read(spark, sf_dir, "orders")
-        .groupBy("o_custkey", block.alias("block"))
+        .groupBy("o_custkey")
         .agg(F.sort_array(F.collect_list("o_orderkey")).alias("refs"))
     )
     customers = _read(spark, sf_dir, "customer").join(
@@ -112,7 +111,7 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return _as_elements(
         customers.select(
-            (F.col("c_custkey") + F.coalesce("block", F.lit(0)) * (1 << 32)).alias("id"),
+            F.col("c_custkey").alias("id"),
             F.lit("relation").alias("kind"),
             F.create_map(F.lit("type"), F.lit("route")).cast(TAGS).alias("tags"),
             "refs",
@@ -146,10 +145,20 @@ def vehicles(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timed query runs, one per event. Runs are numbered by event, without gaps being closed."""
-    return _read(spark, sf_dir, "events").select(
+    """Timed query runs, one per event, not numbered."""
+    return _runs(_read(spark, sf_dir, "events"))
+
+
+def numbered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed query runs; those of a query are numbered from 0 by time, without gaps."""
+    events = numbered(_read(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "run")
+    return _runs(events, "run")
+
+
+def _runs(events: DataFrame, *more: str) -> DataFrame:
+    return events.select(
         F.col("event_type").alias("query"),
-        F.col("event_id").alias("run"),
+        *more,
         F.col("value").alias("execution_time"),
         F.sha2(F.concat_ws("|", "event_type", F.col("user_id") % 3), 256).alias("fingerprint"),
     )

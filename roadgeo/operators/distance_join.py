@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from roadgeo.functions import bbox, distance_once, line_from_vertices
 from roadgeo.types import BBOX_COLUMNS, has_bbox
 
-HOT_CELL_ROWS = 20_000  # rows of one side in one cell beyond which the cell is split
-MAX_HOT_CELLS = 10_000  # bound of the broadcast table of split cells
+HOT_CELL_ROWS = 20_000  # rows that a split of a cell holds of one side, about
 
 BOX = "box"
 CELL_RANGE = ("cx0", "cy0", "cx1", "cy1")
@@ -110,19 +109,23 @@ def _placed(df: DataFrame, prefix: str, geom: str, cell: float, span: float, mar
 
 
 def _crowded(df: DataFrame, geom: str, cell: float, span: float, margin: float, hot_rows: int):
-    """Cells holding more than ``hot_rows`` rows of this side, with the splits they need.
+    """Cells holding more than ``hot_rows`` pieces of this side, with the splits they need.
 
-    Long lines are left out of the count; it only steers placement.
+    Only long lines, which are placed by their pieces, have their geometry read for it.
     """
-    boxes = _boxed(df, geom).filter(~_is_long(span, geom))
-    counts = _in_cells(boxes.select(*_cell_range(cell, margin))).groupBy("cx", "cy").count()
+    boxes = _boxed(df, geom)
+    long = _is_long(span, geom)
+    whole = boxes.filter(~F.coalesce(long, F.lit(False))).select(*_cell_range(cell, margin))
+    pieces = boxes.filter(long).select(F.explode(_pieces(geom, span)).alias("piece"))
+    pieces = pieces.select(F.col("piece.box").alias(BOX)).select(*_cell_range(cell, margin))
+    counts = _in_cells(whole.unionByName(pieces)).groupBy("cx", "cy").count()
     return counts.filter(F.col("count") > hot_rows).select(
         "cx", "cy", F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("splits")
     )
 
 
 def _split_table(a_hot: DataFrame, b_hot: DataFrame) -> DataFrame:
-    """(cx, cy, a_splits, b_splits) of the most crowded cells: a bounded table."""
+    """(cx, cy, a_splits, b_splits) of all crowded cells."""
     one = F.lit(1)
     a_part = a_hot.select("cx", "cy", F.col("splits").alias("a_splits"), one.alias("b_splits"))
     b_part = b_hot.select("cx", "cy", one.alias("a_splits"), F.col("splits").alias("b_splits"))
@@ -130,15 +133,14 @@ def _split_table(a_hot: DataFrame, b_hot: DataFrame) -> DataFrame:
         a_part.unionByName(b_part)
         .groupBy("cx", "cy")
         .agg(F.max("a_splits").alias("a_splits"), F.max("b_splits").alias("b_splits"))
-        .orderBy(F.desc(F.col("a_splits").cast("bigint") * F.col("b_splits")), "cx", "cy")
-        .limit(MAX_HOT_CELLS)
     )
 
 
 def _salted(side: DataFrame, prefix: str, key: str, splits: DataFrame) -> DataFrame:
     """Deal the rows of a split cell over its splits, and repeat them for the other side's."""
     own, other = ("a", "b") if prefix == "a_" else ("b", "a")
-    found = side.join(F.broadcast(splits), ["cx", "cy"], "left")
+    # not a hint: Spark broadcasts the table if its size allows, and splits a crowded key if not
+    found = side.join(splits, ["cx", "cy"], "left")
     n_own = F.coalesce(f"{own}_splits", F.lit(1))
     n_other = F.coalesce(f"{other}_splits", F.lit(1))
     dealt = found.withColumn(f"{own}_salt", F.pmod(F.xxhash64(prefix + key), n_own))

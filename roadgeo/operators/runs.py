@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from roadgeo.operators.quantiles import exact_quantiles
 from roadgeo.types import geometry_columns
 
-RUNS_PER_ROW = 1000  # run numbers covered by one array of times
-
 
 def run_summary(runs: DataFrame) -> DataFrame:
     """``(query, runs, avg_time, min_time, max_time)``."""
@@ -24,31 +22,20 @@ def run_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def run_timing(runs: DataFrame, runs_per_row: int = RUNS_PER_ROW) -> DataFrame:
-    """All times of each query in run order, with their average, least and greatest.
+def run_timing(runs: DataFrame) -> DataFrame:
+    """One row per run: ``(query, run, execution_time, avg_time, min_time, max_time)``.
 
-    ``(query, first_run, execution_times, avg_time, min_time, max_time)``. An array covers
-    ``runs_per_row`` run numbers: an ordinary benchmark has one row per query, and a query with
-    very many runs has several instead of one unbounded array.
+    The last three are the query's. A row per run, and no array of them, so that no row grows with
+    the number of runs.
     """
-    first = (F.floor(F.col("run") / F.lit(runs_per_row)) * runs_per_row).cast("bigint")
-    times = (
-        runs.groupBy("query", first.alias("first_run"))
-        .agg(F.sort_array(F.collect_list(F.struct("run", "execution_time"))).alias("t"))
-        .select(
-            "query",
-            "first_run",
-            F.transform("t", lambda t: t["execution_time"]).alias("execution_times"),
-        )
-    )
-    return times.join(run_summary(runs).drop("runs"), "query")
+    summary = run_summary(runs).drop("runs").withColumnRenamed("query", "_query")
+    joined = runs.join(summary, F.col("query").eqNullSafe(F.col("_query")))
+    return joined.select("query", "run", "execution_time", "avg_time", "min_time", "max_time")
 
 
-def run_points(timing: DataFrame) -> DataFrame:
+def run_points(runs: DataFrame) -> DataFrame:
     """One row per query and run, runs numbered from 1: ``(query, run, execution_time)``."""
-    return timing.select(
-        "query", "first_run", F.posexplode("execution_times").alias("i", "execution_time")
-    ).select("query", (F.col("first_run") + F.col("i") + 1).alias("run"), "execution_time")
+    return runs.select("query", (F.col("run") + 1).alias("run"), "execution_time")
 
 
 def run_means(runs: DataFrame) -> DataFrame:
@@ -63,7 +50,7 @@ def run_means(runs: DataFrame) -> DataFrame:
 def run_box_stats(runs: DataFrame) -> DataFrame:
     """Box plot figures per query: quartiles, and whiskers at the furthest times within 1.5 IQR."""
     q = exact_quantiles(runs, "query", "execution_time", [0.25, 0.5, 0.75]).select(
-        "query",
+        F.col("query").alias("_query"),
         F.col("quantiles")[0].alias("q1"),
         F.col("quantiles")[1].alias("median"),
         F.col("quantiles")[2].alias("q3"),
@@ -73,7 +60,7 @@ def run_box_stats(runs: DataFrame) -> DataFrame:
     low, high = F.col("q1") - reach, F.col("q3") + reach
     return (
         runs.select("query", "execution_time")
-        .join(q, "query")
+        .join(q, F.col("query").eqNullSafe(F.col("_query")))
         .groupBy("query", "q1", "median", "q3")
         .agg(
             F.min(F.when(time >= low, time)).alias("whisker_low"),
@@ -94,12 +81,17 @@ def _comparable(df: DataFrame) -> DataFrame:
 
 
 def frame_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows by which two results differ, ignoring geometry columns, with ``only_in``."""
+    """Rows by which two results differ, as often as they do, without geometry columns, with ``only_in``.
+
+    Each side is read once: rows count +1 or -1, and equal rows are summed before the shuffle.
+    """
     a, b = _comparable(a), _comparable(b)
-    b = b.select(*a.columns)
-    only_a = a.exceptAll(b).withColumn("only_in", F.lit("a"))
-    only_b = b.exceptAll(a).withColumn("only_in", F.lit("b"))
-    return only_a.unionByName(only_b)
+    names = a.columns
+    both = a.withColumn("_n", F.lit(1)).unionByName(b.select(*names).withColumn("_n", F.lit(-1)))
+    more = both.groupBy(*names).agg(F.sum("_n").alias("_n")).filter("_n <> 0")
+    times = F.explode(F.sequence(F.lit(1).cast("bigint"), F.abs("_n")))
+    only_in = F.when(F.col("_n") > 0, F.lit("a")).otherwise(F.lit("b"))
+    return more.select(*names, only_in.alias("only_in"), times.alias("_n")).drop("_n")
 
 
 def _row_hash(df: DataFrame) -> Column:
@@ -149,7 +141,8 @@ def parameter_sweep(
 def sql_sweep(spark: SparkSession, text: str, params: Sequence[Mapping]) -> DataFrame:
     """One query text with named markers (``:name``), run for each parameter set.
 
-    Each result row carries its parameters as columns.
+    Each result row carries its parameters as columns. The text is free, so each set is a query of
+    its own with its own scan; ``parameter_sweep`` is the form that scans once.
     """
     results = [
         spark.sql(text, args=dict(p)).withColumns({n: F.lit(v) for n, v in p.items()})

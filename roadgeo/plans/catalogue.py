@@ -98,6 +98,15 @@ def osm_points_strict(spark, sf_dir):
     return _xy(found.select("id", "geometry"), "geometry", "x", "y")
 
 
+def osm_drop_counts(spark, sf_dir):
+    """What the assembly of both tables drops, with clustered rows."""
+    out = scratch_path(spark, "roads")
+    elements = stage_elements(_elements(spark, sf_dir), scratch_path(spark, "elements"))
+    dropped = tables.build_road_tables(elements, out, "derived", cluster_cell=0.05)
+    counts = spark.read.parquet(f"{out}/derived_ways.parquet").agg(F.count("*").alias("ways"))
+    return counts.select("ways", *(F.lit(n).cast("bigint").alias(k) for k, n in dropped.items()))
+
+
 def osm_points_dropped(spark, sf_dir):
     """Nodes of the element table that give no point."""
     elements = _elements(spark, sf_dir)
@@ -288,17 +297,13 @@ def track_points(spark, sf_dir):
     )
 
 
-POINTS_PER_TRACK = 1000
-
-
 def gpx_roundtrip(spark, sf_dir):
-    """The track points written as GPX tracks of bounded length, and read back."""
-    part = F.floor(F.col("event_id") / POINTS_PER_TRACK)
+    """The track points written as GPX, a track per user, and read back. A track is one element by its format."""
     point = F.struct(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "time")
     in_order = F.sort_array(F.collect_list(F.struct("event_id", point.alias("p"))))
     documents = (
         derived.vehicles(spark, sf_dir, "event_id")
-        .groupBy(F.col("track").alias("name"), part.alias("part"))
+        .groupBy(F.col("track").alias("name"))
         .agg(in_order.alias("p"))
         .select(
             "name",
@@ -408,20 +413,7 @@ def json_result_no_geometry(spark, sf_dir):
 
 
 def run_timing(spark, sf_dir):
-    timing = runs.run_timing(derived.runs(spark, sf_dir))
-    size = F.array_size("execution_times").cast("bigint")
-    return _rounded(
-        timing.select(
-            "query",
-            "first_run",
-            size.alias("n_times"),
-            F.col("execution_times")[0].alias("first_time"),
-            F.try_element_at("execution_times", F.lit(-1)).alias("last_time"),
-            "avg_time",
-            "min_time",
-            "max_time",
-        )
-    )
+    return _rounded(runs.run_timing(derived.numbered_runs(spark, sf_dir)))
 
 
 def run_summary(spark, sf_dir):
@@ -430,14 +422,12 @@ def run_summary(spark, sf_dir):
 
 def timing_json(spark, sf_dir):
     path = scratch_path(spark, "timing")
-    tables.write_result_json(runs.run_timing(derived.runs(spark, sf_dir)), path)
+    tables.write_result_json(runs.run_timing(derived.numbered_runs(spark, sf_dir)), path)
     schema = (
-        "query STRING, first_run BIGINT, execution_times ARRAY<DOUBLE>, "
+        "query STRING, run BIGINT, execution_time DOUBLE, "
         "avg_time DOUBLE, min_time DOUBLE, max_time DOUBLE"
     )
-    back = spark.read.schema(schema).json(path)
-    total = F.aggregate("execution_times", F.lit(0.0), lambda a, t: a + t)
-    return _rounded(back.select("query", "first_run", total.alias("total"), "max_time"), 6)
+    return _rounded(spark.read.schema(schema).json(path))
 
 
 def run_mean_sorted(spark, sf_dir):
@@ -449,8 +439,7 @@ def run_box_stats(spark, sf_dir):
 
 
 def run_points(spark, sf_dir):
-    """Run numbers here count the runs of a query within each block of run numbers."""
-    return runs.run_points(runs.run_timing(derived.runs(spark, sf_dir)))
+    return runs.run_points(derived.numbered_runs(spark, sf_dir))
 
 
 def frame_diff(spark, sf_dir):
@@ -529,6 +518,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "osm_points": osm_points,
     "osm_points_strict": osm_points_strict,
     "osm_points_dropped": osm_points_dropped,
+    "osm_drop_counts": osm_drop_counts,
     "osm_ways": osm_ways,
     "osm_ways_complete": osm_ways_complete,
     "osm_ways_dropped": osm_ways_dropped,

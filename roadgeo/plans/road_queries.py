@@ -33,7 +33,6 @@ MANY_POINTS = 10
 ROW_LIMIT = 100
 BUFFER_ROW_LIMIT = 50
 
-HEAD_ROADS = 1000  # roads tried first when only the first pairs are wanted
 
 
 def tag(roads: DataFrame, key: str) -> Column:
@@ -239,18 +238,6 @@ def nearby_roads(roads: DataFrame, distance: float = NEARBY_DISTANCE) -> DataFra
     return _as_nearby(distance_join(side, side, distance, once=True))
 
 
-def self_join_nearby(
-    roads: DataFrame, distance: float = NEARBY_DISTANCE, head: int = HEAD_ROADS
-) -> DataFrame:
-    """The first pairs of nearby named roads, by ids.
-
-    The first pairs nearly always start at one of the first roads. So the ``head`` roads of lowest
-    id are tried first, a side small enough to be broadcast to the other; one small job counts
-    whether they give enough pairs. Only if they do not is the whole join planned.
-    """
-    side = _nearby_side(roads)
-    first = side.orderBy("id").limit(head).coalesce(1)
-    pairs = distance_join(first, side, distance, once=True, hot_rows=None)
-    if pairs.limit(ROW_LIMIT).count() < ROW_LIMIT:
-        pairs = distance_join(side, side, distance, once=True)
-    return _as_nearby(pairs).orderBy("road1_id", "road2_id").limit(ROW_LIMIT)
+def self_join_nearby(roads: DataFrame, distance: float = NEARBY_DISTANCE) -> DataFrame:
+    """The first pairs of nearby named roads, by ids, of the whole join: each partition keeps its first ones."""
+    return nearby_roads(roads, distance).orderBy("road1_id", "road2_id").limit(ROW_LIMIT)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from roadgeo.functions import bbox, st_astext, st_aswkb, st_geomfromwkb, st_numpoints
 from roadgeo.operators import assembly
 from roadgeo.sources.gpx import read_gpx
+from roadgeo.sources.scratch import scratch_path
 from roadgeo.types import BBOX_COLUMNS, geometry_columns, is_geometry
 
 # ---------------------------------------------------------------- reading
@@ -144,13 +145,24 @@ def build_road_tables(
 ) -> dict[str, int]:
     """Write ``<stem>_points.parquet`` and ``<stem>_ways.parquet``; return the numbers dropped.
 
-    The numbers are counted while the tables are written, not by extra passes.
+    The numbers are counted while the assembled rows are written for the first time. Clustering
+    samples its input, which would run the assembly and the counts again, so it reads stored rows.
     """
     nodes, refs, short = Observation(), Observation(), Observation()
     base = f"{out_dir.rstrip('/')}/{stem}"
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        if not cluster_cell:
+            return df
+        path = scratch_path(df.sparkSession, name)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
     located = assembly.points(elements, strict=strict, dropped=None if strict else nodes)
-    write_geometry_parquet(located, f"{base}_points.parquet", cluster_cell=cluster_cell)
-    lines = assembly.ways(elements, without_refs=refs, too_short=short)
+    write_geometry_parquet(
+        once(located, "points"), f"{base}_points.parquet", cluster_cell=cluster_cell
+    )
+    lines = once(assembly.ways(elements, without_refs=refs, too_short=short), "ways")
     write_geometry_parquet(
         lines, f"{base}_ways.parquet", keep_tags=keep_tags, cluster_cell=cluster_cell
     )

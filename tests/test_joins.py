@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadgeo.functions import st_distance, st_geomfromwkt, st_intersects
+from roadgeo.functions import line_from_vertices
 from roadgeo.operators.distance_join import _crowded, _split_table, distance_join
 from roadgeo.operators.range_filter import range_filter
 from roadgeo.plans import road_queries as Q
@@ -98,14 +99,35 @@ def test_bad_distance(spark):
             distance_join(a, a, d)
 
 
-def test_nearest_pairs_fall_back_to_the_whole_join(spark):
+def test_nearest_pairs_are_the_first_of_the_whole_join(spark):
     roads = shapes(spark, 150, 6, crowd=0.3).withColumn(
         "tags", F.create_map(F.lit("name"), F.concat(F.lit("r"), F.col("id")))
     )
     full = Q.nearby_roads(roads, 0.02).orderBy("road1_id", "road2_id").limit(100).collect()
     assert len(full) == 100
-    for head in (1, 1000):
-        assert Q.self_join_nearby(roads, 0.02, head=head).collect() == full
+    assert Q.self_join_nearby(roads, 0.02).collect() == full
+
+
+def test_planning_the_nearest_pairs_starts_no_job(spark):
+    roads = shapes(spark, 20, 6).withColumn("tags", F.create_map(F.lit("name"), F.lit("r")))
+    spark.sparkContext.setJobGroup("planning", "")
+    Q.self_join_nearby(roads, 0.02)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 0
+
+
+def test_long_lines_count_as_crowd(spark):
+    """Many long lines through one spot: their pieces are counted, and every crowded cell is split."""
+    lines = spark.range(300).select(
+        "id",
+        F.array(*[F.struct(F.lit(float(x)).alias("x"), (F.col("id") * 1e-6 * abs(x)).alias("y")) for x in (-1, 0, 1)]).alias("v"),
+    )
+    lines = lines.select("id", line_from_vertices("v").alias("geometry"))
+    hot = _crowded(lines, "geometry", 0.04, 0.08, 0.02, 50)
+    table = _split_table(hot, hot).collect()
+    assert len(table) >= 40  # all along the lines, and none is left out
+    assert max(r["a_splits"] for r in table) >= 300 // 50
 
 
 WINDOWS = [

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from roadgeo.functions import st_point
 from roadgeo.operators import quantiles, runs
+from roadgeo.operators.numbering import numbered
 
 
 def table(spark, times):
@@ -26,26 +27,29 @@ SMALL = {
 
 
 def test_timing_and_points(spark):
-    timing = runs.run_timing(table(spark, SMALL))
-    assert timing.columns == [
-        "query", "first_run", "execution_times", "avg_time", "min_time", "max_time",
-    ]
-    got = {r["query"]: tuple(r[1:]) for r in timing.collect()}
-    assert got == {
-        "q1": (0, [3.0, 1.0, 2.0], 2.0, 1.0, 3.0),
-        "q2": (0, [5.0, 5.0], 5.0, 5.0, 5.0),
-        "q3": (0, [0.5], 0.5, 0.5, 0.5),
-    }
-    points = {(r["query"], r["run"], r["execution_time"]) for r in runs.run_points(timing).collect()}
+    numbered_runs = table(spark, SMALL)
+    timing = runs.run_timing(numbered_runs)
+    assert timing.columns == ["query", "run", "execution_time", "avg_time", "min_time", "max_time"]
+    q1 = sorted(tuple(r)[1:] for r in timing.collect() if r["query"] == "q1")
+    assert q1 == [(0, 3.0, 2.0, 1.0, 3.0), (1, 1.0, 2.0, 1.0, 3.0), (2, 2.0, 2.0, 1.0, 3.0)]
+    points = {(r["query"], r["run"], r["execution_time"]) for r in runs.run_points(numbered_runs).collect()}
     assert points == {(q, i + 1, t) for q, ts in SMALL.items() for i, (t, _) in enumerate(ts)}
 
 
-def test_many_runs_make_several_rows(spark):
-    many = table(spark, {"q": [(i, "x") for i in range(25)]})
-    timing = runs.run_timing(many, runs_per_row=10)
-    rows = sorted((r["first_run"], r["execution_times"], r["max_time"]) for r in timing.collect())
-    assert [(f, len(t), m) for f, t, m in rows] == [(0, 10, 24.0), (10, 10, 24.0), (20, 5, 24.0)]
-    assert sorted(r["run"] for r in runs.run_points(timing).collect()) == list(range(1, 26))
+def test_a_null_query_is_kept(spark):
+    some = spark.createDataFrame([(None, 0, 1.0), (None, 1, 3.0), ("q", 0, 2.0)], "query string, run int, execution_time double")
+    assert {(r["query"], r["run"], r["avg_time"]) for r in runs.run_timing(some).collect()} == {(None, 0, 2.0), (None, 1, 2.0), ("q", 0, 2.0)}
+    assert {(r["query"], r["median"]) for r in runs.run_box_stats(some).collect()} == {(None, 2.0), ("q", 2.0)}
+
+
+def test_numbers_have_no_gaps(spark):
+    """One group holds most rows and lies in many ranges; a null group is a group."""
+    rows = [("hot", i * 7 % 5000) for i in range(5000)] + [("b", 5), ("b", 3), (None, 9), (None, 1)]
+    df = spark.createDataFrame(rows, "g string, t int").repartition(5)
+    got = numbered(df, "g", ["t"], "n").collect()
+    for g in ("hot", "b", None):
+        own = sorted((r["n"], r["t"]) for r in got if r["g"] == g)
+        assert [n for n, _ in own] == list(range(len(own))) and [t for _, t in own] == sorted(t for _, t in own)
 
 
 def test_means_ascend(spark):
@@ -102,6 +106,7 @@ def test_frame_diff_and_fingerprint(spark):
     assert runs.fingerprint(a).collect() == runs.fingerprint(shifted).collect()
     fewer = a.dropDuplicates(["id"])
     assert [(r["id"], r["only_in"]) for r in runs.frame_diff(a, fewer).collect()] == [(2, "a")]
+    assert [(r["id"], r["only_in"]) for r in runs.frame_diff(fewer, a.unionByName(a)).collect()].count((2, "b")) == 3
     assert runs.fingerprint(a).collect() != runs.fingerprint(fewer).collect()
     assert runs.fingerprint(a.limit(0)).first()["n_rows"] == 0
 

@@ -10,6 +10,7 @@ from roadgeo.functions import st_astext
 from roadgeo.operators import assembly
 from roadgeo.sources import pbf, tables
 from roadgeo.sources.gpx import read_gpx
+from roadgeo.sources.scratch import scratch_path
 from roadgeo.sources.osm import read_osm, read_osm_xml, stage_elements
 from roadgeo.types import BBOX_COLUMNS, ELEMENTS
 from tests import pbf_writer as W
@@ -162,12 +163,12 @@ GPX = """<?xml version="1.0" encoding="UTF-8"?>
  {tracks}
 </gpx>
 """
-TWO_SEGMENTS = """<trk><name>Čakovec to &lt;Ždala&gt;</name><number>1</number>
- <trkseg><trkpt lat="45.8" lon="15.9"><name>TP1</name><time>2025-06-03T09:38:08Z</time></trkpt>
-  <trkpt lat="45.8" lon="15.9"><time>2025-06-03T09:38:08.250Z</time></trkpt></trkseg>
+TWO_SEGMENTS = """<trk><name>ring &lt;north&gt; &amp; Öst</name>
+ <trkseg><trkpt lat="45.8" lon="15.9"><time>2031-11-17T04:05:06Z</time></trkpt>
+  <trkpt lat="45.8" lon="15.9"><time>2031-11-17T04:05:06.250Z</time></trkpt></trkseg>
  <trkseg></trkseg>
  <trkseg><trkpt lat="45.9" lon="15.8"></trkpt></trkseg></trk>"""
-UNNAMED = '<trk><trkseg><trkpt lat="1" lon="2"><time>2025-06-03T11:00:00+02:00</time></trkpt></trkseg></trk>'
+UNNAMED = '<trk><trkseg><trkpt lat="1" lon="2"><time>2031-11-17T11:00:00+02:00</time></trkpt></trkseg></trk>'
 EMPTY_NAME = '<trk><name></name><trkseg><trkpt lat="3" lon="4"/></trkseg></trk>'
 
 
@@ -186,11 +187,11 @@ def test_gpx(spark, gpx_dir):
     assert df.columns == ["lat", "lon", "track", "time", "geometry", "file", "seg", "pos"]
     utc = "date_format(time, 'HH:mm:ss.SSS') AS time"
     got = df.selectExpr("track", "seg", "pos", "lat", "lon", utc, "file").collect()
-    name = "Čakovec to <Ždala>"
+    name = "ring <north> & Öst"
     assert sorted(map(tuple, got), key=str) == sorted(
         [
-            (name, 0, 0, 45.8, 15.9, "09:38:08.000", "one.gpx"),
-            (name, 0, 1, 45.8, 15.9, "09:38:08.250", "one.gpx"),
+            (name, 0, 0, 45.8, 15.9, "04:05:06.000", "one.gpx"),
+            (name, 0, 1, 45.8, 15.9, "04:05:06.250", "one.gpx"),
             (name, 2, 0, 45.9, 15.8, None, "one.gpx"),
             ("one", 0, 0, 1.0, 2.0, "09:00:00.000", "one.gpx"),
             ("my 1+1 track.v2", 0, 0, 3.0, 4.0, None, "my 1+1 track.v2.gpx"),
@@ -269,6 +270,26 @@ def test_road_tables(spark, osm_file, tmp_path):
         tables.build_road_tables(read_osm(spark, osm_file), str(tmp_path), "b", strict=True)
 
 
+def test_drop_counts_do_not_depend_on_clustering(spark, osm_file, tmp_path):
+    elements = read_osm(spark, osm_file)
+    plain = tables.build_road_tables(elements, str(tmp_path / "plain"), "a")
+    assert tables.build_road_tables(elements, str(tmp_path / "laid"), "a", cluster_cell=0.05) == plain
+    assert {p.name for p in (tmp_path / "laid").iterdir()} == {"a_points.parquet", "a_ways.parquet"}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(Session(), "x")
+
+
 def test_z_order_keeps_neighbours_together(spark):
     cells = spark.createDataFrame([(float(x), float(y)) for x in range(-4, 4) for y in range(-4, 4)], "x double, y double")
     order = cells.select("x", "y", tables.z_order(F.col("x"), F.col("y"), 1.0).alias("z")).orderBy("z")
