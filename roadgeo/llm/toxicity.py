@@ -21,6 +21,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,8 +124,8 @@ def fit_label_model(bits: np.ndarray, counts: np.ndarray, prior: float, rounds:
 
 def train(rows: list[np.ndarray], target: np.ndarray, size: int, steps: int = 150, decay: float = 6e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on rows of present features, by gradient steps scaled to each feature."""
-    which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    cols = np.concatenate(rows) if len(rows) else np.zeros(0, int)
+    which = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    cols = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
     w, bias = np.zeros(size), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3))) if len(target) else -2.0
     seen, seen_bias = np.full(size, 1e-8), 1e-8
     held = np.ones(size)
@@ -191,12 +192,21 @@ def fit(docs: DataFrame, labels: DataFrame, mark: str = "toxic") -> tuple[Model,
     patterns = seen.groupBy("bits").count().toPandas()  # at most 2 ** voters rows
     labels_of = fit_label_model(patterns["bits"].to_numpy(), patterns["count"].to_numpy(), toxic / n if n else 0.1)
 
-    taught = seen.join(F.broadcast(sample), "doc_id").select("bits", "ids").toPandas()  # at most SAMPLE ids
-    votes = unpacked(taught["bits"].to_numpy()) if len(taught) else np.zeros((0, len(VOTERS)))
-    target = labels_of.posterior(votes) if len(taught) else np.zeros(0)
-    rows = [np.concatenate([np.asarray(ids, int), len(index) + np.flatnonzero(v)]) for ids, v in zip(taught["ids"], votes)]
-    w, bias = train(rows, target, len(index) + len(VOTERS))
-    if not len(rows):  # no labels: the voters themselves
+    size = len(index) + len(VOTERS)
+
+    def taught(group: pd.DataFrame) -> pd.DataFrame:
+        votes = unpacked(group["bits"].to_numpy())
+        rows = [np.concatenate([np.asarray(ids, np.int32), (len(index) + np.flatnonzero(v)).astype(np.int32)]) for ids, v in zip(group["ids"], votes)]
+        w, bias = train(rows, labels_of.posterior(votes), size)
+        return pd.DataFrame({"w": [w.tobytes()], "bias": [bias]})
+
+    # One task trains, on at most SAMPLE ids; the driver gets the weights.
+    sampled = seen.join(F.broadcast(sample), "doc_id").select("bits", "ids", F.lit(0).alias("all"))
+    found = sampled.groupBy("all").applyInPandas(taught, "w binary, bias double").collect()
+    if found:
+        w, bias = np.frombuffer(found[0]["w"]), found[0]["bias"]
+    else:  # no labels: the voters themselves
+        w, bias = np.zeros(size), -2.0
         w[len(index) :] = (np.log(labels_of.fires[1]) - np.log(labels_of.fires[0])) * labels_of.weight
     return Model(index, w, bias, voters, labels_of), seen
 
