@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -33,12 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgeo.llm.common import by_batch, staged
+from roadgeo.llm.common import by_batch, discard, staged
 from roadgeo.llm.components import components
 
 #: Words of a shingle, and the intersection in hundredths of the union from which on two sets are linked.
 WORDS, OF_UNION = 3, 90
 CHUNK, LEAF, FANOUT = 2048, 16, 8
+#: Shares of the key space that meet one after the other: the shuffle of one is gone before the next.
+SHARES = 4
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -106,10 +109,21 @@ def _described(words: int, of_union: int):
 
 
 def _sets_of(words: int):
-    def rows(ids, texts):
-        for doc_id, text in zip(ids, texts):
-            h = shingles(text, words)
-            yield doc_id, h.view(np.int64).tolist(), len(h), bitmap(h)
+    return lambda ids, texts: ((i, shingles(t, words).view(np.int64).tolist()) for i, t in zip(ids, texts))
+
+
+def _signatures_of(words: int):
+    return lambda ids, texts: ((i, len(h), bitmap(h)) for i, h in ((i, shingles(t, words)) for i, t in zip(ids, texts)))
+
+
+def _likely(of_union: int):
+    def rows(a, b, n_a, n_b, bits_a, bits_b):
+        """Pairs whose bitmaps allow the threshold."""
+        for x, y, n, m, u, v in zip(a, b, n_a, n_b, bits_a, bits_b):
+            maps = same_length([u, v])
+            lacks, more = _missing(maps[0], maps[1]), _missing(maps[1], maps[0])
+            if (100 + of_union) * min(n - lacks, m - more) >= of_union * (n + m):
+                yield x, y
 
     return rows
 
@@ -243,47 +257,67 @@ def _cell_by_cell(of_union: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, of_union: int = OF_UNION) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets reach the threshold."""
+def likely(pairs: DataFrame, signatures: DataFrame, of_union: int) -> DataFrame:
+    """Those of the pairs (a, b) whose bitmaps and sizes allow the threshold: these are small beside the sets."""
+    of = lambda c: signatures.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    return by_batch(both, _likely(of_union), "a bigint, b bigint")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, of_union: int = OF_UNION) -> DataFrame:
+    """Those of the stored pairs (a, b) whose whole sets reach the threshold."""
+    asked = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    sets = by_batch(texts.join(asked, texts["doc_id"] == asked["rep"], "left_semi"), _sets_of(words), "rep bigint, hashes array<bigint>")
+    sets = staged(sets, "shingle-hashes")
     of = lambda c: sets.select(F.col("rep").alias(c), F.col("hashes").alias(f"of_{c}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     reach = (100 + of_union) * common >= of_union * (F.size("of_a") + F.size("of_b"))
-    return both.where(reach).select("a", "b").distinct()
+    links = staged(both.where(reach).select("a", "b").distinct(), "shingle-links")
+    discard(sets)
+    return links
 
 
 def link(docs: DataFrame, words: int = WORDS, of_union: int = OF_UNION) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     texts = docs.select("doc_id", "text")
-    described = staged(by_batch(texts, _described(words, of_union), _SETS), "shingle-sets")
-    known = described.where("doc_id is not null and set_key is not null")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tables").alias("tables"))
+    wide = staged(by_batch(texts, _described(words, of_union), _SETS), "shingle-tables")
+    described = staged(wide.select("doc_id", "n_shingles", "set_key"), "shingle-sets")
+    classes = wide.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tables").alias("tables"))
     classes = staged(classes, "shingle-classes")
+    discard(wide)
 
     # size, n and place make one number: few bytes are shuffled for each part.
     sizes = F.shiftleft(F.col("n"), 32).bitwiseOR(F.shiftleft(F.col("size").cast("bigint"), 26)).bitwiseOR(F.col("place").cast("bigint"))
     keyed = classes.select("rep", "n", F.inline("tables")).select("rep", "n", "size", F.posexplode("parts").alias("place", "part")).where("part <> 0")
     keyed = keyed.select(F.xxhash64("size", "place", "part").alias("key"), "rep", sizes.alias("sizes"))
-    met = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    found = staged(keyed.join(met, "key"), "shingle-buckets").select(
+    shares = []
+    for share in range(SHARES):
+        own = keyed.where(F.pmod("key", F.lit(SHARES)) == share)
+        met = own.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        shares.append(staged(own.join(met, "key"), "shingle-buckets"))
+    found = reduce(DataFrame.union, shares).select(
         "key", "rep", "members", F.shiftright("sizes", 32).alias("n"), F.shiftright("sizes", 26).bitwiseAND(F.lit(63)).cast("int").alias("size"), F.col("sizes").bitwiseAND(F.lit((1 << 26) - 1)).cast("int").alias("place"))
     first = found.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"))
     members = staged(found.join(first, "key"), "shingle-members")
+    discard(*shares)
 
     involved = members.select("rep").distinct()
-    sets = by_batch(texts.join(involved, texts["doc_id"] == involved["rep"], "left_semi"), _sets_of(words), "rep bigint, hashes array<bigint>, n bigint, bits binary")
-    sets = staged(sets.dropDuplicates(["rep", "hashes"]), "shingle-hashes")
+    signatures = by_batch(texts.join(involved, texts["doc_id"] == involved["rep"], "left_semi"), _signatures_of(words), "rep bigint, n bigint, bits binary")
+    signatures = staged(signatures, "shingle-signatures")
 
     fits = 100 * F.least("n", "first.n") >= of_union * F.greatest("n", "first.n")
     stars = members.where((F.col("rep") != F.col("first.rep")) & fits).select(F.col("rep").alias("a"), F.col("first.rep").alias("b")).distinct()
+    stars = staged(likely(stars, signatures, of_union), "shingle-stars")
     # Rows of one id that have different sets are one document.
+    known = described.where("doc_id is not null and set_key is not null")
     same = known.select("doc_id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").groupBy("doc_id").agg(
         F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.explode("reps").alias("a"), "b").where("a <> b")
-    links = staged(verified(stars, sets, of_union).union(same), "shingle-links")
-    connected = staged(components(links), "shingle-components")
+    connected = staged(components(verified(stars, texts, words, of_union).union(same)), "shingle-components")
 
-    more = staged(_tree_pairs(members, classes, sets, connected, of_union), "shingle-tree-pairs")
-    rest = staged(verified(more, sets, of_union), "shingle-tree-links")
+    more = staged(_tree_pairs(members, classes, signatures, connected, of_union), "shingle-tree-pairs")
+    rest = verified(more, texts, words, of_union)
+    discard(members, signatures)
     if not rest.isEmpty():
         connected = staged(components(connected.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest)), "shingle-components")
     placed = classes.select("set_key", "rep").join(connected.withColumnRenamed("node", "rep"), "rep", "left")
