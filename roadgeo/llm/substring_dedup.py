@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadgeo.llm.anchors import WINDOW, anchors
-from roadgeo.llm.common import by_batch, staged
+from roadgeo.llm.common import by_batch, discard, staged
 from roadgeo.llm.suffix_array import BASE, counted, ranked, suffix_ranks
 
 #: Anchors of one k-gram whose windows are compared in place.
@@ -83,15 +83,18 @@ def repeated_names(shared: DataFrame, base: int = BASE) -> DataFrame:
     # A run's place in the text: after the symbols and end marks of the runs before it.
     placed = counted(different.select("run", "names", (F.size("names") + 1).alias("length")), ["run"], ["length"], "repeat-placed")
     symbols = placed.select("before_length", F.posexplode("names")).select((F.col("before_length") + F.col("pos")).alias("i"), "col.gram", "col.name")
-    named = staged(ranked(symbols, ["gram", "name"], "c", "repeat-names"), "repeat-symbols")
+    named = ranked(symbols, ["gram", "name"], "c", "repeat-names")
     ends = placed.select((F.col("before_length") + F.col("length") - 1).alias("i"), F.lit(1).cast("bigint").alias("c"))
     text = staged(named.select("i", (F.col("c") + 1).alias("c")).union(ends), "repeat-text")
-    order = suffix_ranks(text, text.count(), base).join(text, "i").where("c > 1").select("rank", "c")
+    ranks = suffix_ranks(text, text.count(), base)
+    order = ranks.join(text, "i").where("c > 1").select("rank", "c")
     block, place = F.floor(F.col("rank") / NEIGHBOURS), F.col("rank") % NEIGHBOURS
     both = order.select("rank", "c", F.explode(F.when(place == 0, F.array(block - 1, block)).otherwise(F.array(block))).alias("block"))
     adjacent = both.groupBy("block").applyInPandas(_repeated_neighbours, "c bigint").distinct()
     between = named.withColumn("c", F.col("c") + 1).join(adjacent, "c").select("gram", "name")
-    return twice.union(between).distinct()
+    names = staged(twice.union(between).distinct(), "repeat-found")
+    discard(different, placed, named, text, ranks)
+    return names
 
 
 def window_hashes(raw: np.ndarray) -> np.ndarray:
@@ -185,7 +188,9 @@ def edge_marks(docs: DataFrame, shared: DataFrame, names: DataFrame) -> DataFram
     many = by_batch(cut.where("hot").select(*columns), _as_rows, "gram bigint, key binary, doc bigint, row bigint, start int, own boolean", 200)
     twice = many.groupBy("gram", "key").agg(F.count("*").alias("n")).where("n > 1").select("gram", "key")
     hot_marks = many.where("own").join(twice, ["gram", "key"]).select("doc", "row", "start", (F.col("start") + WINDOW).alias("end"))
-    return few.union(hot_marks)
+    marks = staged(few.union(hot_marks), "edge-marks")
+    discard(wanted, cut)
+    return marks
 
 
 def _finish(ids, texts, marks):
@@ -215,9 +220,10 @@ def dedup(docs: DataFrame, base: int = BASE) -> DataFrame:
         "doc", "row", "seq", F.col("x.grams").alias("gram"), F.col("x.names").alias("name"), F.col("x.firsts").alias("first"), F.col("x.counts").alias("count"), F.col("x.places").alias("place"))
     repeated = anchored.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     shared = staged(rows.join(repeated, "gram"), "anchors-shared")
-    names = staged(repeated_names(shared, base), "repeat-found")
+    discard(anchored)
+    names = repeated_names(shared, base)
     whole = shared.join(names, ["gram", "name"]).select("doc", "row", F.col("first").alias("start"), (F.col("first") + F.col("count") + WINDOW - 1).cast("int").alias("end"))
-    edges = staged(edge_marks(texts, shared, names), "edge-marks")
+    edges = edge_marks(texts, shared, names)
     marks = whole.union(edges).groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks"))
     ready = texts.join(marks, ["doc", "row"], "left")
     return by_batch(ready.select("doc_id", "text", "marks"), _finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, marks array<array<int>>")

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgeo.llm.common import shuffle_partitions, staged
+from roadgeo.llm.common import discard, shuffle_partitions, staged
 
 #: Symbols that one task sorts at the end of the recursion: a few MB.
 BASE = 1 << 18
@@ -53,14 +53,18 @@ def counted(df: DataFrame, keys: list[str], flags: list[str], name: str) -> Data
         return local.drop("slice")
     table = df.sparkSession.createDataFrame([(s, *o) for s, o in offsets.items()], "slice int, " + ", ".join(f"_{f} bigint" for f in flags))
     joined = local.join(F.broadcast(table), "slice")  # as many rows as partitions
-    return joined.select(*df.columns, *((F.col(f"before_{f}") + F.col(f"_{f}")).alias(f"before_{f}") for f in flags))
+    out = joined.select(*df.columns, *((F.col(f"before_{f}") + F.col(f"_{f}")).alias(f"before_{f}") for f in flags))
+    out.staged_path = local.staged_path
+    return out
 
 
 def ranked(df: DataFrame, keys: list[str], rank: str, name: str) -> DataFrame:
     """The rows with the dense rank, from 1, of their keys."""
     once = df.groupBy(*keys).agg(F.lit(True).alias("one"))
-    ranks = counted(once, keys, ["one"], name).select(*keys, (F.col("before_one") + 1).alias(rank))
-    return df.join(ranks, keys)
+    order = counted(once, keys, ["one"], name)
+    out = staged(df.join(order.select(*keys, (F.col("before_one") + 1).alias(rank)), keys), f"{name}-ranked")
+    discard(order)
+    return out
 
 
 def _doubled(text: pd.DataFrame) -> pd.DataFrame:
@@ -78,7 +82,7 @@ def _doubled(text: pd.DataFrame) -> pd.DataFrame:
 def suffix_ranks(text: DataFrame, n: int, base: int = BASE) -> DataFrame:
     """i and rank, from 1, of every suffix of a text (i from 0, symbol c from 1) of n symbols. Shorter suffixes come before their continuations."""
     if n <= base:
-        return text.select("i", "c", F.lit(0).alias("all")).groupBy("all").applyInPandas(_doubled, "i bigint, rank bigint")
+        return staged(text.select("i", "c", F.lit(0).alias("all")).groupBy("all").applyInPandas(_doubled, "i bigint, rank bigint"), "suffix-order")
     text = staged(text.select("i", "c"), "suffix-text")
 
     def ahead(df: DataFrame, value: str, by: int, alias: str) -> DataFrame:
@@ -87,21 +91,23 @@ def suffix_ranks(text: DataFrame, n: int, base: int = BASE) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     with_next = text.join(ahead(text, "c", 1, "c1"), "i", "left").join(ahead(text, "c", 2, "c2"), "i", "left").select("i", "c", zero("c1"), zero("c2"))
     with_next = staged(with_next, "suffix-triples")
-    named = staged(ranked(with_next.where("i % 3 <> 0"), ["c", "c1", "c2"], "name", "suffix-names"), "suffix-named")
+    named = ranked(with_next.where("i % 3 <> 0"), ["c", "c1", "c2"], "name", "suffix-names")
     size, names = named.agg(F.count("*"), F.coalesce(F.max("name"), F.lit(0))).first()
     # Positions of the shorter text: first those of remainder 1, then those of remainder 2.
     ones = (n + 1) // 3
     short = named.select(F.expr(f"i div 3 + if(i % 3 = 1, 0, {ones})").alias("k"), "i", F.col("name").alias("c"))
     if names == size:
-        sample = short.select("i", F.col("c").alias("rank"))
+        sample = staged(short.select("i", F.col("c").alias("rank")), "suffix-ranks")
     else:
         # The end of the first half must not run on into the second one: its last triple then ends in 0 only if n % 3 = 1.
         own = short.select(F.expr(f"k + if(k >= {ones}, 1, 0)").alias("i"), (F.col("c") + 1).alias("c"))
         gap = text.sparkSession.createDataFrame([(ones, 1)], "i bigint, c bigint")
-        ranks = suffix_ranks(own.union(gap), size + 1, base).withColumnRenamed("i", "j")
+        below = suffix_ranks(own.union(gap), size + 1, base)
+        ranks = below.withColumnRenamed("i", "j")
         joined = short.withColumn("j", F.expr(f"k + if(k >= {ones}, 1, 0)")).join(ranks, "j")
-        sample = counted(joined.select("i", "rank", F.lit(True).alias("one")), ["rank"], ["one"], "suffix-sample").select("i", (F.col("before_one") + 1).alias("rank"))
-    sample = staged(sample, "suffix-ranks")
+        dense = counted(joined.select("i", "rank", F.lit(True).alias("one")), ["rank"], ["one"], "suffix-sample")
+        sample = staged(dense.select("i", (F.col("before_one") + 1).alias("rank")), "suffix-ranks")
+        discard(below, dense)
     full = with_next.join(sample, "i", "left").join(ahead(sample, "rank", 1, "r1"), "i", "left").join(ahead(sample, "rank", 2, "r2"), "i", "left")
     full = staged(full.select("i", "c", "c1", "rank", zero("r1"), zero("r2"), *((F.col("i") % 3 == r).alias(f"is{r}") for r in range(3))), "suffix-full")
     with_ones = counted(full.where("not is2"), ["c", "r1", "i"], ["is0", "is1"], "suffix-merge-1")
@@ -110,4 +116,6 @@ def suffix_ranks(text: DataFrame, n: int, base: int = BASE) -> DataFrame:
         with_twos.where("is0").select("i", F.col("before_is2").alias("two")), "i").select("i", (F.col("one") + F.col("two") + 1).alias("rank"))
     first = with_ones.where("is1").select("i", (F.col("rank") + F.col("before_is0")).alias("rank"))
     second = with_twos.where("is2").select("i", (F.col("rank") + F.col("before_is0")).alias("rank"))
-    return rest.union(first).union(second)
+    out = staged(rest.union(first).union(second), "suffix-order")
+    discard(text, with_next, named, sample, full, with_ones, with_twos)
+    return out
