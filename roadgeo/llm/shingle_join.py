@@ -12,7 +12,8 @@ are buckets whose classes are not all connected. There, signature trees are join
 bitmaps and sizes, inner nodes the bitmaps combined by OR (and by AND) and the range of sizes. A pair of nodes is
 entered only if the largest overlap that bitmaps and sizes allow reaches the threshold. Buckets of more than CHUNK
 classes are cut into chunks, and each pair of chunks is a task's work. A pair is given by the first part in which it
-agrees, and only if it is not yet connected. Every candidate is then decided on its whole shingle sets.
+agrees, and only if it is not yet connected. Of buckets of one table that hold the same classes, one stands for all.
+Every candidate is then decided on its whole shingle sets.
 
 The result has a row per document: its set's size and its component. Links themselves are not expanded.
 
@@ -289,18 +290,10 @@ def link(docs: DataFrame, words: int = WORDS, of_union: int = OF_UNION) -> DataF
 
     # size, n and place make one number: few bytes are shuffled for each part.
     sizes = F.shiftleft(F.col("n"), 32).bitwiseOR(F.shiftleft(F.col("size").cast("bigint"), 26)).bitwiseOR(F.col("place").cast("bigint"))
-    keyed = classes.select("rep", "n", F.inline("tables")).select("rep", "n", "size", F.posexplode("parts").alias("place", "part")).where("part <> 0")
-    keyed = keyed.select(F.xxhash64("size", "place", "part").alias("key"), "rep", sizes.alias("sizes"))
-    shares = []
-    for share in range(SHARES):
-        own = keyed.where(F.pmod("key", F.lit(SHARES)) == share)
-        met = own.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        shares.append(staged(own.join(met, "key"), "shingle-buckets"))
-    found = reduce(DataFrame.union, shares).select(
-        "key", "rep", "members", F.shiftright("sizes", 32).alias("n"), F.shiftright("sizes", 26).bitwiseAND(F.lit(63)).cast("int").alias("size"), F.col("sizes").bitwiseAND(F.lit((1 << 26) - 1)).cast("int").alias("place"))
-    first = found.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("first"))
-    members = staged(found.join(first, "key"), "shingle-members")
-    discard(*shares)
+    keyed = classes.select("rep", "n", F.hash("set_key").alias("own"), F.inline("tables")).select("rep", "n", "own", "size", F.posexplode("parts").alias("place", "part")).where("part <> 0")
+    keyed = keyed.select(F.xxhash64("size", "place", "part").alias("key"), "rep", "own", sizes.alias("sizes"))
+    shares = [_buckets(keyed.where(F.pmod("key", F.lit(SHARES)) == share)) for share in range(SHARES)]
+    members = reduce(DataFrame.union, shares)
 
     involved = members.select("rep").distinct()
     signatures = by_batch(texts.join(involved, texts["doc_id"] == involved["rep"], "left_semi"), _signatures_of(words), "rep bigint, n bigint, bits binary")
@@ -317,7 +310,7 @@ def link(docs: DataFrame, words: int = WORDS, of_union: int = OF_UNION) -> DataF
 
     more = staged(_tree_pairs(members, classes, signatures, connected, of_union), "shingle-tree-pairs")
     rest = verified(more, texts, words, of_union)
-    discard(members, signatures)
+    discard(signatures, *shares)
     if not rest.isEmpty():
         connected = staged(components(connected.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest)), "shingle-components")
     placed = classes.select("set_key", "rep").join(connected.withColumnRenamed("node", "rep"), "rep", "left")
@@ -326,6 +319,23 @@ def link(docs: DataFrame, words: int = WORDS, of_union: int = OF_UNION) -> DataF
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _buckets(keyed: DataFrame) -> DataFrame:
+    """The rows of the buckets that hold several classes, and the smallest class of each.
+
+    Copies that differ little agree in most parts, so many buckets of a table hold the same classes and give the same pairs.
+    The one of the first place stands for them all: a pair's first common part is never among those left out."""
+    met = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    stored = staged(keyed.join(met, "key"), "shingle-buckets")
+    n, table, place = F.shiftright("sizes", 32), F.shiftright("sizes", 26).bitwiseAND(F.lit(63)), F.col("sizes").bitwiseAND(F.lit((1 << 26) - 1))
+    rows = stored.select("key", "rep", "own", "members", n.alias("n"), table.cast("int").alias("size"), place.cast("int").alias("place"))
+    low = F.xxhash64("rep").bitwiseAND(F.lit((1 << 32) - 1))
+    buckets = rows.groupBy("key", "members", "size", "place").agg(F.min(F.struct("rep", "n")).alias("first"), F.sum(F.col("own").cast("bigint")).alias("owns"), F.sum(low).alias("reps"))
+    stand = buckets.groupBy("size", "members", "first", "owns", "reps").agg(F.min(F.struct("place", "key")).alias("by")).select("by.key", "first")
+    found = staged(rows.drop("own").join(stand, "key"), "shingle-members")
+    discard(stored)
+    return found
+
+
 def _tree_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, connected: DataFrame, of_union: int) -> DataFrame:
     """Candidates, not connected yet, of the buckets that hold several components."""
     rows = members.join(connected.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
