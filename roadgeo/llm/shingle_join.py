@@ -11,8 +11,7 @@ In a bucket, first every class is compared with the smallest one: that is linear
 are buckets whose classes are not all connected. There, signature trees are joined: leaves hold the classes' token
 bitmaps and sizes, inner nodes the bitmaps combined by OR (and by AND) and the range of sizes. A pair of nodes is
 entered only if the largest overlap that bitmaps and sizes allow reaches the threshold. Buckets of more than CHUNK
-classes are cut into chunks, and each pair of chunks is a task's work. A pair is given by the first part in which it
-agrees, and only if it is not yet connected. Of buckets of one table that hold the same classes, one stands for all.
+classes are cut into chunks, and each pair of chunks is a task's work. A pair that is connected already is not given. Of buckets of one table that hold the same classes, one stands for all.
 Every candidate is then decided on its whole shingle sets.
 
 The result has a row per document: its set's size and its component. Links themselves are not expanded.
@@ -212,7 +211,7 @@ def _tree_join(cell: dict[str, np.ndarray], of_union: int) -> tuple[np.ndarray,
     order = np.lexsort((cell["rep"], cell["n"]))
     cell = {k: v[order] for k, v in cell.items()}
     maps, sizes = same_length(cell["bits"].tolist()), cell["n"]
-    parts, comp, rep = np.stack(cell["parts"]), cell["component"], cell["rep"]
+    comp, rep = cell["component"], cell["rep"]
     left, right = cell["left"][0], cell["right"][0]
     if left == right:
         i, j = joined(maps, sizes, maps, sizes, True, of_union)
@@ -223,15 +222,7 @@ def _tree_join(cell: dict[str, np.ndarray], of_union: int) -> tuple[np.ndarray,
         i, j = joined(maps[x], sizes[x], maps[y], sizes[y], False, of_union)
         i, j = x[i], y[j]
     keep = comp[i] != comp[j]
-    i, j = i[keep], j[keep]
-    found = [(np.zeros(0, np.int64),) * 2]
-    for s in range(0, len(i), 4096):
-        u, v = i[s : s + 4096], j[s : s + 4096]
-        agree = (parts[u] == parts[v]) & (parts[u] != 0)
-        first = agree.argmax(axis=1) == cell["place"][0]
-        few = (parts[u] != parts[v]).sum(axis=1) <= (100 - of_union) * (sizes[u] + sizes[v]) // (100 + of_union)
-        found.append((rep[u[first & few]], rep[v[first & few]]))
-    a, b = (np.concatenate(f) for f in zip(*found))
+    a, b = rep[i[keep]], rep[j[keep]]
     return np.maximum(a, b), np.minimum(a, b)
 
 
@@ -308,7 +299,7 @@ def link(docs: DataFrame, words: int = WORDS, of_union: int = OF_UNION) -> DataF
         F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.explode("reps").alias("a"), "b").where("a <> b")
     connected = staged(components(verified(stars, texts, words, of_union).union(same)), "shingle-components")
 
-    more = staged(_tree_pairs(members, classes, signatures, connected, of_union), "shingle-tree-pairs")
+    more = staged(_tree_pairs(members, signatures, connected, of_union), "shingle-tree-pairs")
     rest = verified(more, texts, words, of_union)
     discard(signatures, *shares)
     if not rest.isEmpty():
@@ -323,7 +314,7 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     """The rows of the buckets that hold several classes, and the smallest class of each.
 
     Copies that differ little agree in most parts, so many buckets of a table hold the same classes and give the same pairs.
-    The one of the first place stands for them all: a pair's first common part is never among those left out."""
+    The one of the first place stands for them all."""
     met = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     stored = staged(keyed.join(met, "key"), "shingle-buckets")
     n, table, place = F.shiftright("sizes", 32), F.shiftright("sizes", 26).bitwiseAND(F.lit(63)), F.col("sizes").bitwiseAND(F.lit((1 << 26) - 1))
@@ -336,18 +327,17 @@ def _buckets(keyed: DataFrame) -> DataFrame:
     return found
 
 
-def _tree_pairs(members: DataFrame, classes: DataFrame, sets: DataFrame, connected: DataFrame, of_union: int) -> DataFrame:
+def _tree_pairs(members: DataFrame, sets: DataFrame, connected: DataFrame, of_union: int) -> DataFrame:
     """Candidates, not connected yet, of the buckets that hold several components."""
     rows = members.join(connected.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_ = rows.join(split, "key")
-    parts = classes.select("rep", F.inline("tables"))
-    full = open_.join(parts, ["rep", "size"]).join(sets.select("rep", F.col("n"), "bits"), ["rep", "n"])
+    full = open_.join(sets.select("rep", F.col("n"), "bits"), ["rep", "n"])
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     dealt = full.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
     # A row of chunk c goes to the cells (i, c) with i <= c and (c, j) with j > c.
     cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda i: F.struct(F.least(i, F.col("chunk")).alias("left"), F.greatest(i, F.col("chunk")).alias("right")))
-    dealt = dealt.select("key", "place", "rep", "component", "n", "bits", "parts", "chunk", F.inline(cells))
+    dealt = dealt.select("key", "rep", "component", "n", "bits", "chunk", F.inline(cells))
     cell = ["key", "left", "right"]
     laid = dealt.repartition(*cell).sortWithinPartitions(*cell)
     return laid.mapInPandas(_cell_by_cell(of_union), "a bigint, b bigint").distinct()
