@@ -365,7 +365,7 @@ WKT_PATTERN = (
     rf"^\s*(?:POINT\s*\({_PAIR}\)\s*|LINESTRING{_LINE}|POLYGON{_RINGS}|MULTIPOLYGON{_SHELLS}"
     r"|(?:POINT|LINESTRING|POLYGON|MULTIPOLYGON)\s+EMPTY\s*)$"
 )
-_PART = r"\(([^()]+)\)"
+PART_PATTERN = r"\(([^()]+)\)"
 
 
 def parse_wkt(text: str) -> tuple[str, list[list[tuple[float, float]]]]:
@@ -374,7 +374,7 @@ def parse_wkt(text: str) -> tuple[str, list[list[tuple[float, float]]]]:
         raise ValueError(f"not a geometry text: {text!r}")
     parts = [
         [tuple(float(n) for n in pair.split()) for pair in part.split(",")]
-        for part in re.findall(_PART, text)
+        for part in re.findall(PART_PATTERN, text)
     ]
     kind = re.match(r"\s*(\w+)", text).group(1).upper()
     if kind in (POLYGON, MULTIPOLYGON) and any(len(r) < 4 or r[0] != r[-1] for r in parts):
@@ -408,7 +408,7 @@ def st_geomfromwkt(text: Column | str) -> Column:
         return vertex(F.get(n, F.lit(0)), F.get(n, F.lit(1)))
 
     parts = F.transform(
-        F.regexp_extract_all(text, F.lit(_PART), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(PART_PATTERN), F.lit(1)),
         lambda part: F.transform(F.split(part, ","), pair),
     )
     parsed = F.struct(kind.alias("type"), parts.alias("parts"))
