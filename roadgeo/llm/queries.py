@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roadgeo.llm import bpe, mixing, quality, rules, secret_scan, shingle_join, site_tree, substring_dedup, topk, toxicity
+from roadgeo.llm import bpe, language, merkle, mixing, quality, rules, secret_scan, shingle_join, site_tree, substring_dedup, topk, toxicity, whitening
 from roadgeo.llm.common import table
 
 #: Rank file of the encoding queries, by path.
@@ -54,6 +55,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids whose crc32 is even lose the line ends of their text."""
+    tampers = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampers, F.replace("text", F.lit("\n"), F.lit("")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_site_tree": op1_site_tree,
     "op2_block_top_k": op2_block_top_k,
@@ -65,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_poisson_mix": op8_poisson_mix,
     "op9_rule_ledger": op9_rule_ledger,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_language_filters": op11_language_filters,
+    "op12_whitening": op12_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
@@ -131,8 +150,51 @@ ranked as (select *, row_number() over (partition by query_id, r order by score
 select query_id, rank, vec_id, score from ranked where rank <= {topk.K}"""
 
 
+def _manifest_sql() -> str:
+    field = lambda e: f"coalesce(strlen(({e})::varchar)::varchar || ':' || ({e})::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(text if c == "text" else c) for c in merkle.FIELDS) + ")"
+    f = merkle.FANOUT
+    crc = """xor(4294967295, list_reduce(
+        [4294967295::bigint] || list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint),
+        lambda a, b: list_reduce([xor(a, b)] || [0::bigint for _ in range(8)], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+    up = lambda name, grp: f"""
+    select {grp} as grp, lvl + 1, pos // {f}, (n + {f - 1}) // {f}, sha256(string_agg(digest, '' order by pos))
+    from {name} where n > 1 group by grp, lvl, pos // {f}, n"""
+    fold = lambda name, nodes: f"""
+    select t.r, t.grp, t.lvl + 1, t.pos // {f}, (t.n + {f - 1}) // {f},
+        sha256(string_agg(case when o.pos = t.pos then t.digest else o.digest end, '' order by o.pos)),
+        t.proof || coalesce(string_agg(o.digest, '' order by o.pos) filter (where o.pos <> t.pos), '')
+    from {name} t join {nodes} o on o.grp is not distinct from t.grp and o.lvl = t.lvl and o.pos // {f} = t.pos // {f}
+    where t.n > 1 group by t.r, t.grp, t.lvl, t.pos, t.n, t.digest, t.proof"""
+    return f"""
+with recursive hashed as (
+    select row_number() over () as r, doc_id, source, {leaf("text")} as leaf,
+        case when doc_id is not null and {crc} % 2 = 0 then {leaf("replace(text, chr(10), '')")} else {leaf("text")} end as other
+    from documents),
+leaves as (
+    select *, row_number() over (partition by source order by doc_id nulls first, leaf, r) - 1 as pos, count(*) over (partition by source) as n
+    from hashed),
+nodes(grp, lvl, pos, n, digest) as (
+    select source, 0, pos, n, leaf from leaves
+    union all {up("nodes", "grp")}),
+subroots as (select grp as source, digest, row_number() over (order by grp nulls first) - 1 as place, count(*) over () as n from nodes where n = 1),
+tops(grp, lvl, pos, n, digest) as (
+    select 0, 0, place, n, digest from subroots
+    union all {up("tops", "grp")}),
+low(r, grp, lvl, pos, n, digest, proof) as (
+    select r, source, 0, pos, n, other, '' from leaves
+    union all {fold("low", "nodes")}),
+high(r, grp, lvl, pos, n, digest, proof) as (
+    select l.r, 0, 0, s.place, s.n, l.digest, l.proof from low l join subroots s on l.grp is not distinct from s.source where l.n = 1
+    union all {fold("high", "tops")})
+select d.doc_id, d.source, d.leaf, s.digest as subroot, t.digest as root, sha256(h.proof) as proof_sha256,
+    h.digest as folded_root, h.digest = t.digest as verified
+from hashed d join subroots s on d.source is not distinct from s.source join high h on h.r = d.r and h.n = 1 join tops t on t.n = 1"""
+
+
 ORACLE: dict[str, str] = {
     "op2_block_top_k": _top_k_sql(),
     "op8_poisson_mix": _mix_sql(),
     "op9_rule_ledger": _ledger_sql(),
+    "op13_merkle_manifest": _manifest_sql(),
 }
