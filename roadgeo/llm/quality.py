@@ -75,10 +75,17 @@ class Model:
         rng = np.random.default_rng(SEED)
         w = rng.normal(size=(stats.shape[1], FEATURES)) / WIDTH
         shift = rng.uniform(0, 2 * np.pi, FEATURES)
-        return np.hstack([np.cos(z @ w + shift) * np.sqrt(2 / FEATURES), np.ones((len(z), 1))])
+        # Added up term by term: a product of matrices rounds by the place of a row in its batch.
+        angle = np.repeat(shift[None], len(z), axis=0)
+        for column, row in zip(z.T, w):
+            angle += column[:, None] * row
+        return np.hstack([np.cos(angle) * np.sqrt(2 / FEATURES), np.ones((len(z), 1))])
 
     def raw(self, stats: np.ndarray) -> np.ndarray:
-        return self.features(stats) @ self.weights
+        total = np.zeros(len(stats))
+        for column, weight in zip(self.features(stats).T, self.weights):
+            total += column * weight
+        return total
 
     def scores(self, stats: np.ndarray) -> np.ndarray:
         if not len(self.knots):
