@@ -60,12 +60,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | N
     spark = docs.sparkSession
     # Written, so that Spark knows its size and broadcasts it below its own threshold only.
     rates = staged(source_rates(docs, weights, total), "source-rates").select(F.col("source").alias("_source"), "parts", "cdf")
-    docs = docs.drop("copy", "shuffle_key")
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["_source"]))
+    # One column holds the document, so that its columns may bear any name.
+    picked = docs.drop("copy", "shuffle_key")
+    whole = picked.select(F.struct(*(F.col(f"`{c}`") for c in picked.columns)).alias("doc"))
+    joined = whole.join(rates, F.col("doc.source").eqNullSafe(F.col("_source")))
     draw = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")), F.lit(0),
-        lambda n, j: n + F.size(F.filter("cdf", lambda c: c <= _uniform(F.lit(seed), F.col("doc_id"), j))))
-    copies = joined.withColumn("_n", draw).where("_n > 0").select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+        lambda n, j: n + F.size(F.filter("cdf", lambda c: c <= _uniform(F.lit(seed), F.col("doc.doc_id"), j))))
+    copies = joined.select("doc", draw.alias("times")).where("times > 0").select("doc.*", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
     keyed = copies.withColumn("shuffle_key", _uniform(F.lit(seed + "-order"), F.col("doc_id"), F.col("copy")))
     # The key is uniform, so its range can be cut without sampling.
     n = shuffle_partitions(spark)

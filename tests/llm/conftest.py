@@ -16,7 +16,7 @@ def awkward(spark):
         (5, prose(9000, 5), "b"), (6, "one", "b"), (7, prose(60, 3), None), (8, prose(61), "a"), (9, "x" * 5000, "c"), (9, prose(30, 9), "c"),
     ]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    clash = "row key name gram rep n component component_id held_out score copy shuffle_key stats bits ids failed kept _n _source doc start parts place".split()
+    clash = "row key name gram rep n component component_id held_out score copy shuffle_key stats bits ids failed kept _n _source doc start parts place cdf times rate w angle stats_ _s _g _slice _before".split()
     return df.selectExpr("*", "'en' as lang", "cast(null as bigint) as n_chars", *(f"cast(null as int) as `{c}`" for c in clash))
 
 
