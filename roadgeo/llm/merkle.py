@@ -147,8 +147,8 @@ def manifest(docs: DataFrame, tampers: F.Column, tampered_text: F.Column) -> Dat
     trees = _rise(lowest.select("grp", "pos", "n", "digest"))
 
     last = trees[-1].select(F.col("grp").alias("source"), F.col("digest"), F.lit("").alias("grp"))
-    over = numbered(last, "grp", ["source"], "pos").join(last.groupBy(F.col("grp").alias("of")).agg(F.count("*").alias("n")), F.col("grp") == F.col("of"))
-    subroots = staged(over.drop("of"), "merkle-subroots")
+    over = numbered(last, "grp", ["source"], "pos").withColumn("n", F.lit(last.count()).cast("bigint"))
+    subroots = staged(over, "merkle-subroots")
     upper = _rise(subroots.select("grp", "pos", "n", "digest"))
     start = upper[-1].select("grp", "pos", F.array().cast(f"array<{_STEP}>").alias("steps"), F.lit("").alias("subroot"), F.col("digest").alias("root"))
     paths = _descend(upper, start).select(F.col("pos").alias("place"), "steps", "root")
