@@ -300,6 +300,7 @@ def oracle_sql() -> dict[str, str]:
         "osm_way_vertices": _osm("SELECT way_id, pos, x, y FROM vert"),
         "osm_relation_members_way": _osm(f"{members} WHERE ref_type = 'way'"),
         "osm_relation_members_any": _osm(members),
+        "osm_pbf_roundtrip": _osm(f"{members} WHERE ref_type = 'way'"),
         "export_ways": _osm("SELECT id AS osm_id, name, round(len, 9) AS length FROM osm"),
         "way_wkt": _osm(
             """SELECT way_id AS id, 'LINESTRING (' || string_agg(

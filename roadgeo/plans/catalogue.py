@@ -38,6 +38,7 @@ from roadgeo.plans import road_queries as roads
 from roadgeo.sources import tables
 from roadgeo.sources.gpx import read_gpx, track_name
 from roadgeo.sources.osm import read_osm, stage_elements
+from roadgeo.sources.pbf_sink import write_osm_pbf
 from roadgeo.sources.scratch import scratch_path
 from roadgeo.types import BBOX_COLUMNS
 
@@ -358,6 +359,22 @@ def osm_xml_roundtrip(spark, sf_dir):
     )
 
 
+def osm_pbf_roundtrip(spark, sf_dir):
+    """Elements written as OSM PBF, read back by byte ranges and assembled: each scan reads one kind."""
+    path = scratch_path(spark, "derived.osm.pbf")
+    write_osm_pbf(_elements(spark, sf_dir), path)
+    found = assembly.relation_members(read_osm(spark, path), "way")
+    return _rounded(
+        found.select(
+            "id",
+            "ref",
+            "ref_type",
+            F.col("tags")["type"].alias("relation_type"),
+            st_length("geometry").alias("length"),
+        )
+    )
+
+
 def track_name_fallback(spark, sf_dir):
     """Track names where every seventh track has no name and every fifth an empty one."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -540,6 +557,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "track_points": track_points,
     "gpx_roundtrip": gpx_roundtrip,
     "osm_xml_roundtrip": osm_xml_roundtrip,
+    "osm_pbf_roundtrip": osm_pbf_roundtrip,
     "track_name_fallback": track_name_fallback,
     "file_stem": file_stems,
     "parquet_roundtrip": parquet_roundtrip,

@@ -7,21 +7,18 @@ inside it, so any number of tasks can share one file.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 from xml.etree.ElementTree import XMLPullParser
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from roadgeo.sources.files import ELEMENT_BATCH, file_sizes, open_file
+from roadgeo.sources.files import ELEMENT_BATCH, KINDS, ByteRanges, ElementReader, open_file
 from roadgeo.types import ELEMENTS
 
 ELEMENT_START = re.compile(rb"<(?:node|way|relation)[\s/>]")
 LONGEST_START = 16  # bytes that may hold a start cut by the end of a read
 READ_BYTES = 1 << 20
-RANGE_BYTES = 32 << 20
 BATCH_ROWS = 10_000
-KINDS = ("node", "way", "relation")
 
 
 def _first_start(file, offset: int) -> int | None:
@@ -62,66 +59,56 @@ def _elements(file, begin: int, end: int | None):
                 root.clear()
 
 
-def _row(element) -> tuple:
-    kind = element.tag
-    tags = [(t.get("k"), t.get("v")) for t in element.iterfind("tag")]
-    location = refs = ref_types = None
-    if kind == "node":
-        lon, lat = element.get("lon"), element.get("lat")
-        if lon is not None and lat is not None:
-            location = {"longitude": float(lon), "latitude": float(lat)}
-    elif kind == "way":
-        refs = [int(n.get("ref")) for n in element.iterfind("nd")]
-    else:
-        members = element.findall("member")
-        refs = [int(m.get("ref")) for m in members]
-        ref_types = [m.get("type") for m in members]
-    return int(element.get("id")), kind, tags, location, refs, ref_types
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), ELEMENT_BATCH)]
-    return pa.RecordBatch.from_arrays(columns, schema=ELEMENT_BATCH)
-
-
-@dataclass
-class ByteRanges(InputPartition):
-    """Stretches of files, as (path, begin, end), for one task."""
-
-    stretches: tuple
-
-    def __post_init__(self):
-        self.value = self.stretches
-
-
-class OsmXmlReader(DataSourceReader):
-    def __init__(self, path: str, range_bytes: int):
-        self.path = path
-        self.range_bytes = range_bytes
-
-    def partitions(self):
-        """Cut large files, and put small ones together."""
-        out, held, size_held = [], [], 0
-        for path, size in file_sizes(self.path):
-            for begin in range(0, size, self.range_bytes):
-                end = min(begin + self.range_bytes, size)
-                if held and size_held + end - begin > self.range_bytes:
-                    out.append(ByteRanges(tuple(held)))
-                    held, size_held = [], 0
-                held.append((path, begin, end))
-                size_held += end - begin
-        return [*out, ByteRanges(tuple(held))]
+def _tags(element) -> list[tuple]:
+    return [(t.get("k"), t.get("v")) for t in element.iterfind("tag")]
 
+
+def _location(element) -> dict | None:
+    lon, lat = element.get("lon"), element.get("lat")
+    if element.tag != "node" or lon is None or lat is None:
+        return None
+    return {"longitude": float(lon), "latitude": float(lat)}
+
+
+def _refs(element) -> list[int] | None:
+    if element.tag == "node":
+        return None
+    return [int(n.get("ref")) for n in element.iterfind("nd" if element.tag == "way" else "member")]
+
+
+def _ref_types(element) -> list[str] | None:
+    return [m.get("type") for m in element.iterfind("member")] if element.tag == "relation" else None
+
+
+#: What gives each column of an element.
+COLUMNS = {
+    "id": lambda element: int(element.get("id")),
+    "kind": lambda element: element.tag,
+    "tags": _tags,
+    "location": _location,
+    "refs": _refs,
+    "ref_types": _ref_types,
+}
+
+
+def _batch(columns: list[str], rows: list[list]) -> pa.RecordBatch:
+    schema = pa.schema([ELEMENT_BATCH.field(c) for c in columns])
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+class OsmXmlReader(ElementReader):
     def read(self, partition: ByteRanges):
         rows = []
         for path, begin, end in partition.stretches:
             for element in self._stretch(path, begin, end):
-                rows.append(_row(element))
+                if element.tag not in self.kinds:
+                    continue
+                rows.append([COLUMNS[c](element) for c in self.columns])
                 if len(rows) >= BATCH_ROWS:
-                    yield _batch(rows)
+                    yield _batch(self.columns, rows)
                     rows = []
         if rows:
-            yield _batch(rows)
+            yield _batch(self.columns, rows)
 
     @staticmethod
     def _stretch(path: str, begin: int, end: int):
@@ -140,6 +127,4 @@ class OsmXmlSource(DataSource):
         return ELEMENTS
 
     def reader(self, schema) -> DataSourceReader:
-        return OsmXmlReader(
-            self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES))
-        )
+        return OsmXmlReader(self.options, schema.fieldNames())

@@ -1,20 +1,25 @@
 """OSM PBF as a Spark data source.
 
-The driver only walks the blob headers to find where blobs start. Executors read, inflate and
-decode their blobs into Arrow batches.
+Files are cut into byte ranges without being opened. The task of a range looks for the first blob that starts in it, and
+reads blobs until one starts beyond it. Groups of kinds that are not asked for are passed over, and columns that are not
+asked for are not decoded.
 """
 
 from __future__ import annotations
 
+import bz2
+import lzma
+import re
 import struct
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from roadgeo.sources.files import ELEMENT_BATCH, LOCATION, open_file
+from roadgeo.sources import wire
+from roadgeo.sources.files import ELEMENT_BATCH, LOCATION, ByteRanges, ElementReader, open_file
 from roadgeo.types import ELEMENTS
 
 # Fixed values of the PBF format.
@@ -22,60 +27,105 @@ MEMBER_TYPES = ("node", "way", "relation")
 KNOWN_FEATURES = {"OsmSchema-V0.6", "DenseNodes", "HistoricalInformation"}
 DEFAULT_GRANULARITY = 100
 DEGREE = 1e-9
-
-PARTITION_BYTES = 32 << 20  # compressed bytes per input partition
-
-# ---------------------------------------------------------------- wire format
-
-
-def _varint(buf, pos: int) -> tuple[int, int]:
-    value = shift = 0
-    while True:
-        byte = buf[pos]
-        pos += 1
-        value |= (byte & 0x7F) << shift
-        if byte < 0x80:
-            return value, pos
-        shift += 7
-
-
-def _fields(buf):
-    """(number, value) of each field: an int, or the bytes of a nested field."""
-    pos = 0
-    while pos < len(buf):
-        key, pos = _varint(buf, pos)
-        wire = key & 7
-        if wire == 0:
-            value, pos = _varint(buf, pos)
-        elif wire == 2:
-            size, pos = _varint(buf, pos)
-            value, pos = buf[pos : pos + size], pos + size
-        else:
-            size = {1: 8, 5: 4}[wire]
-            value, pos = buf[pos : pos + size], pos + size
-        yield key >> 3, value
-
-
-def _signed(value: int) -> int:
-    """Zigzag form of a signed number."""
-    return (value >> 1) ^ -(value & 1)
-
-
-def _packed(buf) -> np.ndarray:
-    """All unsigned numbers of a packed field."""
-    raw = np.frombuffer(buf, np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64)
-    last = np.flatnonzero(raw < 0x80)
-    first = np.concatenate([[0], last[:-1] + 1])
-    shift = 7 * (np.arange(len(raw)) - np.repeat(first, last - first + 1))
-    return np.bitwise_or.reduceat((raw & 0x7F).astype(np.uint64) << shift.astype(np.uint64), first)
-
-
-def _packed_deltas(buf) -> np.ndarray:
-    """Signed numbers stored as differences."""
-    value = _packed(buf)
-    return np.cumsum((value >> np.uint64(1)).astype(np.int64) ^ -(value & 1).astype(np.int64))
+LARGEST_HEADER, LARGEST_BLOB = 64 << 10, 32 << 20
+#: A blob starts with the size of its header, whose first field is the kind of blob.
+BLOB_START = re.compile(rb"(?=\x00[\x00\x01]..\n(?:\x07OSMData|\x09OSMHeader))", re.DOTALL)
+START_BYTES = 16  # that the pattern may look at
+
+READ_BYTES = 1 << 20
+#: Blobs that have to follow each other before a place is taken for the start of one.
+CHAIN = 3
+
+# ---------------------------------------------------------------- blobs
+
+
+def _blob(file, pos: int, size: int) -> tuple[str, int, int] | None:
+    """Kind, start and end of the blob whose header starts at ``pos``; None if no blob can start there."""
+    file.seek(pos)
+    head = file.read(4)
+    if len(head) < 4 or (n := struct.unpack(">I", head)[0]) > LARGEST_HEADER:
+        return None
+    head = file.read(n)
+    try:
+        part = {number: (head[a:b], a) for number, a, b in wire.spans(head, 0, len(head))}
+        kind, length = part[1][0].decode("ascii"), part[3][1]
+    except (ValueError, IndexError, KeyError):
+        return None
+    start = pos + 4 + n
+    if len(head) < n or not 0 <= length <= LARGEST_BLOB or start + length > size:
+        return None
+    return kind, start, start + length
+
+
+def _is_start(file, pos: int, size: int) -> bool:
+    for _ in range(CHAIN):
+        if pos == size:
+            return True
+        found = _blob(file, pos, size)
+        if found is None:
+            return False
+        pos = found[2]
+    return True
+
+
+def first_blob(file, begin: int, size: int) -> int | None:
+    """The first place at or after ``begin`` where a blob starts."""
+    if begin == 0:
+        return 0
+    offset, held = begin, b""
+    while offset + len(held) < size:
+        file.seek(offset + len(held))
+        held += file.read(READ_BYTES)
+        for match in BLOB_START.finditer(held):
+            if _is_start(file, offset + match.start(), size):
+                return offset + match.start()
+        keep = held[-START_BYTES + 1 :]
+        offset, held = offset + len(held) - len(keep), keep
+        if offset + len(held) >= size:
+            return None
+    return None
+
+
+def blobs(path: str, begin: int, end: int) -> Iterator[bytes]:
+    """Data blobs that start in a range. The header blob is checked by the task that meets it."""
+    with open_file(path) as file:
+        size = file.size()
+        pos = first_blob(file, begin, size)
+        while pos is not None and pos < min(end, size):
+            found = _blob(file, pos, size)
+            if found is None:
+                raise ValueError(f"no blob at byte {pos} of {path}")
+            kind, start, pos = found
+            if kind in ("OSMHeader", "OSMData"):
+                file.seek(start)
+                blob = file.read(pos - start)
+                if kind == "OSMData":
+                    yield blob
+                else:
+                    _check_header(inflate(blob))
+
+
+def inflate(blob: bytes) -> bytes:
+    """The content of a blob, whichever way it is compressed."""
+    part = {number: blob[a:b] if b >= 0 else a for number, a, b in wire.spans(blob, 0, len(blob))}
+    if 1 in part:
+        return part[1]
+    if 3 in part:
+        return zlib.decompress(part[3])
+    if 4 in part:
+        return lzma.decompress(part[4])
+    if 5 in part:
+        return bz2.decompress(part[5])
+    for number, codec in ((6, "lz4_raw"), (7, "zstd")):
+        if number in part:
+            return pa.Codec(codec).decompress(part[number], part[2], asbytes=True)
+    raise ValueError("a blob without data")
+
+
+def _check_header(data: bytes) -> None:
+    required = {data[a:b].decode() for n, a, b in wire.spans(data, 0, len(data)) if n == 4}
+    if required - KNOWN_FEATURES:
+        raise ValueError(f"unsupported PBF features: {sorted(required - KNOWN_FEATURES)}")
 
 
 # ---------------------------------------------------------------- blocks to Arrow
@@ -85,187 +135,115 @@ def _offsets(counts) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
 
 
-def _join(arrays, dtype=np.int64) -> np.ndarray:
-    return np.concatenate(arrays).astype(dtype) if arrays else np.empty(0, dtype)
+class Block:
+    """One primitive block: its strings and coordinate scale, and its groups as batches of the wanted kinds and columns."""
 
-
-class _Block:
-    """One primitive block: its strings and coordinate scale, and its groups as batches."""
-
-    def __init__(self, data: bytes):
-        self.groups, strings = [], []
-        self.granularity, self.lat_offset, self.lon_offset = DEFAULT_GRANULARITY, 0, 0
-        for number, value in _fields(memoryview(data)):
+    def __init__(self, data: bytes, kinds: frozenset[str], columns: list[str]):
+        self.kinds, self.columns = kinds, columns
+        self.raw, self.data = data, np.frombuffer(data + bytes(wire.PAD), np.uint8)
+        self.groups, self.granularity, self.lat_offset, self.lon_offset = [], DEFAULT_GRANULARITY, 0, 0
+        strings = None
+        for number, a, b in wire.spans(data, 0, len(data)):
             if number == 1:
-                strings = [bytes(s).decode("utf-8", "replace") for n, s in _fields(value) if n == 1]
+                strings = (a, b)
             elif number == 2:
-                self.groups.append(value)
+                self.groups.append((a, b))
             elif number == 17:
-                self.granularity = value
+                self.granularity = a
             elif number == 19:
-                self.lat_offset = _as_int64(value)
+                self.lat_offset = wire.int64(a)
             elif number == 20:
-                self.lon_offset = _as_int64(value)
-        self.strings = pa.array(strings, pa.string())
+                self.lon_offset = wire.int64(a)
+        texts = [data[a:b].decode("utf-8", "replace") for n, a, b in wire.spans(data, *strings) if n == 1] if strings and "tags" in columns else []
+        self.strings = pa.array(texts, pa.string())
 
-    def batches(self):
+    def batches(self) -> Iterator[pa.RecordBatch]:
         for group in self.groups:
-            nodes, ways, relations = [], [], []
-            for number, value in _fields(group):
-                if number == 1:
-                    nodes.append(value)
-                elif number == 2:
-                    yield self._dense(value)
-                elif number == 3:
-                    ways.append(value)
-                elif number == 4:
-                    relations.append(value)
-            if nodes:
-                yield self._nodes(nodes)
-            if ways:
-                yield self._ways(ways)
-            if relations:
-                yield self._relations(relations)
-
-    def _tags(self, counts, keys, values) -> pa.Array:
-        return pa.MapArray.from_arrays(
-            _offsets(counts), self.strings.take(pa.array(keys)), self.strings.take(pa.array(values))
-        )
-
-    def _batch(self, kind, ids, tags, location=None, refs=None, ref_types=None):
-        n = len(ids)
-        columns = [pa.array(ids, pa.int64()), pa.repeat(kind, n), tags, location, refs, ref_types]
-        filled = [
-            pa.nulls(n, f.type) if c is None else c.cast(f.type) for c, f in zip(columns, ELEMENT_BATCH)
-        ]
-        return pa.RecordBatch.from_arrays(filled, schema=ELEMENT_BATCH)
-
-    def _location(self, lat, lon) -> pa.Array:
-        x = (self.lon_offset + self.granularity * np.asarray(lon, np.int64)) * DEGREE
-        y = (self.lat_offset + self.granularity * np.asarray(lat, np.int64)) * DEGREE
+            found: dict[int, list[tuple[int, int]]] = {}
+            for number, a, b in wire.spans(self.raw, *group):
+                if number in (1, 2) and "node" not in self.kinds or number == 3 and "way" not in self.kinds:
+                    break  # a group holds one kind
+                found.setdefault(number, []).append((a, b))
+            for number, places in found.items():
+                if number == 2:
+                    for place in places:
+                        yield self._dense(wire.Messages(self.data, [place[0]], [place[1]]))
+                elif number in (1, 3) or number == 4 and "relation" in self.kinds:
+                    make = {1: self._nodes, 3: self._ways, 4: self._relations}[number]
+                    yield make(wire.Messages(self.data, *zip(*places)))
+
+    def _batch(self, kind: str, n: int, **columns) -> pa.RecordBatch:
+        """The wanted columns; each is given as a function, and called if it is wanted."""
+        wanted = [ELEMENT_BATCH.field(c) for c in self.columns]
+        columns |= {"kind": lambda: pa.repeat(kind, n)}
+        filled = [columns[f.name]().cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in wanted]
+        return pa.RecordBatch.from_arrays(filled, schema=pa.schema(wanted))
+
+    def _texts(self, counts, keys, values) -> pa.Array:
+        key, value = (self.strings.take(pa.array(x.astype(np.int64))) for x in (keys, values))
+        return pa.MapArray.from_arrays(_offsets(counts), key, value)
+
+    def _tags(self, messages: wire.Messages) -> pa.Array:
+        keys = messages.lists(2)
+        return self._texts(keys.counts, keys.values, messages.lists(3).values)
+
+    def _location(self, lat: np.ndarray, lon: np.ndarray) -> pa.Array:
+        x = (self.lon_offset + self.granularity * lon) * DEGREE
+        y = (self.lat_offset + self.granularity * lat) * DEGREE
         # nanodegrees as the nearest decimal, so that 15.95 does not become 15.950000000000001
-        return pa.StructArray.from_arrays(
-            [pa.array(np.round(x, 9)), pa.array(np.round(y, 9))], fields=list(LOCATION)
-        )
+        return pa.StructArray.from_arrays([pa.array(np.round(x, 9)), pa.array(np.round(y, 9))], fields=list(LOCATION))
+
+    def _dense(self, message: wire.Messages) -> pa.RecordBatch:
+        ids = message.lists(1).running()
 
-    def _dense(self, data):
-        part = {number: value for number, value in _fields(data)}
-        ids = _packed_deltas(part.get(1, b""))
-        stream = _packed(part.get(10, b"")).astype(np.int64)
-        counts, keys, values = np.zeros(len(ids), np.int64), stream[:0], stream[:0]
-        if len(stream):
-            # key, value, key, value, 0 per node: a zero in key position ends the node
-            ends = self._node_ends(stream)
-            counts = np.diff(ends, prepend=-1) // 2
+        def tags() -> pa.Array:
+            stream = message.lists(10).values
+            if not len(stream):
+                return self._texts(np.zeros(len(ids), np.int64), stream, stream)
+            # key, value, key, value, 0 for each node; the string 0 is reserved, so every zero ends a node
+            ends = np.flatnonzero(stream == 0)
             body = np.delete(stream, ends)
-            keys, values = body[0::2], body[1::2]
-        location = self._location(_packed_deltas(part.get(8, b"")), _packed_deltas(part.get(9, b"")))
-        return self._batch("node", ids, self._tags(counts, keys, values), location)
-
-    @staticmethod
-    def _node_ends(stream: np.ndarray) -> np.ndarray:
-        """Positions of the ending zeros. The string 0 is reserved, so every zero is one."""
-        return np.flatnonzero(stream == 0)
-
-    def _described(self, messages):
-        """Fields of each message, with their tags gathered."""
-        parts = [{n: v for n, v in _fields(m)} for m in messages]
-        keys = [_packed(p.get(2, b"")) for p in parts]
-        values = [_packed(p.get(3, b"")) for p in parts]
-        return parts, self._tags([len(k) for k in keys], _join(keys), _join(values))
-
-    def _nodes(self, messages):
-        parts, tags = self._described(messages)
-        location = self._location([_signed(p[8]) for p in parts], [_signed(p[9]) for p in parts])
-        return self._batch("node", [_signed(p[1]) for p in parts], tags, location)
-
-    def _ways(self, messages):
-        parts, tags = self._described(messages)
-        refs = [_packed_deltas(p.get(8, b"")) for p in parts]
-        lists = pa.ListArray.from_arrays(_offsets([len(r) for r in refs]), pa.array(_join(refs)))
-        return self._batch("way", [_as_int64(p[1]) for p in parts], tags, refs=lists)
-
-    def _relations(self, messages):
-        parts, tags = self._described(messages)
-        refs = [_packed_deltas(p.get(9, b"")) for p in parts]
-        types = [_packed(p.get(10, b"")) for p in parts]
-        offsets = _offsets([len(r) for r in refs])
-        names = pa.array(MEMBER_TYPES).take(pa.array(_join(types)))
+            return self._texts(np.diff(ends, prepend=-1) // 2, body[0::2], body[1::2])
+
         return self._batch(
-            "relation",
-            [_as_int64(p[1]) for p in parts],
-            tags,
-            refs=pa.ListArray.from_arrays(offsets, pa.array(_join(refs))),
-            ref_types=pa.ListArray.from_arrays(offsets, names),
+            "node", len(ids), id=lambda: pa.array(ids), tags=tags,
+            location=lambda: self._location(message.lists(8).running(), message.lists(9).running()),
         )
 
+    def _nodes(self, messages: wire.Messages) -> pa.RecordBatch:
+        return self._batch(
+            "node", messages.n, id=lambda: pa.array(wire.signed(messages.plain(1))), tags=lambda: self._tags(messages),
+            location=lambda: self._location(wire.signed(messages.plain(8)), wire.signed(messages.plain(9))),
+        )
 
-def _as_int64(value: int) -> int:
-    return value - (1 << 64) if value >= 1 << 63 else value
+    def _ways(self, messages: wire.Messages) -> pa.RecordBatch:
+        def refs() -> pa.Array:
+            lists = messages.lists(8)
+            return pa.ListArray.from_arrays(_offsets(lists.counts), pa.array(lists.running()))
 
+        return self._batch("way", messages.n, id=lambda: pa.array(messages.plain(1).astype(np.int64)), tags=lambda: self._tags(messages), refs=refs)
 
-def _inflate(blob) -> bytes:
-    part = {number: value for number, value in _fields(memoryview(blob))}
-    if 1 in part:
-        return bytes(part[1])
-    if 3 in part:
-        return zlib.decompress(part[3])
-    raise ValueError("blob compression other than zlib is not supported")
+    def _relations(self, messages: wire.Messages) -> pa.RecordBatch:
+        members = messages.lists(9)
 
+        def types() -> pa.Array:
+            names = pa.array(MEMBER_TYPES).take(pa.array(messages.lists(10).values.astype(np.int64)))
+            return pa.ListArray.from_arrays(_offsets(members.counts), names)
 
-def _check_header(blob) -> None:
-    required = {bytes(v).decode() for n, v in _fields(memoryview(_inflate(blob))) if n == 4}
-    if required - KNOWN_FEATURES:
-        raise ValueError(f"unsupported PBF features: {sorted(required - KNOWN_FEATURES)}")
+        return self._batch(
+            "relation", messages.n, id=lambda: pa.array(messages.plain(1).astype(np.int64)), tags=lambda: self._tags(messages),
+            refs=lambda: pa.ListArray.from_arrays(_offsets(members.counts), pa.array(members.running())), ref_types=types,
+        )
 
 
 # ---------------------------------------------------------------- data source
 
 
-@dataclass
-class BlobRange(InputPartition):
-    """Data blobs of one file, as (offset, size)."""
-
-    path: str
-    blobs: tuple
-
-    def __post_init__(self):
-        self.value = (self.path, self.blobs)
-
-
-class OsmPbfReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self):
-        out, blobs, held = [], [], 0
-        with open_file(self.path) as file:
-            end = file.size()
-            pos = 0
-            while pos < end:
-                file.seek(pos)
-                (size,) = struct.unpack(">I", file.read(4))
-                head = {n: v for n, v in _fields(memoryview(file.read(size)))}
-                start, length = pos + 4 + size, head[3]
-                pos = start + length
-                kind = bytes(head[1])
-                if kind == b"OSMHeader":
-                    _check_header(file.read(length))
-                elif kind == b"OSMData":
-                    blobs.append((start, length))
-                    held += length
-                    if held >= PARTITION_BYTES:
-                        out.append(BlobRange(self.path, tuple(blobs)))
-                        blobs, held = [], 0
-        if blobs or not out:
-            out.append(BlobRange(self.path, tuple(blobs)))
-        return out
-
-    def read(self, partition: BlobRange):
-        with open_file(partition.path) as file:
-            for offset, size in partition.blobs:
-                file.seek(offset)
-                yield from _Block(_inflate(file.read(size))).batches()
+class OsmPbfReader(ElementReader):
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
+        for path, begin, end in partition.stretches:
+            for blob in blobs(path, begin, end):
+                yield from Block(inflate(blob), self.kinds, self.columns).batches()
 
 
 class OsmPbfSource(DataSource):
@@ -277,4 +255,4 @@ class OsmPbfSource(DataSource):
         return ELEMENTS
 
     def reader(self, schema) -> DataSourceReader:
-        return OsmPbfReader(self.options["path"])
+        return OsmPbfReader(self.options, schema.fieldNames())

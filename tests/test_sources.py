@@ -1,7 +1,11 @@
 """OSM XML, OSM PBF, GPX, Parquet and JSON, with files written by the tests."""
 
+import bz2
+import lzma
 import os
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
@@ -11,7 +15,8 @@ from roadgeo.operators import assembly
 from roadgeo.sources import pbf, tables
 from roadgeo.sources.gpx import read_gpx
 from roadgeo.sources.scratch import scratch_path
-from roadgeo.sources.osm import read_osm, read_osm_xml, stage_elements
+from roadgeo.sources.osm import read_osm, read_osm_pbf, read_osm_xml, stage_elements
+from roadgeo.sources.pbf_sink import write_osm_pbf
 from roadgeo.types import BBOX_COLUMNS, ELEMENTS
 from tests import pbf_writer as W
 
@@ -64,7 +69,7 @@ def test_osm_xml_splits_anywhere(spark, osm_file, range_bytes):
     from roadgeo.sources.osm_xml import OsmXmlReader
 
     def parse(size):
-        reader = OsmXmlReader(osm_file, size)
+        reader = OsmXmlReader({"path": osm_file, "range_bytes": size}, ELEMENTS.fieldNames())
         return [b for p in reader.partitions() for b in reader.read(p)]
 
     split = [r for b in parse(range_bytes) for r in b.to_pylist()]
@@ -82,7 +87,7 @@ def test_element_starts_are_found_across_reads(tmp_path, monkeypatch):
     path.write_bytes(b"<osm>" + b"".join(b'<node id="%d"/>' % i for i in range(300)) + b"</osm>")
     for read_bytes in (17, 23, 64):
         monkeypatch.setattr(osm_xml, "READ_BYTES", read_bytes)
-        reader = osm_xml.OsmXmlReader(str(path), 101)
+        reader = osm_xml.OsmXmlReader({"path": str(path), "range_bytes": 101}, ELEMENTS.fieldNames())
         ids = [r["id"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
         assert ids == list(range(300))
 
@@ -135,14 +140,100 @@ def test_osm_pbf(spark, tmp_path):
     assert rows(df) == sorted(want)
 
 
-def test_osm_pbf_is_split_by_blobs(tmp_path, monkeypatch):
-    monkeypatch.setattr(pbf, "PARTITION_BYTES", 1)
-    reader = pbf.OsmPbfReader(write_pbf(tmp_path / "a.pbf"))
+@pytest.mark.parametrize("range_bytes", [1, 7, 100, 301, 10**6])
+def test_osm_pbf_is_split_by_bytes(tmp_path, range_bytes):
+    path = write_pbf(tmp_path / "a.pbf")
+    reader = pbf.OsmPbfReader({"path": path, "range_bytes": range_bytes}, ELEMENTS.fieldNames())
     parts = reader.partitions()
-    assert len(parts) == 3
+    assert len(parts) == -(-(tmp_path / "a.pbf").stat().st_size // range_bytes)
     assert sum(b.num_rows for p in parts for b in reader.read(p)) == 8
 
 
+def test_blob_starts_inside_data_are_not_taken(tmp_path):
+    """A raw blob whose text holds the start of a blob."""
+    s = W.Strings()
+    fake = W.blob(b"OSMData", b"x" * 40)[:30].decode("latin-1")
+    inner = W.block(s, W.plain_nodes(s, [(1, 15.0, 45.0, {"note": fake}), (2, 15.0, 45.0, {})]), compress=False)
+    (tmp_path / "a.pbf").write_bytes(W.header("OsmSchema-V0.6") + inner + inner)
+    reader = pbf.OsmPbfReader({"path": str(tmp_path / "a.pbf"), "range_bytes": 20}, ["id", "tags"])
+    ids = [i for p in reader.partitions() for b in reader.read(p) for i in b["id"].to_pylist()]
+    assert ids == [1, 2, 1, 2]
+
+
+def test_cut_pbf_is_an_error(spark, tmp_path):
+    path = write_pbf(tmp_path / "a.pbf")
+    data = (tmp_path / "a.pbf").read_bytes()
+    (tmp_path / "a.pbf").write_bytes(data[:-5])
+    with pytest.raises(PySparkException, match="no blob at byte"):
+        read_osm(spark, path).collect()
+
+
+@pytest.mark.parametrize("number", [4, 5, 6, 7])
+def test_other_compressions(number):
+    data = b"abc" * 100
+    packed = {
+        4: lzma.compress, 5: bz2.compress, 6: pa.Codec("lz4_raw").compress, 7: pa.Codec("zstd").compress,
+    }[number](data)
+    assert pbf.inflate(W.field(2, len(data)) + W.field(number, bytes(packed))) == data
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BatchScan")
+
+
+def test_pbf_scans_are_pruned_by_kind(spark, tmp_path, monkeypatch):
+    path = write_pbf(tmp_path / "a.pbf")
+    elements = read_osm(spark, path)
+    assert rows(elements) == rows(read_osm_pbf(spark, path, by_kind=False))
+    assert (scans(elements), scans(elements.filter("kind = 'way'"))) == (3, 1)
+    both = elements.filter("kind in ('node', 'relation') and id > 0")
+    assert scans(both) == 2 and both.count() == sum(i > 0 for i, *_ in [*DENSE, *PLAIN, (11,), *RELATIONS])
+    assert scans(elements.filter("kind = 'other'")) == 0
+    # two scans of one table, with different conditions
+    pair = elements.filter("kind = 'way'").select("id").unionAll(elements.filter("kind = 'relation'").select("id"))
+    assert sorted(r["id"] for r in pair.collect()) == sorted(i for i, *_ in WAYS + RELATIONS)
+    narrow = read_osm_pbf(spark, path, columns=["refs", "kind"]).filter("kind = 'way'")
+    assert sorted(r["refs"] for r in narrow.collect()) == sorted(refs for _, _, refs in WAYS)
+    reader = pbf.OsmPbfReader({"path": path, "kinds": "way"}, ["id", "refs"])
+    monkeypatch.setattr(pbf.Block, "_dense", None)
+    monkeypatch.setattr(pbf.Block, "_tags", None)
+    assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [len(WAYS)]
+
+
+def test_xml_columns(spark, tmp_path):
+    path = tmp_path / "a.osm"
+    path.write_text(OSM)
+    narrow = read_osm_xml(spark, str(path), columns=["id", "refs"])
+    assert narrow.columns == ["id", "refs"]
+    assert sorted((r["id"], r["refs"]) for r in narrow.collect()) == sorted((r[1], r[4]) for r in rows(read_osm(spark, str(path))))
+
+
+def test_pbf_directories_and_roundtrip(spark, tmp_path):
+    elements = read_osm(spark, write_pbf(tmp_path / "a.osm.pbf"))
+    no_place = elements.limit(1).selectExpr("cast(77 as bigint) id", "'node' kind", "tags", "cast(null as struct<longitude:double,latitude:double>) location", "refs", "ref_types")
+    nulls = elements.limit(1).selectExpr("cast(78 as bigint) id", "'way' kind", "cast(null as map<string,string>) tags", "cast(null as struct<longitude:double,latitude:double>) location", "cast(null as array<bigint>) refs", "cast(null as array<string>) ref_types")
+    out = str(tmp_path / "out.osm.pbf")
+    write_osm_pbf(elements.unionByName(no_place).unionByName(nulls).repartition(3), out)
+    back = read_osm(spark, out)
+    assert rows(back) == sorted(rows(elements) + [("way", 78, [], None, [], None)])
+    with pytest.raises(FileExistsError):
+        write_osm_pbf(elements, out)
+    write_osm_pbf(elements.filter("kind = 'way'"), out, overwrite=True)
+    assert rows(read_osm(spark, out)) == rows(elements.filter("kind = 'way'"))
+    (tmp_path / "deep.pbf" / "inner").mkdir(parents=True)
+    for name in ("a.osm.pbf", "inner/b.osm.pbf", "_hidden", "inner/.c"):
+        write_pbf(tmp_path / "deep.pbf" / name)
+    assert read_osm(spark, str(tmp_path / "deep.pbf")).count() == 16
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    out = str(tmp_path / "out.pbf")
+    bad = read_osm(spark, write_pbf(tmp_path / "a.osm.pbf")).withColumn("id", F.expr("if(kind = 'relation', raise_error('stop'), id)"))
+    with pytest.raises(PySparkException):
+        write_osm_pbf(bad, out)
+    assert not [f for f in Path(out).rglob("*") if f.is_file()]
+
+
 def test_unknown_pbf_feature_is_an_error(spark, tmp_path):
     with pytest.raises(PySparkException, match="unsupported PBF features"):
         read_osm(spark, write_pbf(tmp_path / "a.pbf", "LocationsOnWays")).collect()
