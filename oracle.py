@@ -382,6 +382,10 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT id, highway AS tag_highway, lit AS tag_lit, {box_only}, n_points,
               round(len, 9) AS length FROM osm"""
         ),
+        "parquet_geo_roundtrip": _osm(
+            """SELECT id, round(len, 9) AS length, 'WKB' AS encoding, 'LineString' AS types,
+              true AS inside_file_box FROM osm"""
+        ),
         "parquet_points": _osm("SELECT id, x, y FROM node WHERE x IS NOT NULL"),
         "json_result_no_geometry": _osm(
             f"SELECT id, name AS road_name, round(len, 9) AS length {named} ORDER BY id LIMIT 100"

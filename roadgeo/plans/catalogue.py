@@ -36,6 +36,7 @@ from roadgeo.operators.distance_join import distance_join
 from roadgeo.operators.range_filter import range_filter
 from roadgeo.plans import road_queries as roads
 from roadgeo.sources import tables
+from roadgeo.sources.geoparquet import geo_footers
 from roadgeo.sources.gpx import read_gpx, track_name
 from roadgeo.sources.osm import read_osm, stage_elements
 from roadgeo.sources.pbf_sink import write_osm_pbf
@@ -411,6 +412,29 @@ def parquet_roundtrip(spark, sf_dir):
     )
 
 
+def parquet_geo_roundtrip(spark, sf_dir):
+    """Roads written as GeoParquet and read back, each beside what the footer of its file says."""
+    path = scratch_path(spark, "ways.parquet")
+    tables.write_geometry_parquet(_ways(spark, sf_dir), path, encoding="wkb", cluster_cell=0.05)
+    stored = tables.read_geometry_parquet(spark, path).withColumn("file_name", F.col("_metadata.file_name"))
+    footers = geo_footers(spark, path).select(
+        "file_name", "encoding", "geometry_types", *[F.col(c).alias(f"file_{c}") for c in BBOX_COLUMNS]
+    )
+    inside = (
+        (F.col("file_xmin") <= F.col("xmin")) & (F.col("file_ymin") <= F.col("ymin"))
+        & (F.col("file_xmax") >= F.col("xmax")) & (F.col("file_ymax") >= F.col("ymax"))
+    )
+    return _rounded(
+        stored.join(footers, "file_name").select(
+            "id",
+            st_length("geometry").alias("length"),
+            "encoding",
+            F.array_join("geometry_types", ",").alias("types"),
+            inside.alias("inside_file_box"),
+        )
+    )
+
+
 def parquet_points(spark, sf_dir):
     path = scratch_path(spark, "points.parquet")
     tables.write_geometry_parquet(
@@ -561,6 +585,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "track_name_fallback": track_name_fallback,
     "file_stem": file_stems,
     "parquet_roundtrip": parquet_roundtrip,
+    "parquet_geo_roundtrip": parquet_geo_roundtrip,
     "parquet_points": parquet_points,
     "json_result_no_geometry": json_result_no_geometry,
     "run_timing": run_timing,

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql.datasource import (
     DataSourceArrowWriter,
     DataSourceReader,
@@ -106,6 +107,12 @@ def exists(path: str) -> bool:
     return system.get_file_info(inner).type != fs.FileType.NotFound
 
 
+def refuse_existing(path: str) -> None:
+    """The error that Spark's own writers give for a target that exists."""
+    if exists(path):
+        raise AnalysisException(f"[PATH_ALREADY_EXISTS] Path {path} already exists.")
+
+
 @dataclass
 class Part(WriterCommitMessage):
     """The file that a task has written, if it had rows."""

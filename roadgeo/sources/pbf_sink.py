@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter
 
-from roadgeo.sources.files import PartFiles, exists
+from roadgeo.sources.files import PartFiles, refuse_existing
 from roadgeo.sources.pbf import MEMBER_TYPES
 from roadgeo.sources.wire import Pieces, differences, plain_field, zigzag
 from roadgeo.types import ELEMENTS
@@ -135,8 +135,8 @@ def write_osm_pbf(elements: DataFrame, path: str, overwrite: bool = False) -> No
 
     Coordinates are kept to a nanodegree. The format knows no node without a location, so these are left out.
     """
-    if exists(path) and not overwrite:
-        raise FileExistsError(path)
+    if not overwrite:
+        refuse_existing(path)
     elements.sparkSession.dataSource.register(OsmPbfSink)
     known = elements.filter((F.col("kind") != "node") | F.col("location").isNotNull())
     columns = known.select(*(F.col(f.name).cast(f.dataType) for f in ELEMENTS.fields))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from roadgeo.functions import bbox, st_astext, st_aswkb, st_geomfromwkb, st_numpoints
 from roadgeo.operators import assembly
+from roadgeo.sources.geoparquet import dataset_footer, decoded, write_geoparquet
 from roadgeo.sources.gpx import read_gpx
 from roadgeo.sources.scratch import scratch_path
 from roadgeo.types import BBOX_COLUMNS, geometry_columns, is_geometry
@@ -18,11 +19,15 @@ from roadgeo.types import BBOX_COLUMNS, geometry_columns, is_geometry
 
 
 def read_geometry_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table with a ``geometry`` column: the geometry struct, or well-known binary.
+    """A GeoParquet table, or a Parquet table with a ``geometry`` column: the geometry struct, or well-known binary.
 
-    Any other type of that column is an error.
+    What the ``geo`` entry of the footer says about the geometry column and its encoding is followed. Without such an
+    entry, any other type of that column is an error.
     """
     df = spark.read.parquet(path)
+    geo = dataset_footer(path)
+    if geo is not None:
+        return decoded(df, geo)
     if "geometry" not in df.columns:
         raise ValueError(f"no geometry column in {path}")
     data_type = df.schema["geometry"].dataType
@@ -96,7 +101,7 @@ def write_geometry_parquet(
     The box, the vertex count and the tags named in ``keep_tags`` become columns of their own, so
     that filters on them reach the row groups. ``cluster_cell`` range-partitions and sorts rows
     along a z-order of grid cells, which makes those row groups tight; ties are broken by id, so a
-    crowded cell spreads over several files. ``encoding="wkb"`` writes well-known binary.
+    crowded cell spreads over several files. ``encoding="wkb"`` writes GeoParquet.
     """
     if encoding not in ("struct", "wkb"):
         raise ValueError(f"encoding must be 'struct' or 'wkb', not {encoding!r}")
@@ -107,7 +112,8 @@ def write_geometry_parquet(
         out = out.withColumn("_z", z_order(*middle, cluster_cell))
         out = out.repartitionByRange("_z", *key).sortWithinPartitions("_z", *key).drop("_z")
     if encoding == "wkb":
-        out = out.withColumn("geometry", st_aswkb("geometry"))
+        write_geoparquet(out.withColumn("geometry", st_aswkb("geometry")), path, overwrite)
+        return
     out.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 

@@ -1,18 +1,21 @@
 """OSM XML, OSM PBF, GPX, Parquet and JSON, with files written by the tests."""
 
 import bz2
+import json
 import lzma
 import os
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
-from roadgeo.functions import st_astext
+from roadgeo.functions import st_astext, st_geomfromwkt
 from roadgeo.operators import assembly
 from roadgeo.sources import pbf, tables
+from roadgeo.sources.geoparquet import geo_footers
 from roadgeo.sources.gpx import read_gpx
 from roadgeo.sources.scratch import scratch_path
 from roadgeo.sources.osm import read_osm, read_osm_pbf, read_osm_xml, stage_elements
@@ -216,7 +219,7 @@ def test_pbf_directories_and_roundtrip(spark, tmp_path):
     write_osm_pbf(elements.unionByName(no_place).unionByName(nulls).repartition(3), out)
     back = read_osm(spark, out)
     assert rows(back) == sorted(rows(elements) + [("way", 78, [], None, [], None)])
-    with pytest.raises(FileExistsError):
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
         write_osm_pbf(elements, out)
     write_osm_pbf(elements.filter("kind = 'way'"), out, overwrite=True)
     assert rows(read_osm(spark, out)) == rows(elements.filter("kind = 'way'"))
@@ -321,6 +324,66 @@ def test_geometry_parquet(spark, lines, tmp_path, encoding):
     tables.write_geometry_parquet(lines, path, overwrite=True)
 
 
+def shapes(spark):
+    texts = ["POINT (1 2)", "LINESTRING (0 0, 3 4)", "POLYGON ((0 0, 4 0, 4 4, 0 0))", None, "POINT EMPTY"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, wkt string")
+    return df.select("id", st_geomfromwkt(F.col("wkt")).alias("geometry"), F.create_map(F.lit("a"), F.lit("b")).alias("tags"))
+
+
+def test_geoparquet_footers(spark, tmp_path):
+    path = str(tmp_path / "shapes")
+    tables.write_geometry_parquet(shapes(spark).repartition(3, "id"), path, encoding="wkb")
+    files = [p for p in Path(path).iterdir() if p.suffix == ".parquet"]
+    seen, held = set(), 0
+    for file in files:
+        geo = json.loads(pq.read_metadata(file).metadata[b"geo"])
+        column = geo["columns"]["geometry"]
+        rows = pq.read_table(file)
+        boxes = rows.select(list(BBOX_COLUMNS)).to_pandas().dropna()
+        assert (geo["version"], geo["primary_column"], column["encoding"]) == ("1.1.0", "geometry", "WKB")
+        if len(boxes):
+            assert column["bbox"] == [*boxes.min()[:2], *boxes.max()[2:]]
+        else:
+            assert "bbox" not in column
+        seen |= set(column["geometry_types"])
+        held += rows.num_rows
+    assert (seen, held) == ({"Point", "LineString", "Polygon"}, 5)
+    assert not [p for p in Path(path).iterdir() if p.name.startswith("_job")]
+    back = tables.read_geometry_parquet(spark, path)
+    plain = {r["id"]: r["geometry"] for r in shapes(spark).collect()}
+    assert {r["id"]: r["geometry"] for r in back.collect()} == plain
+    assert geo_footers(spark, path).count() == len(files)
+
+
+def test_geoparquet_without_rows(spark, tmp_path):
+    path = str(tmp_path / "none")
+    tables.write_geometry_parquet(shapes(spark).limit(0), path, encoding="wkb")
+    assert tables.read_geometry_parquet(spark, path).count() == 0
+
+
+@pytest.mark.parametrize(
+    "encoding,value,kind",
+    [
+        ("point", {"x": 1.0, "y": 2.0}, "POINT (1 2)"),
+        ("linestring", [{"x": 0.0, "y": 0.0}, {"x": 3.0, "y": 4.0}], "LINESTRING (0 0, 3 4)"),
+        ("polygon", [[{"x": 0.0, "y": 0.0}, {"x": 4.0, "y": 0.0}, {"x": 4.0, "y": 4.0}, {"x": 0.0, "y": 0.0}]], "POLYGON ((0 0, 4 0, 4 4, 0 0))"),
+        ("multipoint", [{"x": 0.0, "y": 0.0}], None),
+    ],
+)
+def test_geoparquet_of_others(spark, tmp_path, encoding, value, kind):
+    """Another name for the primary column, and encodings without well-known binary."""
+    geo = {"version": "1.1.0", "primary_column": "geom", "columns": {"geom": {"encoding": encoding, "geometry_types": []}}}
+    table = pa.table({"name": ["a", "b"], "geom": [value, None]}).replace_schema_metadata({"geo": json.dumps(geo)})
+    pq.write_table(table, tmp_path / "a.parquet")
+    if kind is None:
+        with pytest.raises(ValueError, match="unsupported geometry encoding"):
+            tables.read_geometry_parquet(spark, str(tmp_path / "a.parquet"))
+        return
+    back = tables.read_geometry_parquet(spark, str(tmp_path / "a.parquet"))
+    assert back.columns == ["name", "geometry"]
+    assert [r[0] for r in back.select(st_astext("geometry")).collect()] == [kind, None]
+
+
 def test_other_geometry_types_are_errors(spark, tmp_path):
     spark.range(1).withColumn("geometry", F.lit("POINT(1 2)")).write.parquet(str(tmp_path / "t"))
     with pytest.raises(ValueError, match="not a geometry column"):
