@@ -10,9 +10,10 @@ whole rectangle around it.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadgeo.functions import bbox, distance_once, line_from_vertices
+from roadgeo.functions import bbox, distance_once
 from roadgeo.types import BBOX_COLUMNS, has_bbox
 
 HOT_CELL_ROWS = 20_000  # rows that a split of a cell holds of one side, about
@@ -28,67 +29,54 @@ def _boxed(df: DataFrame, geom: str) -> DataFrame:
     return df.withColumn(BOX, box).filter(F.col("box.xmin").isNotNull())
 
 
-def _is_long(span: float, geom: str) -> Column:
-    wide = F.col("box.xmax") - F.col("box.xmin") > span
-    high = F.col("box.ymax") - F.col("box.ymin") > span
-    return (wide | high) & (F.col(geom)["type"] == "LINESTRING")
+# The expressions below are SQL text: as Columns they are thousands of calls, which take longer than planning the join.
 
 
-def _box(x0: Column, y0: Column, x1: Column, y1: Column, pad: Column) -> Column:
-    return F.struct(
-        (F.least(x0, x1) - pad).alias("xmin"),
-        (F.least(y0, y1) - pad).alias("ymin"),
-        (F.greatest(x0, x1) + pad).alias("xmax"),
-        (F.greatest(y0, y1) + pad).alias("ymax"),
-    )
+def _double(value: float) -> str:
+    return f"{value!r}D"
+
+
+def _is_long(span: float, geom: str) -> Column:
+    wide = f"box.xmax - box.xmin > {_double(span)} OR box.ymax - box.ymin > {_double(span)}"
+    return F.expr(f"({wide}) AND `{geom}`.type = 'LINESTRING'")
 
 
-def _segment_boxes(p: Column, q: Column, span: float) -> Column:
-    """Boxes no longer than ``span`` that together cover the segment p-q."""
-    dx, dy = q["x"] - p["x"], q["y"] - p["y"]
-    n = F.greatest(F.ceil(F.greatest(F.abs(dx), F.abs(dy)) / F.lit(span)), F.lit(1))
+def _segment_boxes(span: float) -> str:
+    """Boxes no longer than ``span`` that together cover the segment from p to q."""
+    n = f"greatest(ceil(greatest(abs(q.x - p.x), abs(q.y - p.y)) / {_double(span)}), 1L)"
     # more than the rounding of the cut points
-    pad = F.lit(1e-9 * span) + F.lit(1e-14) * (
-        F.abs(p["x"]) + F.abs(p["y"]) + F.abs(q["x"]) + F.abs(q["y"])
-    )
+    pad = f"({_double(1e-9 * span)} + 1e-14D * (abs(p.x) + abs(p.y) + abs(q.x) + abs(q.y)))"
 
-    def at(i: Column) -> tuple[Column, Column]:
-        return p["x"] + dx * (i / n), p["y"] + dy * (i / n)
+    def side(choice: str, axis: str) -> str:
+        ends = (f"p.{axis} + (q.{axis} - p.{axis}) * ({i} / {n})" for i in ("i", "(i + 1)"))
+        return f"{choice}({', '.join(ends)}) {'-' if choice == 'least' else '+'} {pad}"
 
-    return F.transform(
-        F.sequence(F.lit(0).cast("bigint"), n - 1),
-        lambda i: _box(*at(i), *at(i + F.lit(1)), pad),
-    )
+    sides = zip(BBOX_COLUMNS, (("least", "x"), ("least", "y"), ("greatest", "x"), ("greatest", "y")))
+    box = ", ".join(f"'{name}', {side(*how)}" for name, how in sides)
+    return f"transform(sequence(0L, {n} - 1), i -> named_struct({box}))"
 
 
 def _pieces(geom: str, span: float) -> Column:
     """Array of (box, geometry): the whole row, or the segments of a long line."""
-    g = F.col(geom)
-    v = F.get(g["parts"], F.lit(0))
-    n = F.greatest(F.array_size(v) - 1, F.lit(0))
-    segments = F.zip_with(
-        F.slice(v, F.lit(1), n),
-        F.slice(v, F.lit(2), n),
-        lambda p, q: F.transform(
-            _segment_boxes(p, q, span),
-            lambda b: F.struct(b.alias(BOX), line_from_vertices(F.array(p, q)).alias("g")),
-        ),
-    )
-    whole = F.array(F.struct(F.col(BOX), g.alias("g")))
-    return F.when(_is_long(span, geom), F.flatten(segments)).otherwise(whole)
+    v = f"get(`{geom}`.parts, 0)"
+    n = f"greatest(array_size({v}) - 1, 0)"
+    line = "named_struct('type', 'LINESTRING', 'parts', array(array(p, q)))"
+    piece = f"named_struct('{BOX}', b, 'g', {line})"
+    segments = f"zip_with(slice({v}, 1, {n}), slice({v}, 2, {n}), (p, q) -> transform({_segment_boxes(span)}, b -> {piece}))"
+    whole = F.expr(f"array(named_struct('{BOX}', {BOX}, 'g', `{geom}`))")
+    return F.when(_is_long(span, geom), F.expr(f"flatten({segments})")).otherwise(whole)
 
 
 def _cell_range(cell: float, margin: float) -> list[Column]:
     """Cells covered by ``box`` after widening it by ``margin``."""
 
-    def edge(name: str, sign: int) -> Column:
-        side = F.col(f"{BOX}.{name}")
-        slack = F.lit(margin) + F.abs(side) * F.lit(1e-14)
-        return F.floor((side + F.lit(sign) * slack if margin else side) / F.lit(cell))
+    def edge(name: str, sign: str) -> str:
+        side = f"{BOX}.{name}"
+        return f"{side} {sign} ({_double(margin)} + abs({side}) * 1e-14D)" if margin else side
 
     return [
-        edge(name, sign).cast("bigint").alias(out)
-        for name, sign, out in zip(BBOX_COLUMNS, (-1, -1, 1, 1), CELL_RANGE)
+        F.expr(f"cast(floor(({edge(name, sign)}) / {_double(cell)}) AS bigint) AS {out}")
+        for name, sign, out in zip(BBOX_COLUMNS, "--++", CELL_RANGE)
     ]
 
 
@@ -169,10 +157,9 @@ def candidate_pairs(
     right = _placed(b, "b_", geom, cell, span, 0.0)
     on = ["cx", "cy"]
     if hot_rows:
-        splits = _split_table(
-            _crowded(a, geom, cell, span, margin, hot_rows),
-            _crowded(b, geom, cell, span, 0.0, hot_rows),
-        )
+        hot = _crowded(a, geom, cell, span, margin, hot_rows)
+        # of one table, the widened boxes fill each cell at least as much as the boxes themselves
+        splits = _split_table(hot, hot if a is b else _crowded(b, geom, cell, span, 0.0, hot_rows))
         left = _salted(left, "a_", key, splits)
         right = _salted(right, "b_", key, splits)
         on += ["a_salt", "b_salt"]
@@ -225,7 +212,41 @@ def distance_join(
     pairs = candidate_pairs(
         a, b, d, key=key, geom=geom, once=once, cell=cell, hot_rows=hot_rows
     )
+    return _merged(_near(pairs, d))
+
+
+def _near(pairs: DataFrame, d: float) -> DataFrame:
+    """Pairs of pieces with a distance below ``d``, without their geometry."""
     own = [c for c in pairs.columns if c not in ("a_g", "b_g")]
-    near = pairs.withColumn("distance", distance_once("a_g", "b_g")).filter(F.col("distance") < d)
-    # the pieces of a long line may meet the same row several times
+    return pairs.select(*own, distance_once("a_g", "b_g").alias("distance")).filter(F.col("distance") < d)
+
+
+def _merged(near: DataFrame) -> DataFrame:
+    """Each pair once: the pieces of a long line may meet the same row several times."""
+    own = [c for c in near.columns if c != "distance"]
     return near.groupBy(*own).agg(F.min("distance").alias("distance"))
+
+
+def first_pairs(
+    a: DataFrame,
+    b: DataFrame,
+    d: float,
+    n: int,
+    *,
+    key: str = "id",
+    geom: str = "geometry",
+    once: bool = False,
+    cell: float | None = None,
+    hot_rows: int | None = HOT_CELL_ROWS,
+) -> DataFrame:
+    """The first ``n`` pairs of ``distance_join`` in the order of both keys.
+
+    Every partition keeps the pieces of its first ``n`` distinct pairs, and only these are shuffled and merged.
+    """
+    pairs = candidate_pairs(
+        a, b, d, key=key, geom=geom, once=once, cell=cell, hot_rows=hot_rows
+    )
+    keys = [f"a_{key}", f"b_{key}"]
+    rank = F.dense_rank().over(W.orderBy(*keys))
+    first = _near(pairs, d).withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    return _merged(first).orderBy(*keys).limit(n)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,11 +143,18 @@ def parameter_sweep(
 def sql_sweep(spark: SparkSession, text: str, params: Sequence[Mapping]) -> DataFrame:
     """One query text with named markers (``:name``), run for each parameter set.
 
-    Each result row carries its parameters as columns. The text is free, so each set is a query of
-    its own with its own scan; ``parameter_sweep`` is the form that scans once.
+    Each result row carries its parameters as columns. The sets form a table that the text is joined to as a lateral
+    subquery, with its markers as columns of that table: one plan, and one scan for all sets. Spark cannot join every text
+    that way (one with a limit, or a marker inside an outer join, say); for such a text each set is a query of its own.
     """
-    results = [
-        spark.sql(text, args=dict(p)).withColumns({n: F.lit(v) for n, v in p.items()})
-        for p in params
-    ]
-    return reduce(DataFrame.unionByName, results)
+    names = list(params[0])
+    sets = spark.createDataFrame([tuple(p[n] for n in names) for p in params], names)
+    sets.createOrReplaceTempView("sweep_sets")
+    # string literals and casts with a double colon are passed over
+    marked = re.sub(r"'(?:[^']|'')*'|::|:([A-Za-z_]\w*)", lambda m: f"sweep_sets.`{m[1]}`" if m[1] else m[0], text)
+    listed = ", ".join(f"sweep_sets.`{n}`" for n in names)
+    try:
+        return spark.sql(f"SELECT found.*, {listed} FROM sweep_sets, LATERAL ({marked}) AS found")
+    except AnalysisException:
+        results = [spark.sql(text, args=dict(p)).withColumns({n: F.lit(v) for n, v in p.items()}) for p in params]
+        return reduce(DataFrame.unionByName, results)

@@ -35,6 +35,7 @@ from roadgeo.operators import assembly, runs
 from roadgeo.operators.distance_join import distance_join
 from roadgeo.operators.range_filter import range_filter
 from roadgeo.plans import road_queries as roads
+from roadgeo.plans.road_sql import run_text
 from roadgeo.sources import tables
 from roadgeo.sources.geoparquet import geo_footers
 from roadgeo.sources.gpx import read_gpx, track_name
@@ -85,6 +86,11 @@ def _road_query(fn, shape=lambda df: df):
     return lambda spark, sf_dir: _rounded(shape(fn(_ways(spark, sf_dir))))
 
 
+def _road_text(name, shape=lambda df: df):
+    """A road query by its SQL text."""
+    return lambda spark, sf_dir: _rounded(shape(run_text(spark, _ways(spark, sf_dir), name[:3])))
+
+
 # ---------------------------------------------------------------- assembly
 
 
@@ -531,31 +537,31 @@ def sql_sweep(spark, sf_dir):
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "q01_count_roads": _road_query(roads.count_roads),
-    "q02_road_length": _road_query(roads.road_length),
-    "q03_roads_by_highway_type": _road_query(roads.roads_by_highway_type),
-    "q04_lit_roads": _road_query(roads.lit_roads),
-    "q05_roads_by_surface": _road_query(roads.roads_by_surface),
-    "q06_envelope_bbox": _road_query(roads.envelope_bbox, lambda df: _box(df, "bbox")),
-    "q07_major_roads": _road_query(roads.major_roads),
-    "q08_road_centroids": _road_query(
-        roads.road_centroids, lambda df: _xy(df, "centroid", "cx", "cy")
-    ),
-    "q09_named_roads_with_lanes": _road_query(roads.named_roads_with_lanes),
-    "q10_road_statistics": _road_query(roads.road_statistics),
-    "q11_buffer_analysis": _road_query(
-        roads.buffer_analysis, lambda df: _box(df, "buffer_geom")
-    ),
-    "q12_spatial_filter": _road_query(roads.spatial_filter),
-    "q13_start_end_points": _road_query(
+#: The road queries, and how their geometry columns are shown.
+ROADS = {
+    "q01_count_roads": (roads.count_roads,),
+    "q02_road_length": (roads.road_length,),
+    "q03_roads_by_highway_type": (roads.roads_by_highway_type,),
+    "q04_lit_roads": (roads.lit_roads,),
+    "q05_roads_by_surface": (roads.roads_by_surface,),
+    "q06_envelope_bbox": (roads.envelope_bbox, lambda df: _box(df, "bbox")),
+    "q07_major_roads": (roads.major_roads,),
+    "q08_road_centroids": (roads.road_centroids, lambda df: _xy(df, "centroid", "cx", "cy")),
+    "q09_named_roads_with_lanes": (roads.named_roads_with_lanes,),
+    "q10_road_statistics": (roads.road_statistics,),
+    "q11_buffer_analysis": (roads.buffer_analysis, lambda df: _box(df, "buffer_geom")),
+    "q12_spatial_filter": (roads.spatial_filter,),
+    "q13_start_end_points": (
         roads.start_end_points,
         lambda df: _xy(_xy(df, "start_point", "sx", "sy"), "end_point", "ex", "ey"),
     ),
-    "q14_road_complexity": _road_query(
-        roads.road_complexity, lambda df: _long(df, "num_points")
-    ),
-    "q15_self_join_nearby": _road_query(roads.self_join_nearby),
+    "q14_road_complexity": (roads.road_complexity, lambda df: _long(df, "num_points")),
+    "q15_self_join_nearby": (roads.self_join_nearby,),
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **{name: _road_query(*how) for name, how in ROADS.items()},
+    **{f"sql_{name}": _road_text(name, *how[1:]) for name, how in ROADS.items()},
     "osm_points": osm_points,
     "osm_points_strict": osm_points_strict,
     "osm_points_dropped": osm_points_dropped,

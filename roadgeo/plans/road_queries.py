@@ -20,7 +20,7 @@ from roadgeo.functions import (
     st_numpoints,
     st_startpoint,
 )
-from roadgeo.operators.distance_join import distance_join
+from roadgeo.operators.distance_join import distance_join, first_pairs
 from roadgeo.operators.range_filter import range_filter
 from roadgeo.types import BBOX_COLUMNS
 
@@ -240,4 +240,5 @@ def nearby_roads(roads: DataFrame, distance: float = NEARBY_DISTANCE) -> DataFra
 
 def self_join_nearby(roads: DataFrame, distance: float = NEARBY_DISTANCE) -> DataFrame:
     """The first pairs of nearby named roads, by ids, of the whole join: each partition keeps its first ones."""
-    return nearby_roads(roads, distance).orderBy("road1_id", "road2_id").limit(ROW_LIMIT)
+    side = _nearby_side(roads)
+    return _as_nearby(first_pairs(side, side, distance, ROW_LIMIT, once=True))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadgeo.functions import st_distance, st_geomfromwkt, st_intersects
 from roadgeo.functions import line_from_vertices
-from roadgeo.operators.distance_join import _crowded, _split_table, distance_join
+from roadgeo.operators.distance_join import _crowded, _split_table, distance_join, first_pairs
 from roadgeo.operators.range_filter import range_filter
 from roadgeo.plans import road_queries as Q
 from roadgeo.sources import tables
@@ -149,3 +149,13 @@ def test_range_filter(spark, tmp_path, window):
     tables.write_geometry_parquet(a.withColumn("tags", F.create_map(F.lit("a"), F.lit("b"))), str(tmp_path / "a"))
     stored = tables.read_geometry_parquet(spark, str(tmp_path / "a"))
     assert {r["id"] for r in range_filter(stored, window).collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 7, 1000])
+def test_first_pairs_are_those_of_the_join(spark, n):
+    """Long lines among short ones, whose pieces meet a row several times."""
+    rows = [(i, [(i % 7 * 0.01, i * 0.003), (i % 7 * 0.01 + (0.9 if i % 9 == 0 else 0.004), i * 0.003 + 0.002)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, v array<struct<x:double,y:double>>").select("id", line_from_vertices("v").alias("geometry"))
+    whole = sorted((r["a_id"], r["b_id"], r["distance"]) for r in distance_join(df, df, 0.01, once=True).collect())
+    found = [(r["a_id"], r["b_id"], r["distance"]) for r in first_pairs(df, df, 0.01, n, once=True).collect()]
+    assert len(whole) > 50 and found == whole[:n]

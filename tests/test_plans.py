@@ -75,6 +75,16 @@ def test_limited_queries_take_the_top_first(stored, query):
         assert text.index("ArrowEvalPython") < text.index("TakeOrderedAndProject")
 
 
+def test_nearby_pairs_are_cut_before_they_are_shuffled(stored):
+    """No exchange lies between the distances and the limit on ranks: only the first pairs travel."""
+    text = plan(Q.self_join_nearby(stored))
+    above = text[: text.index("ArrowEvalPython")].splitlines()
+    kept = [line.split("(")[0].split("[")[0].strip("*+-: 0123456789)") for line in above]
+    limits = [i for i, line in enumerate(above) if "WindowGroupLimit" in line]
+    exchanges = [i for i, line in enumerate(above) if "Exchange" in line]
+    assert len(limits) == 2 and exchanges and max(exchanges) < max(limits), kept
+
+
 def test_grouped_statistics_combine_before_the_shuffle(stored, spark, sf_dir):
     for df in (Q.road_statistics(stored), runs.run_summary(derived.runs(spark, sf_dir))):
         text = plan(df)

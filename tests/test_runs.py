@@ -122,3 +122,20 @@ def test_sweeps(spark):
     text = "SELECT count(*) AS c FROM numbers WHERE id < :n"
     got = runs.sql_sweep(spark, text, [{"n": 3}, {"n": 7}]).collect()
     assert {(r["n"], r["c"]) for r in got} == {(3, 3), (7, 7)}
+
+
+def test_sql_sweep_scans_once(spark, tmp_path):
+    spark.range(100).selectExpr("id", "id % 3 AS kind", "'a:n' AS t").write.parquet(str(tmp_path / "t"))
+    spark.read.parquet(str(tmp_path / "t")).createOrReplaceTempView("swept")
+    text = "SELECT count(*) AS c, max(id)::int AS m FROM swept WHERE kind = :kind AND id < :n AND t = 'a:n'"
+    sets = [{"kind": 0, "n": 50}, {"kind": 1, "n": 10}, {"kind": 7, "n": 10}]
+    found = runs.sql_sweep(spark, text, sets)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {(r["kind"], r["n"], r["c"], r["m"]) for r in found.collect()} == {(0, 50, 17, 48), (1, 10, 3, 7), (7, 10, 0, None)}
+
+
+def test_sql_sweep_of_other_texts(spark):
+    """A text that Spark does not join laterally."""
+    spark.range(100).createOrReplaceTempView("limited")
+    text = "SELECT sum(a.id) AS s FROM limited a LEFT JOIN limited b ON a.id = b.id + :n WHERE b.id IS NULL"
+    assert {(r["n"], r["s"]) for r in runs.sql_sweep(spark, text, [{"n": 1}, {"n": 3}]).collect()} == {(1, 0), (3, 3)}
