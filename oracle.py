@@ -302,6 +302,14 @@ def oracle_sql() -> dict[str, str]:
         "osm_way_vertices": _osm("SELECT way_id, pos, x, y FROM vert"),
         "osm_relation_members_way": _osm(f"{members} WHERE ref_type = 'way'"),
         "osm_relation_members_any": _osm(members),
+        "wkb_types": _osm(
+            """SELECT id,
+              ['POINT', 'LINESTRING', 'POLYGON', 'MULTIPOINT', 'MULTILINESTRING', 'MULTIPOLYGON'][id % 6 + 1] AS type,
+              [21, 9 + 16 * n_points, 29 + 16 * n_points, 9 + 21 * n_points, 27 + 32 * n_points,
+               67 + 32 * n_points][id % 6 + 1]::bigint AS n_bytes,
+              true AS same, true AS same_extended,
+              round(CASE id % 6 WHEN 1 THEN len WHEN 4 THEN 2 * len ELSE 0 END, 9) AS length FROM osm"""
+        ),
         "osm_pbf_roundtrip": _osm(f"{members} WHERE ref_type = 'way'"),
         "export_ways": _osm("SELECT id AS osm_id, name, round(len, 9) AS length FROM osm"),
         "way_wkt": _osm(

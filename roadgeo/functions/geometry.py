@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 POINT, LINESTRING, POLYGON, MULTIPOLYGON = "POINT", "LINESTRING", "POLYGON", "MULTIPOLYGON"
+MULTIPOINT, MULTILINESTRING = "MULTIPOINT", "MULTILINESTRING"
 
 # ---------------------------------------------------------------- building blocks
 
@@ -131,12 +132,14 @@ def st_makeline(points: Column | str) -> Column:
 
 @named
 def st_length(g: Column | str) -> Column:
-    """Planar length of a line; 0 for points and polygons."""
+    """Planar length of a line or of several; 0 for points and polygons."""
     g = _col(g)
     v = _first_part(g)
+    lengths = F.transform(g["parts"], lambda part: _total(_over_segments(part, _segment_length)))
     return (
         F.when(g.isNull(), F.lit(None).cast("double"))
         .when(_is_line(g) & v.isNotNull(), _total(_over_segments(v, _segment_length)))
+        .when(g["type"] == MULTILINESTRING, _total(lengths))
         .otherwise(F.lit(0.0))
     )
 
@@ -363,7 +366,8 @@ _RINGS = rf"\s*\({_PATH}(?:,{_PATH})*\)\s*"
 _SHELLS = rf"\s*\(\s*\({_PATH}\)(?:\s*,\s*\({_PATH}\))*\s*\)\s*"
 WKT_PATTERN = (
     rf"^\s*(?:POINT\s*\({_PAIR}\)\s*|LINESTRING{_LINE}|POLYGON{_RINGS}|MULTIPOLYGON{_SHELLS}"
-    r"|(?:POINT|LINESTRING|POLYGON|MULTIPOLYGON)\s+EMPTY\s*)$"
+    rf"|MULTIPOINT\s*\(\s*\({_PAIR}\)\s*(?:,\s*\({_PAIR}\)\s*)*\)\s*|MULTILINESTRING\s*\({_LINE}(?:,{_LINE})*\)\s*"
+    r"|(?:MULTI)?(?:POINT|LINESTRING|POLYGON)\s+EMPTY\s*)$"
 )
 PART_PATTERN = r"\(([^()]+)\)"
 
@@ -446,7 +450,7 @@ def st_astext(g: Column | str) -> Column:
         F.when(F.array_size(g["parts"]) == 0, F.lit("EMPTY"))
         .when(g["type"].isin(POINT, LINESTRING), F.get(paths, F.lit(0)))
         .when(
-            g["type"] == POLYGON,
+            g["type"] != MULTIPOLYGON,
             F.concat(F.lit("("), F.array_join(paths, ", "), F.lit(")")),
         )
         .otherwise(F.concat(F.lit("("), F.array_join(shells, ", "), F.lit(")")))

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KINDS = ("POINT", "LINESTRING", "POLYGON", "MULTIPOLYGON")
-POINT, LINESTRING, POLYGON, MULTIPOLYGON = range(4)
+KINDS = ("POINT", "LINESTRING", "POLYGON", "MULTIPOLYGON", "MULTIPOINT", "MULTILINESTRING")
+POINT, LINESTRING, POLYGON, MULTIPOLYGON, MULTIPOINT, MULTILINESTRING = range(6)
+AREAL = (POLYGON, MULTIPOLYGON)
 
 ARROW_VERTEX = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 ARROW_GEOMETRY = pa.struct(
@@ -144,7 +145,7 @@ class Outline:
             starts_of(count), count,
             b.x[first[has]], b.y[first[has]],
             starts_of(probes), probes,
-            b.kind >= POLYGON,
+            np.isin(b.kind, AREAL),
         )
 
     def repeated(self, n: int) -> "Outline":
@@ -396,7 +397,7 @@ def _capsule_union(segments: np.ndarray, d: float) -> tuple:
 
 def buffer(b: Batch, d: float) -> pa.Array:
     """Buffer of points and lines; see ``st_buffer``."""
-    if (b.kind >= POLYGON).any():
+    if np.isin(b.kind, AREAL).any():
         raise ValueError("st_buffer takes points and lines")
     outline = Outline.of(b)
     part_count = np.zeros(len(b), np.int64)
@@ -426,8 +427,11 @@ def buffer(b: Batch, d: float) -> pa.Array:
 # ---------------------------------------------------------------- well-known binary
 
 # Fixed values of the well-known binary format.
-WKB_CODE = {POINT: 1, LINESTRING: 2, POLYGON: 3, MULTIPOLYGON: 6}
+WKB_CODE = {POINT: 1, LINESTRING: 2, POLYGON: 3, MULTIPOLYGON: 6, MULTIPOINT: 4, MULTILINESTRING: 5}
+WKB_MEMBER = {MULTIPOLYGON: 3, MULTIPOINT: 1, MULTILINESTRING: 2}  # what the members of a collection are
 LITTLE_ENDIAN = 1
+WITH_Z, WITH_M, WITH_SRID = 0x80000000, 0x40000000, 0x20000000  # flags of the extended form
+ISO_STEP = 1000  # type + 1000 has z, + 2000 m, + 3000 both
 
 
 def _put_u32(out: np.ndarray, at: np.ndarray, value: np.ndarray) -> None:
@@ -441,15 +445,15 @@ def to_wkb(b: Batch) -> pa.Array:
         b = _with_nan_points(b, (b.kind == POINT) & (total == 0) & b.valid)
         total = b.vertex_counts()
     kind = np.maximum(b.kind, 0)
-    head = np.array([5, 9, 9, 9])[kind]  # byte order, type, and a count except for points
-    part_head = np.array([0, 0, 4, 13])[kind]  # ring size; a nested polygon has its own head
+    head = np.array([5, 9, 9, 9, 9, 9])[kind]  # byte order, type, and a count except for points
+    part_head = np.array([0, 0, 4, 13, 5, 9])[kind]  # ring size; a member has its own head
     length = np.where(b.valid, head + part_head * b.part_count + 16 * total, 0)
     start = starts_of(length)
     out = np.zeros(int(length.sum()), np.uint8)
 
     rows = np.flatnonzero(b.valid)
     out[start[rows]] = LITTLE_ENDIAN
-    _put_u32(out, start[rows] + 1, np.array([WKB_CODE[k] for k in range(4)])[kind[rows]])
+    _put_u32(out, start[rows] + 1, np.array([WKB_CODE[k] for k in range(len(KINDS))])[kind[rows]])
     counted = rows[kind[rows] != POINT]
     number = np.where(kind == LINESTRING, total, b.part_count)
     _put_u32(out, start[counted] + 5, number[counted])
@@ -462,11 +466,14 @@ def to_wkb(b: Batch) -> pa.Array:
     part_at = (start + head)[part_row] + before - row_first[part_row]
     ring = np.flatnonzero(kind[part_row] == POLYGON)
     _put_u32(out, part_at[ring], b.size[ring])
-    nested = np.flatnonzero(kind[part_row] == MULTIPOLYGON)
-    out[part_at[nested]] = LITTLE_ENDIAN
-    _put_u32(out, part_at[nested] + 1, np.full(len(nested), WKB_CODE[POLYGON]))
-    _put_u32(out, part_at[nested] + 5, np.ones(len(nested)))
-    _put_u32(out, part_at[nested] + 9, b.size[nested])
+    for of, member in WKB_MEMBER.items():
+        nested = np.flatnonzero(kind[part_row] == of)
+        out[part_at[nested]] = LITTLE_ENDIAN
+        _put_u32(out, part_at[nested] + 1, np.full(len(nested), member))
+        if of == MULTIPOLYGON:
+            _put_u32(out, part_at[nested] + 5, np.ones(len(nested)))
+        if of != MULTIPOINT:
+            _put_u32(out, part_at[nested] + part_head[part_row[nested]] - 4, b.size[nested])
 
     step = np.arange(len(b.x)) - np.repeat(starts_of(b.size), b.size)
     at = np.repeat(part_at + part_head[part_row], b.size) + 16 * step
@@ -496,57 +503,96 @@ def _with_nan_points(b: Batch, rows: np.ndarray) -> Batch:
     return Batch(b.valid, b.kind, count, size, x, y)
 
 
-def _read_one(raw: memoryview) -> tuple:
-    """Kind, part sizes and coordinates of one binary geometry."""
-    pos = 0
-
-    def head():
-        nonlocal pos
-        order = "<" if raw[pos] == LITTLE_ENDIAN else ">"
-        code = int(np.frombuffer(raw, order + "u4", 1, pos + 1)[0])
-        pos += 5
-        return order, code
-
-    def number(order):
-        nonlocal pos
-        pos += 4
-        return int(np.frombuffer(raw, order + "u4", 1, pos - 4)[0])
-
-    def path(order, n):
-        nonlocal pos
-        pos += 16 * n
-        return np.frombuffer(raw, order + "f8", 2 * n, pos - 16 * n).astype(float)
-
-    order, code = head()
-    if code == WKB_CODE[POINT]:
-        xy = path(order, 1)
-        return POINT, [] if np.isnan(xy).all() else [xy]
-    if code == WKB_CODE[LINESTRING]:
-        n = number(order)
-        return LINESTRING, [path(order, n)] if n else []
-    if code == WKB_CODE[POLYGON]:
-        return POLYGON, [path(order, number(order)) for _ in range(number(order))]
-    if code == WKB_CODE[MULTIPOLYGON]:
-        shells = []
-        for _ in range(number(order)):
-            inner, _code = head()
-            if number(inner) != 1:
-                raise ValueError("a multipolygon with holes is not supported")
-            shells.append(path(inner, number(inner)))
-        return MULTIPOLYGON, shells
-    raise ValueError(f"unsupported geometry type in well-known binary: {code}")
+class _Wkb:
+    """The bytes of a column of binary geometries, read at many places at a time."""
+
+    def __init__(self, arr: pa.Array):
+        arr = arr.cast(pa.large_binary())
+        offsets = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
+        held = arr.buffers()[2]
+        self.raw = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+        self.start, self.end = offsets[:-1], offsets[1:]
+
+    def bytes_at(self, pos: np.ndarray, n: int, rows: np.ndarray) -> np.ndarray:
+        if (pos + n > self.end[rows]).any():
+            raise ValueError("a well-known binary ends too early")
+        return self.raw[pos[:, None] + np.arange(n)]
+
+    def number(self, pos: np.ndarray, little: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        b = self.bytes_at(pos, 4, rows)
+        return np.where(little, b.view("<u4")[:, 0], b.view(">u4")[:, 0]).astype(np.int64)
+
+    def heads(self, pos: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Type, coordinates of a vertex, byte order, and the place after the head, in plain, ISO or extended form."""
+        little = self.bytes_at(pos, 1, rows)[:, 0] == LITTLE_ENDIAN
+        code = self.number(pos + 1, little, rows)
+        plain = code & 0x1FFFFFFF
+        more = plain // ISO_STEP
+        dims = 2 + np.where(more > 0, np.array([0, 1, 1, 2])[np.minimum(more, 3)], ((code & WITH_Z) > 0) * 1 + ((code & WITH_M) > 0))
+        kind = plain % ISO_STEP
+        if ((kind < 1) | (kind > 6) | (more > 3)).any():
+            bad = code[(kind < 1) | (kind > 6) | (more > 3)][0]
+            raise ValueError(f"unsupported geometry type in well-known binary: {bad}")
+        return kind, dims, little, pos + 5 + np.where(code & WITH_SRID, 4, 0)
 
 
 def from_wkb(arr: pa.Array) -> pa.Array:
-    """Geometries from well-known binary of either byte order."""
-    kind = np.full(len(arr), -1)
-    part_count = np.zeros(len(arr), np.int64)
-    coords: list[np.ndarray] = []
-    for row, value in enumerate(arr):
-        if value.is_valid:
-            kind[row], parts = _read_one(memoryview(value.as_buffer()))
-            part_count[row] = len(parts)
-            coords.extend(parts)
-    size = np.array([len(c) // 2 for c in coords], np.int64)
-    flat = np.concatenate(coords) if coords else np.empty(0)
-    return to_arrow(kind, part_count, size, flat[0::2], flat[1::2], kind < 0)
+    """Geometries from well-known binary of either byte order, with or without z, m and a reference system, of which x
+    and y are kept.
+
+    All rows are read together: first their heads, then the first part of every row, the second parts, and so on.
+    """
+    data = _Wkb(arr)
+    rows = np.flatnonzero(arr.is_valid().to_numpy(zero_copy_only=False))
+    code, dims, little, pos = data.heads(data.start[rows].copy(), rows)
+    left = np.ones(len(rows), np.int64)
+    many = code > 2
+    left[many] = data.number(pos[many], little[many], rows[many])
+    pos[many] += 4
+
+    found: list[tuple] = []  # row, start, vertices, coordinates of a vertex, byte order, whether a point
+    going = np.flatnonzero(left > 0)
+    while len(going):
+        row, at = rows[going], pos[going]
+        kind, d, order = code[going].copy(), dims[going].copy(), little[going].copy()
+        member = kind > 3
+        if member.any():
+            kind[member], d[member], order[member], at[member] = data.heads(at[member], row[member])
+        counted = kind != 1
+        rings = member & (kind == 3)
+        if rings.any():
+            if (data.number(at[rings], order[rings], row[rings]) != 1).any():
+                raise ValueError("a multipolygon with holes is not supported")
+            at[rings] += 4
+        size = np.ones(len(going), np.int64)
+        size[counted] = data.number(at[counted], order[counted], row[counted])
+        at = at + np.where(counted, 4, 0)
+        after = at + 8 * d * size
+        if (after > data.end[row]).any():
+            raise ValueError("a well-known binary ends too early")
+        found.append((row, at, size, d, order, ~counted))
+        pos[going] = after
+        left[going] -= 1
+        going = going[left[going] > 0]
+
+    row, start, size, d, order, point = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 6
+    placed = np.argsort(row, kind="stable")
+    row, start, size, d, order, point = (c[placed] for c in (row, start, size, d, order, point.astype(bool)))
+    each = np.repeat(start, size) + 8 * np.repeat(d, size) * runs(np.zeros(len(size), np.int64), size)
+    xy = np.ascontiguousarray(data.raw[each[:, None] + np.arange(16)]) if len(each) else np.zeros((0, 16), np.uint8)
+    little_xy = np.repeat(order.astype(bool), size)[:, None]
+    xy = np.where(little_xy, xy.view("<f8"), xy.view(">f8"))
+
+    # an empty point has coordinates that are no numbers, an empty line has no vertices: neither has a part
+    top = np.zeros(len(arr), np.int64)
+    top[rows] = code
+    blank = np.zeros(len(size), bool)
+    blank[point] = np.isnan(xy[starts_of(size)[point]]).all(axis=1)
+    keep = ~(blank | ((top[row] == 2) & (size == 0)))
+    xy = xy[np.repeat(keep, size)]
+    of_code = np.zeros(7, np.int64)
+    of_code[list(WKB_CODE.values())] = list(WKB_CODE)
+    kinds = np.full(len(arr), -1)
+    kinds[rows] = of_code[code]
+    part_count = np.bincount(row[keep], minlength=len(arr)).astype(np.int64)
+    return to_arrow(kinds, part_count, size[keep], xy[:, 0], xy[:, 1], kinds < 0)

@@ -109,7 +109,7 @@ def _text() -> str:
     number = lambda c: f"regexp_replace(cast(v.{c} AS STRING), '[.]0$', '')"
     paths = f"transform(g.parts, part -> concat('(', array_join(transform(part, v -> concat_ws(' ', {number('x')}, {number('y')})), ', '), ')'))"
     body = """CASE WHEN array_size(t) = 0 THEN 'EMPTY' WHEN g.type IN ('POINT', 'LINESTRING') THEN get(t, 0)
-      WHEN g.type = 'POLYGON' THEN concat('(', array_join(t, ', '), ')')
+      WHEN g.type <> 'MULTIPOLYGON' THEN concat('(', array_join(t, ', '), ')')
       ELSE concat('(', array_join(transform(t, s -> concat('(', s, ')')), ', '), ')') END"""
     return f"concat(g.type, ' ', {_let('t', paths, body)})"
 
@@ -134,7 +134,7 @@ def sql_functions() -> dict[str, tuple[str, str, str]]:
     return {
         "st_point": ("x DOUBLE, y DOUBLE", _G, f"CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN {_point('x', 'y')} END"),
         "st_makeline": (f"points ARRAY<{_G}>", _G, _make_line()),
-        "st_length": (f"g {_G}", "DOUBLE", f"CASE WHEN g IS NULL THEN NULL WHEN {line} THEN {_total(_segments('get(g.parts, 0)', _STEP))} ELSE 0D END"),
+        "st_length": (f"g {_G}", "DOUBLE", f"CASE WHEN g IS NULL THEN NULL WHEN {line} THEN {_total(_segments('get(g.parts, 0)', _STEP))} WHEN g.type = 'MULTILINESTRING' THEN {_total(f"transform(g.parts, part -> {_total(_segments('part', _STEP))})")} ELSE 0D END"),
         "st_numpoints": (f"g {_G}", "INT", "CASE WHEN g.type = 'LINESTRING' THEN coalesce(array_size(get(g.parts, 0)), 0) END"),
         "st_area": (f"g {_G}", "DOUBLE", _area()),
         "st_envelope": (f"g {_G}", _G, _envelope()),

@@ -42,7 +42,7 @@ from roadgeo.sources.gpx import read_gpx, track_name
 from roadgeo.sources.osm import read_osm, stage_elements
 from roadgeo.sources.pbf_sink import write_osm_pbf
 from roadgeo.sources.scratch import scratch_path
-from roadgeo.types import BBOX_COLUMNS
+from roadgeo.types import BBOX_COLUMNS, GEOMETRY
 
 DIGITS = 9
 
@@ -214,6 +214,38 @@ def wkb_roundtrip(spark, sf_dir):
     )
 
 
+def wkb_types(spark, sf_dir):
+    """Each road as one of the six types, through well-known binary without and with a reference system in its head."""
+    v = F.get("geometry.parts", F.lit(0))
+    ring = F.concat(v, F.slice(v, 1, 1))
+    shapes = {
+        "POINT": F.array(F.slice(v, 1, 1)),
+        "LINESTRING": F.array(v),
+        "POLYGON": F.array(ring),
+        "MULTIPOINT": F.transform(v, lambda p: F.array(p)),
+        "MULTILINESTRING": F.array(v, F.reverse(v)),
+        "MULTIPOLYGON": F.array(ring, ring),
+    }
+    made = F.lit(None).cast(GEOMETRY)
+    for nth, (kind, parts) in enumerate(shapes.items()):
+        one = F.struct(F.lit(kind).alias("type"), parts.alias("parts"))
+        made = F.when(F.col("id") % 6 == nth, one).otherwise(made)
+    coded = _ways(spark, sf_dir).select("id", made.alias("g")).withColumn("wkb", st_aswkb("g"))
+    # byte order and type, the flag that a reference system follows, its number, and the rest
+    extended = F.concat(F.substring("wkb", 1, 4), F.unhex(F.lit("20E6100000")), F.expr("substring(wkb, 6)"))
+    back = coded.withColumns({"back": st_geomfromwkb("wkb"), "again": st_geomfromwkb(extended)})
+    return _rounded(
+        back.select(
+            "id",
+            F.col("back.type").alias("type"),
+            F.length("wkb").cast("bigint").alias("n_bytes"),
+            (F.col("back") == F.col("g")).alias("same"),
+            (F.col("again") == F.col("g")).alias("same_extended"),
+            st_length("back").alias("length"),
+        )
+    )
+
+
 def make_line(spark, sf_dir):
     """Line between the two corners of each road's box, made of points."""
     boxes = _box(_ways(spark, sf_dir).select("id", "geometry"), "geometry")
@@ -576,6 +608,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "way_wkt": way_wkt,
     "wkt_roundtrip": wkt_roundtrip,
     "wkb_roundtrip": wkb_roundtrip,
+    "wkb_types": wkb_types,
     "make_line": make_line,
     "polygon_area": polygon_area,
     "road_buffers": road_buffers,

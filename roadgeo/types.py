@@ -2,14 +2,16 @@
 
 Coordinates are planar degrees, x = longitude and y = latitude.
 
-==============  =============================================================
-type            parts
-==============  =============================================================
-POINT           one part with one vertex
-LINESTRING      one part with two or more vertices
-POLYGON         shell first, then the holes; every ring is closed
-MULTIPOLYGON    each part is one closed, hole-free shell; interiors disjoint
-==============  =============================================================
+===============  =============================================================
+type             parts
+===============  =============================================================
+POINT            one part with one vertex
+LINESTRING       one part with two or more vertices
+POLYGON          shell first, then the holes; every ring is closed
+MULTIPOLYGON     each part is one closed, hole-free shell; interiors disjoint
+MULTIPOINT       each part has one vertex
+MULTILINESTRING  each part has two or more vertices
+===============  =============================================================
 
 An empty geometry has no parts.
 """

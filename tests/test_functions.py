@@ -237,3 +237,13 @@ def test_file_names(spark):
         stem, last = names[r["n"]]
         assert r["s"] == stem
         assert last is None or r["l"] == last
+
+
+@pytest.mark.parametrize(
+    "text,length", [("MULTIPOINT ((1 2), (3 4))", 0.0), ("MULTILINESTRING ((0 0, 3 4), (1 1, 1 2, 1 3))", 7.0), ("MULTIPOINT EMPTY", 0.0), ("MULTILINESTRING EMPTY", 0.0)]
+)
+def test_multi_types(one, text, length):
+    shape = G.st_geomfromwkt(F.lit(text))
+    assert one(G.st_astext(shape))[0] == one(G.st_astext(G.st_geomfromwkb(G.st_aswkb(shape))))[0] == text
+    assert one(G.st_length(shape))[0] == length and one(G.st_area(shape))[0] == 0.0
+    assert one(G.st_astext(G.st_geomfromwkt(text)))[0] == text

@@ -1,6 +1,8 @@
 """Properties of the geometry kernels, and a cross-check with the geometry library Spark ships."""
 
 import math
+import random
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -160,3 +162,79 @@ def test_buffer_area_against_the_library(jts):
             xy = np.array([(v["x"], v["y"]) for v in ring])
             area += abs(np.sum(xy[:-1, 0] * xy[1:, 1] - xy[1:, 0] * xy[:-1, 1])) / 2
         assert area == pytest.approx(jts.read(text(path)).buffer(0.4).getArea(), rel=4e-3)
+
+
+SHAPES = [
+    ("POINT", [[(1.5, -2.0)]]), ("LINESTRING", [[(0.0, 0.0), (3.0, 4.0)]]),
+    ("POLYGON", [[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 0.0)], [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 1.0)]]),
+    ("MULTIPOINT", [[(1.0, 2.0)], [(3.0, 4.0)]]), ("MULTILINESTRING", [[(0.0, 0.0), (1.0, 1.0)], [(5.0, 5.0), (6.0, 5.0), (7.0, 8.0)]]),
+    ("MULTIPOLYGON", [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)], [(5.0, 5.0), (6.0, 5.0), (6.0, 6.0), (5.0, 5.0)]]),
+    ("POINT", []), ("LINESTRING", []), ("POLYGON", []), ("MULTIPOINT", []), ("MULTILINESTRING", []), ("MULTIPOLYGON", []),
+]
+
+
+def plain_wkb(kind, parts, order, form, extra):
+    """One geometry at a time: `form` is plain, iso or extended; `extra` further coordinates of each vertex."""
+    base = {"POINT": 1, "LINESTRING": 2, "POLYGON": 3, "MULTIPOINT": 4, "MULTILINESTRING": 5, "MULTIPOLYGON": 6}
+
+    def head(code, outer):
+        if form == "iso":
+            code += 1000 * extra
+        if form == "extended":
+            code |= (0x80000000 if extra else 0) | (0x20000000 if outer else 0)
+        srid = struct.pack(order + "I", 4326) if form == "extended" and outer else b""
+        return bytes([order == "<"]) + struct.pack(order + "I", code) + srid
+
+    def vertices(path):
+        return b"".join(struct.pack(order + "2d", *p) + struct.pack(order + "d", 7.0) * extra for p in path)
+
+    def counted(path):
+        return struct.pack(order + "I", len(path)) + vertices(path)
+
+    out = head(base[kind], True)
+    if kind == "POINT":
+        return out + vertices(parts[0] if parts else [(math.nan, math.nan)])
+    if kind == "LINESTRING":
+        return out + counted(parts[0] if parts else [])
+    out += struct.pack(order + "I", len(parts))
+    if kind == "POLYGON":
+        return out + b"".join(map(counted, parts))
+    if kind == "MULTIPOINT":
+        return out + b"".join(head(1, False) + vertices(p) for p in parts)
+    if kind == "MULTILINESTRING":
+        return out + b"".join(head(2, False) + counted(p) for p in parts)
+    return out + b"".join(head(3, False) + struct.pack(order + "I", 1) + counted(p) for p in parts)
+
+
+def shape_array(shapes):
+    rows = [None if s is None else {"type": s[0], "parts": [[{"x": x, "y": y} for x, y in p] for p in s[1]]} for s in shapes]
+    return pa.array(rows, K.ARROW_GEOMETRY)
+
+
+def test_wkb_forms_in_one_column():
+    forms = [(o, f, e) for o in "<>" for f in ("plain", "iso", "extended") for e in (0, 1) if f != "plain" or not e]
+    coded = [(s, plain_wkb(*s, *f)) for s in SHAPES for f in forms] + [(None, None)]
+    random.Random(5).shuffle(coded)
+    data = pa.array([c for _, c in coded], pa.binary())
+    assert K.from_wkb(data).to_pylist() == shape_array([s for s, _ in coded]).to_pylist()
+    assert K.from_wkb(data.slice(7, 20)).to_pylist() == shape_array([s for s, _ in coded[7:27]]).to_pylist()
+
+
+def test_wkb_of_all_types_is_plain():
+    got = K.to_wkb(K.Batch.of(shape_array(SHAPES))).to_pylist()
+    want = [plain_wkb(*s, "<", "plain", 0) for s in SHAPES]
+    assert [g for g, s in zip(got, SHAPES) if s != ("POINT", [])] == [w for w, s in zip(want, SHAPES) if s != ("POINT", [])]
+    assert len(K.from_wkb(pa.array([], pa.binary()))) == 0
+
+
+@pytest.mark.parametrize("bad", [b"\x01\x07\x00\x00\x00\x00\x00\x00\x00", b"\x01\x02\x00\x00\x00\xff\xff\xff\x0f", b"\x01\x01\x00"])
+def test_bad_wkb_is_an_error(bad):
+    with pytest.raises(ValueError, match="well-known binary"):
+        K.from_wkb(pa.array([bad], pa.binary()))
+
+
+def test_multi_types_in_other_kernels():
+    lines = shape_array([SHAPES[4], SHAPES[3]])
+    point = shape_array([("POINT", [[(6.0, 5.0)]]), ("POINT", [[(3.0, 5.0)]])])
+    a, b = K.Outline.of(K.Batch.of(lines)), K.Outline.of(K.Batch.of(point))
+    assert K.distance(a, b).tolist() == [0.0, 1.0] and K.intersects(a, b).tolist() == [True, False]
