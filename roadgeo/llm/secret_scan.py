@@ -4,7 +4,8 @@ Base spans are found by three fixed patterns. A credential often has several par
 itself: an access identifier, a secret, an endpoint. Candidates of the three kinds are found by wide patterns and joined
 as intervals: within a scope (a paragraph, cut where the text falls silent about credentials for longer than `REACH`
 code points) each candidate is matched with the nearest of the complementary kinds. Weak candidates are reported only if
-a secret stands together with an identifier or an endpoint; alone they are dropped.
+a secret stands together with an identifier or an endpoint; alone they are dropped. A candidate that overlaps a base span is
+no candidate, and a part that starts where another starts is not its complement.
 
 The join runs within a document's own row, by sorted starts, so nothing is shuffled.
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -52,10 +54,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
-
-
-
-
 def _mixed(run: str) -> bool:
     return any(c.isdigit() for c in run) and any("A" <= c <= "Z" for c in run) and any("a" <= c <= "z" for c in run)
 
@@ -67,11 +65,12 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     if not weak:
         return []
     covered = sorted(base)
-    ends = [s for s, _, _ in covered]
+    begins, reach_to = [s for s, _, _ in covered], list(accumulate((e for _, e, _ in covered), max))
 
     def in_base(start: int, end: int) -> bool:
-        i = bisect_left(ends, end)
-        return any(e > start for _, e, _ in covered[max(0, i - 3) : i])
+        """Whether any base span overlaps: of those that start before `end`, the one that reaches furthest tells."""
+        i = bisect_left(begins, end)
+        return i > 0 and reach_to[i - 1] > start
 
     weak = sorted({w for w in weak if not in_base(w[0], w[1])})
     role = {"assign": "linked_secret", "hex": "linked_secret", "access": "linked_id"}
@@ -83,8 +82,8 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     def near(kind: str, start: int) -> bool:
         """Whether a part of this kind starts in the scope, within reach on either side."""
         own = starts[kind]
-        i = bisect_left(own, start)
-        return any(0 <= j < len(own) and own[j] != start and abs(own[j] - start) <= REACH and scope(own[j]) == scope(start) for j in (i - 1, i, i + 1))
+        neighbours = bisect_left(own, start) - 1, bisect_right(own, start)
+        return any(0 <= j < len(own) and abs(own[j] - start) <= REACH and scope(own[j]) == scope(start) for j in neighbours)
 
     partners = {"linked_secret": ("linked_id", "linked_endpoint"), "linked_id": ("linked_secret",), "linked_endpoint": ("linked_secret",)}
     return [(s, e, k) for s, e, k in weak if any(near(p, s) for p in partners[k])]
