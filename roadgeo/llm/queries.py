@@ -51,6 +51,11 @@ def op9_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs, from the same ledger as op9_rule_ledger."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_poisson_mix": op8_poisson_mix,
     "op9_rule_ledger": op9_rule_ledger,
+    "rule_ablations": rule_ablations,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_language_filters": op11_language_filters,
     "op12_whitening": op12_whitening,
@@ -110,11 +116,11 @@ copies as (select * exclude (times), unnest(range(1, times::bigint + 1))::int as
 select *, {uniform(f"'{seed}-order|' || {doc} || '|' || copy::varchar")} as shuffle_key from copies"""
 
 
-def _ledger_sql() -> str:
+def _ledger_tables() -> str:
+    """The ledger as table f of a WITH clause."""
     white = r"[\x20\x09-\x0D]"
     word = r"[^\x20\x09-\x0D]"
     bits = " + ".join(f"case when {f} then {1 << i} else 0 end" for i, f in enumerate(rules.RULES.values()))
-    bad = lambda r: f"failed & {rules.mask(r)} <> 0"
     count = lambda chars: f"length(text) - length(regexp_replace(text, '{chars}', '', 'g'))"
     return rf"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
@@ -132,10 +138,22 @@ m as (
         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(covered.n, 0)::bigint as n_repeat_words,
         ({count(chr(92) + 'p{Lu}+')})::bigint as n_upper, ({count('!+')})::bigint as n_exclaim
     from w left join covered using (r)),
-f as (select *, ({bits})::bigint as failed from m)
+f as (select *, ({bits})::bigint as failed from m)"""
+
+
+def _ledger_sql() -> str:
+    bad = lambda r: f"failed & {rules.mask(r)} <> 0"
+    return f"""{_ledger_tables()}
 select *, {bad(rules.BASE)} as base_failed, not ({bad(rules.BASE)}) and not ({bad(rules.POLICIES[rules.CURRENT])}) as kept, '{rules.CURRENT}' as policy from f"""
 
 
+def _ablations_sql() -> str:
+    arms = ", ".join(f"('{v}', '{r}', {rules.mask(of)}, {rules.mask([r])})" for v, of in rules.POLICIES.items() for r in of)
+    return f"""{_ledger_tables()}
+select policy, rule, count(*) filter (where failed & bit <> 0) as n_failed, count(*) filter (where failed & mask = bit) as n_failed_alone
+from f, (values {arms}) arms(policy, rule, mask, bit) group by policy, rule"""
+
+
 def _top_k_sql() -> str:
     return f"""
 with v as (
@@ -196,5 +214,6 @@ ORACLE: dict[str, str] = {
     "op2_block_top_k": _top_k_sql(),
     "op8_poisson_mix": _mix_sql(),
     "op9_rule_ledger": _ledger_sql(),
+    "rule_ablations": _ablations_sql(),
     "op13_merkle_manifest": _manifest_sql(),
 }
