@@ -318,6 +318,11 @@ def oracle_sql() -> dict[str, str]:
                 regexp_replace(y::VARCHAR, '\\.0$', ''), ', ' ORDER BY pos) || ')' AS wkt
               FROM vert GROUP BY way_id HAVING count(*) >= 2"""
         ),
+        "point_wkt": _osm(
+            """SELECT id, 'POINT (' || regexp_replace(x::VARCHAR, '\\.0$', '') || ' ' ||
+                regexp_replace(y::VARCHAR, '\\.0$', '') || ')' AS wkt
+              FROM node WHERE x IS NOT NULL"""
+        ),
         "wkt_roundtrip": _osm("SELECT id, true AS same, round(len, 9) AS length FROM osm"),
         "wkb_roundtrip": _osm("SELECT id, true AS same, 9 + 16 * n_points AS n_bytes FROM osm"),
         "make_line": _osm(
@@ -397,6 +402,9 @@ def oracle_sql() -> dict[str, str]:
               true AS inside_file_box FROM osm"""
         ),
         "parquet_points": _osm("SELECT id, x, y FROM node WHERE x IS NOT NULL"),
+        "json_result_all": _osm(
+            "SELECT id, name AS road_name, round(len, 9) AS length, false AS has_geometry FROM osm"
+        ),
         "json_result_no_geometry": _osm(
             f"SELECT id, name AS road_name, round(len, 9) AS length {named} ORDER BY id LIMIT 100"
         ),

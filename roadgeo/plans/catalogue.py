@@ -193,6 +193,11 @@ def way_wkt(spark, sf_dir):
     return _ways(spark, sf_dir).select("id", st_astext("geometry").alias("wkt"))
 
 
+def point_wkt(spark, sf_dir):
+    """The text of every point."""
+    return assembly.points(_elements(spark, sf_dir)).select("id", st_astext("geometry").alias("wkt"))
+
+
 def wkt_roundtrip(spark, sf_dir):
     lines = _ways(spark, sf_dir).withColumn("back", st_geomfromwkt(st_astext("geometry")))
     return _rounded(
@@ -488,6 +493,17 @@ def json_result_no_geometry(spark, sf_dir):
     return _rounded(spark.read.schema("id BIGINT, road_name STRING, length DOUBLE").json(path))
 
 
+def json_result_all(spark, sf_dir):
+    """A result with a geometry for every road, written without it, and read back."""
+    path = scratch_path(spark, "result")
+    boxes = _ways(spark, sf_dir).select(
+        "id", F.col("tags")["name"].alias("road_name"), st_envelope("geometry").alias("bbox"), st_length("geometry").alias("length")
+    )
+    tables.write_result_json(boxes, path)
+    back = spark.read.json(path)
+    return _rounded(back.select("id", "road_name", "length", F.lit("bbox" in back.columns).alias("has_geometry")))
+
+
 # ---------------------------------------------------------------- run statistics
 
 
@@ -606,6 +622,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "osm_relation_members_any": lambda spark, sf_dir: _members(spark, sf_dir, "any"),
     "export_ways": export_ways,
     "way_wkt": way_wkt,
+    "point_wkt": point_wkt,
     "wkt_roundtrip": wkt_roundtrip,
     "wkb_roundtrip": wkb_roundtrip,
     "wkb_types": wkb_types,
@@ -627,6 +644,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parquet_geo_roundtrip": parquet_geo_roundtrip,
     "parquet_points": parquet_points,
     "json_result_no_geometry": json_result_no_geometry,
+    "json_result_all": json_result_all,
     "run_timing": run_timing,
     "run_summary": run_summary,
     "timing_json": timing_json,
