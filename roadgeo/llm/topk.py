@@ -13,7 +13,8 @@ pair meet in a window that keeps k rows of each query before the shuffle.
 Cases. A vector that is null, or holds a null or a component that is not finite, takes no part, nor does a null id.
 Shorter vectors count as filled up with zeros. A row with the query's id is not a candidate; a query id that occurs
 twice is asked twice. Ties go to the smaller id. Fewer than k candidates give all of them. Empty tables give no rows.
-Columns other than `vec_id` and `embedding` are not read.
+Columns other than `vec_id` and `embedding` are not read. Components of 2**46 and more, and components so large that scores
+could leave the range of exact whole numbers, raise an error.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ RANGE, BLOCK = 8192, 256
 #: Random directions whose signs, as a Gray code, place a vector on the curve.
 DIRECTIONS, SEED = 12, 7
 LOWEST = -(1 << 62)
+#: Components below this become whole numbers exactly.
+LARGEST = float(1 << 46)
 
 _BLOCKS = "range_id int, n int, dims int, ids binary, parts binary"
 _CHUNKS = "chunk_id int, dims int, ids binary, parts binary, floors binary"
@@ -42,7 +45,9 @@ _BEST = "query_id bigint, query_row bigint, vec_id bigint, score bigint"
 def whole_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id and the components in whole numbers, of the rows that take part."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    parts = F.transform("embedding", lambda x: F.floor(F.lit(SCALE) * x.cast("double")).cast("bigint"))
+    large = F.raise_error(F.lit(f"a component of {LARGEST:.0f} or more has no exact score")).cast("bigint")
+    whole = lambda x: F.floor(F.lit(SCALE) * x.cast("double")).cast("bigint")
+    parts = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) < LARGEST, whole(x)).otherwise(large))
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite).select("vec_id", parts.alias("parts"))
 
 
@@ -109,6 +114,9 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def best_of_range(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, part: Range, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Scores and ids of each query's best k in a range, as far as they reach its floor; LOWEST where there are fewer."""
+    widest = max(int(part.high.max(initial=0)), -int(part.low.min(initial=0))) * int(np.abs(queries).max(initial=0)) * queries.shape[1]
+    if widest << part.shift >= 1 << 62:
+        raise ValueError(f"scores of up to {widest} are too large to be compared exactly")
     bounds = _products(np.maximum(queries, 0), part.high) + _products(np.minimum(queries, 0), part.low)
     order = np.argsort(-bounds, axis=1, kind="stable")
     best = np.full((len(queries), k), LOWEST)  # score << shift | favour

@@ -139,3 +139,10 @@ def test_pipeline_on_awkward_rows(spark, awkward, sf_dir):
     empty = awkward.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+@pytest.mark.parametrize("value,message", [(1e300, "no exact score"), (3e8, "too large to be compared")])
+def test_top_k_refuses_values_beyond_exact_scores(spark, value, message):
+    df = spark.createDataFrame([(i, [value, float(i)]) for i in range(40)], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match=message):
+        topk.top_k(df).collect()
