@@ -16,6 +16,8 @@ from roadgeo.sources.files import ELEMENT_BATCH, KINDS, ByteRanges, ElementReade
 from roadgeo.types import ELEMENTS
 
 ELEMENT_START = re.compile(rb"<(?:node|way|relation)[\s/>]")
+DECLARED = re.compile(rb"""(?:\xef\xbb\xbf)?<\?xml[^>]*?\sencoding=["']([A-Za-z][A-Za-z0-9._-]*)["']""")
+DECLARATION_BYTES = 200
 LONGEST_START = 16  # bytes that may hold a start cut by the end of a read
 READ_BYTES = 1 << 20
 BATCH_ROWS = 10_000
@@ -37,10 +39,20 @@ def _first_start(file, offset: int) -> int | None:
         held = held[-LONGEST_START:]
 
 
+def _declaration(file) -> bytes:
+    """An XML declaration with the encoding that the file declares. A stretch is parsed by itself and needs it again."""
+    file.seek(0)
+    declared = DECLARED.match(file.read(DECLARATION_BYTES))
+    encoding = declared[1] if declared else b"UTF-8"
+    if encoding.upper().replace(b"-", b"").startswith((b"UTF16", b"UTF32", b"UCS")):
+        raise ValueError(f"unsupported encoding of XML in ranges: {encoding.decode()}")
+    return b'<?xml version="1.0" encoding="' + encoding + b'"?>'
+
+
 def _elements(file, begin: int, end: int | None):
     """XML elements in a stretch that begins and ends at element starts."""
     parser = XMLPullParser(("start", "end"))
-    parser.feed(b"<osm>")
+    parser.feed(_declaration(file) + b"<osm>")
     root = None
     file.seek(begin)
     left = None if end is None else end - begin

@@ -203,6 +203,24 @@ def test_pbf_scans_are_pruned_by_kind(spark, tmp_path, monkeypatch):
     assert [b.num_rows for p in reader.partitions() for b in reader.read(p)] == [len(WAYS)]
 
 
+@pytest.mark.parametrize("encoding", ["ISO-8859-2", "utf-8", "windows-1250"])
+def test_xml_encodings(spark, tmp_path, encoding):
+    path = tmp_path / "a.osm"
+    text = OSM.replace("UTF-8", encoding)
+    path.write_bytes(text.encode(encoding))
+    utf8 = tmp_path / "b.osm"
+    utf8.write_text(OSM, encoding="utf-8")
+    for range_bytes in (40, None):
+        assert rows(read_osm_xml(spark, str(path), range_bytes)) == rows(read_osm(spark, str(utf8)))
+
+
+def test_xml_of_two_bytes_is_an_error(spark, tmp_path):
+    path = tmp_path / "a.osm"
+    path.write_bytes(b'<?xml version="1.0" encoding="UTF-16"?><osm><node id="1" lat="1" lon="2"/></osm>')
+    with pytest.raises(PySparkException, match="unsupported encoding"):
+        read_osm(spark, str(path)).collect()
+
+
 def test_xml_columns(spark, tmp_path):
     path = tmp_path / "a.osm"
     path.write_text(OSM)
