@@ -9,7 +9,7 @@ being a key by itself.
 
 In a bucket, first every class is compared with the smallest one: that is linear, and joins most copies. What is left
 are buckets whose classes are not all connected. There, signature trees are joined: leaves hold the classes' token
-bitmaps and sizes, inner nodes the bitmaps combined by OR (and by AND) and the range of sizes. A pair of nodes is
+bitmaps and sizes, inner nodes the bitmaps (folded) combined by OR (and by AND) and the range of sizes. A pair of nodes is
 entered only if the largest overlap that bitmaps and sizes allow reaches the threshold. Buckets of more than CHUNK
 classes are cut into chunks, and each pair of chunks is a task's work. A pair that is connected already is not given. Of buckets of one table that hold the same classes, one stands for all.
 Every candidate is then decided on its whole shingle sets.
@@ -24,7 +24,7 @@ null component. Columns other than `doc_id` and `text` are not read. An empty ta
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain
 
@@ -40,8 +40,10 @@ from roadgeo.llm.components import components
 #: Words of a shingle, and the intersection in hundredths of the union from which on two sets are linked.
 WORDS, OF_UNION = 3, 90
 CHUNK, LEAF, FANOUT = 2048, 16, 8
-#: Shares of the key space that meet one after the other: the shuffle of one is gone before the next.
+#: Shares of buckets and of pairs that are handled one after the other: the shuffle of one is gone before the next.
 SHARES = 4
+#: The trees' bitmaps are so many times shorter than those that pairs are compared by: a class has one in each of its buckets.
+FOLDED = 4
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -113,7 +115,13 @@ def _sets_of(words: int):
 
 
 def _signatures_of(words: int):
-    return lambda ids, texts: ((i, len(h), bitmap(h)) for i, h in ((i, shingles(t, words)) for i, t in zip(ids, texts)))
+    def rows(ids, texts):
+        for doc_id, text in zip(ids, texts):
+            h = shingles(text, words)
+            bits = bitmap(h)
+            yield doc_id, len(h), bits, folded(bits)
+
+    return rows
 
 
 def _likely(of_union: int):
@@ -136,6 +144,11 @@ def bitmap(h: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def folded(bits: bytes) -> bytes:
+    """A bitmap's parts on top of each other: bits that differ here differ in the whole."""
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, max(8, len(bits) // FOLDED)), axis=0).tobytes()
+
+
 def same_length(maps: list[bytes]) -> np.ndarray:
     """Bitmaps folded to the shortest length, as rows of 64-bit words."""
     least = min(map(len, maps))
@@ -210,7 +223,7 @@ def _tree_join(cell: dict[str, np.ndarray], of_union: int) -> tuple[np.ndarray,
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.lexsort((cell["rep"], cell["n"]))
     cell = {k: v[order] for k, v in cell.items()}
-    maps, sizes = same_length(cell["bits"].tolist()), cell["n"]
+    maps, sizes = same_length(cell["folded"].tolist()), cell["n"]
     comp, rep = cell["component"], cell["rep"]
     left, right = cell["left"][0], cell["right"][0]
     if left == right:
@@ -249,11 +262,24 @@ def _cell_by_cell(of_union: int):
     return run
 
 
+def in_shares(pairs: DataFrame, run: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """run() over stored pairs (a, b), a share of them at a time."""
+    share = F.pmod(F.xxhash64("a", "b"), F.lit(SHARES))
+    done = [staged(run(pairs.where(share == k)), name) for k in range(SHARES)]
+    whole = staged(reduce(DataFrame.union, done), name)
+    discard(*done)
+    return whole
+
+
 def likely(pairs: DataFrame, signatures: DataFrame, of_union: int) -> DataFrame:
-    """Those of the pairs (a, b) whose bitmaps and sizes allow the threshold: these are small beside the sets."""
+    """Those of the stored pairs (a, b) whose bitmaps and sizes allow the threshold: these are small beside the sets."""
     of = lambda c: signatures.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    return by_batch(both, _likely(of_union), "a bigint, b bigint")
+
+    def compared(share: DataFrame) -> DataFrame:
+        both = share.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+        return by_batch(both, _likely(of_union), "a bigint, b bigint")
+
+    return in_shares(pairs, compared, "shingle-likely")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, of_union: int = OF_UNION) -> DataFrame:
@@ -262,10 +288,9 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, of_union: int = OF_
     sets = by_batch(texts.join(asked, texts["doc_id"] == asked["rep"], "left_semi"), _sets_of(words), "rep bigint, hashes array<bigint>")
     sets = staged(sets, "shingle-hashes")
     of = lambda c: sets.select(F.col("rep").alias(c), F.col("hashes").alias(f"of_{c}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))
     reach = (100 + of_union) * common >= of_union * (F.size("of_a") + F.size("of_b"))
-    links = staged(both.where(reach).select("a", "b").distinct(), "shingle-links")
+    links = in_shares(pairs, lambda share: share.join(of("a"), "a").join(of("b"), "b").where(reach).select("a", "b").distinct(), "shingle-links")
     discard(sets)
     return links
 
@@ -287,23 +312,31 @@ def link(docs: DataFrame, words: int = WORDS, of_union: int = OF_UNION) -> DataF
     members = reduce(DataFrame.union, shares)
 
     involved = members.select("rep").distinct()
-    signatures = by_batch(texts.join(involved, texts["doc_id"] == involved["rep"], "left_semi"), _signatures_of(words), "rep bigint, n bigint, bits binary")
+    signatures = by_batch(texts.join(involved, texts["doc_id"] == involved["rep"], "left_semi"), _signatures_of(words), "rep bigint, n bigint, bits binary, folded binary")
     signatures = staged(signatures, "shingle-signatures")
 
     fits = 100 * F.least("n", "first.n") >= of_union * F.greatest("n", "first.n")
     stars = members.where((F.col("rep") != F.col("first.rep")) & fits).select(F.col("rep").alias("a"), F.col("first.rep").alias("b")).distinct()
-    stars = staged(likely(stars, signatures, of_union), "shingle-stars")
+    stars = staged(stars, "shingle-star-pairs")
+    close = likely(stars, signatures, of_union)
     # Rows of one id that have different sets are one document.
     known = described.where("doc_id is not null and set_key is not null")
     same = known.select("doc_id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").groupBy("doc_id").agg(
         F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.explode("reps").alias("a"), "b").where("a <> b")
-    connected = staged(components(verified(stars, texts, words, of_union).union(same)), "shingle-components")
-
-    more = staged(_tree_pairs(members, signatures, connected, of_union), "shingle-tree-pairs")
+    links = verified(close, texts, words, of_union)
+    connected = components(links.union(same))
+    discard(stars, close, links)
+
+    pairs = []
+    for share in shares:
+        pairs.append(staged(_tree_pairs(share, signatures, connected, of_union), "shingle-tree-pairs"))
+        discard(share)
+    different = staged(reduce(DataFrame.union, pairs).distinct(), "shingle-tree-pairs")
+    more = likely(different, signatures, of_union)
     rest = verified(more, texts, words, of_union)
-    discard(signatures, *shares)
+    discard(signatures, different, more, *pairs)
     if not rest.isEmpty():
-        connected = staged(components(connected.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest)), "shingle-components")
+        connected = components(connected.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
     placed = classes.select("set_key", "rep").join(connected.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = described.select("doc_id", "n_shingles", "set_key").join(placed, "set_key", "left")
@@ -332,12 +365,12 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, connected: DataFrame, of_un
     rows = members.join(connected.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_ = rows.join(split, "key")
-    full = open_.join(sets.select("rep", F.col("n"), "bits"), ["rep", "n"])
+    full = open_.join(sets.select("rep", "n", "folded"), ["rep", "n"])
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     dealt = full.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
     # A row of chunk c goes to the cells (i, c) with i <= c and (c, j) with j > c.
     cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda i: F.struct(F.least(i, F.col("chunk")).alias("left"), F.greatest(i, F.col("chunk")).alias("right")))
-    dealt = dealt.select("key", "rep", "component", "n", "bits", "chunk", F.inline(cells))
+    dealt = dealt.select("key", "rep", "component", "n", "folded", "chunk", F.inline(cells))
     cell = ["key", "left", "right"]
     laid = dealt.repartition(*cell).sortWithinPartitions(*cell)
     return laid.mapInPandas(_cell_by_cell(of_union), "a bigint, b bigint").distinct()
