@@ -157,15 +157,19 @@ def same_length(maps: list[bytes]) -> np.ndarray:
 
 
 class Tree:
-    """Levels of nodes over classes in the order of their sizes, leaves first: bitmaps by OR and AND, sizes from and to."""
+    """Levels of nodes over classes in their order, leaves first: bitmaps by OR and AND, sizes and components from and to."""
 
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray):
-        starts = np.arange(0, len(sizes), LEAF)
-        self.levels = [(np.bitwise_or.reduceat(maps, starts), np.bitwise_and.reduceat(maps, starts), np.minimum.reduceat(sizes, starts), np.maximum.reduceat(sizes, starts))]
+    def __init__(self, maps: np.ndarray, sizes: np.ndarray, component: np.ndarray):
+        self.rows = (maps, maps, sizes, sizes, component, component)
+        self.levels = [self._above(self.rows, LEAF)]
         while len(self.levels[-1][2]) > 1:
-            some, every, low, high = self.levels[-1]
-            s = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(some, s), np.bitwise_and.reduceat(every, s), np.minimum.reduceat(low, s), np.maximum.reduceat(high, s)))
+            self.levels.append(self._above(self.levels[-1], FANOUT))
+
+    @staticmethod
+    def _above(nodes: tuple[np.ndarray, ...], fanout: int) -> tuple[np.ndarray, ...]:
+        starts = np.arange(0, len(nodes[2]), fanout)
+        combine = (np.bitwise_or, np.bitwise_and, np.minimum, np.maximum, np.minimum, np.maximum)
+        return tuple(f.reduceat(x, starts) for f, x in zip(combine, nodes))
 
 
 def _missing(every: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -174,14 +178,18 @@ def _missing(every: np.ndarray, some: np.ndarray) -> np.ndarray:
 
 
 def _possible(x, i, y, j, of_union: int) -> np.ndarray:
-    """Whether pairs of nodes may hold a pair of sets that reaches the threshold."""
+    """Whether pairs of nodes may hold a pair of sets that reaches the threshold and is not connected; bitmaps are compared where sizes and components allow one."""
+    ok = (100 + of_union) * np.minimum(x[3][i], y[3][j]) >= of_union * (x[2][i] + y[2][j])
+    ok &= (x[4][i] != y[5][j]) | (x[5][i] != y[4][j])
+    open_ = np.flatnonzero(ok)
+    i, j = i[open_], j[open_]
     overlap = np.minimum(x[3][i] - _missing(x[1][i], y[0][j]), y[3][j] - _missing(y[1][j], x[0][i]))
-    return (100 + of_union) * overlap >= of_union * (x[2][i] + y[2][j])
+    ok[open_] = (100 + of_union) * overlap >= of_union * (x[2][i] + y[2][j])
+    return ok
 
 
-def joined(maps: np.ndarray, sizes: np.ndarray, other_maps: np.ndarray, other_sizes: np.ndarray, once: bool, of_union: int = OF_UNION) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose bitmaps and sizes allow the threshold, by the traversal of both trees. once: the two are the same rows, and each pair is given once."""
-    a, b = Tree(maps, sizes), Tree(other_maps, other_sizes)
+def joined(a: Tree, b: Tree, once: bool, of_union: int = OF_UNION) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two components whose bitmaps and sizes allow the threshold, by the traversal of both trees. once: the two are one, and each pair is given once."""
     p, q = len(a.levels) - 1, len(b.levels) - 1
     i, j = np.zeros(1, int), np.zeros(1, int)
 
@@ -204,13 +212,13 @@ def joined(maps: np.ndarray, sizes: np.ndarray, other_maps: np.ndarray, other_si
     ok = _possible(a.levels[0], i, b.levels[0], j, of_union)
     i, j = i[ok], j[ok]
     found = []
-    rows, others = (maps, maps, sizes, sizes), (other_maps, other_maps, other_sizes, other_sizes)
+    n, m = len(a.rows[2]), len(b.rows[2])
     for start in range(0, len(i), 256):
-        x, y = below(i[start : start + 256], j[start : start + 256], LEAF, len(sizes))
-        y, x = below(y, x, LEAF, len(other_sizes))
+        x, y = below(i[start : start + 256], j[start : start + 256], LEAF, n)
+        y, x = below(y, x, LEAF, m)
         if once:
             x, y = x[x < y], y[x < y]
-        ok = _possible(rows, x, others, y, of_union)
+        ok = _possible(a.rows, x, b.rows, y, of_union)
         found.append((x[ok], y[ok]))
     if not found:
         return np.zeros(0, int), np.zeros(0, int)
@@ -221,21 +229,22 @@ def _tree_join(cell: dict[str, np.ndarray], of_union: int) -> tuple[np.ndarray,
     """Candidate pairs of one bucket's pair of chunks that are not connected yet."""
     if (cell["component"] == cell["component"][0]).all():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.lexsort((cell["rep"], cell["n"]))
+    # Large components lie together, so that their nodes need no comparison among themselves.
+    _, own, counts = np.unique(cell["component"], return_inverse=True, return_counts=True)
+    order = np.lexsort((cell["rep"], cell["n"], np.where(counts[own] >= LEAF, own, -1)))
     cell = {k: v[order] for k, v in cell.items()}
-    maps, sizes = same_length(cell["folded"].tolist()), cell["n"]
-    comp, rep = cell["component"], cell["rep"]
+    maps, sizes, comp, rep = same_length(cell["folded"].tolist()), cell["n"], cell["component"], cell["rep"]
     left, right = cell["left"][0], cell["right"][0]
     if left == right:
-        i, j = joined(maps, sizes, maps, sizes, True, of_union)
+        tree = Tree(maps, sizes, comp)
+        i, j = joined(tree, tree, True, of_union)
     else:
         x, y = np.flatnonzero(cell["chunk"] == left), np.flatnonzero(cell["chunk"] == right)
         if not len(x) or not len(y):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        i, j = joined(maps[x], sizes[x], maps[y], sizes[y], False, of_union)
+        i, j = joined(Tree(maps[x], sizes[x], comp[x]), Tree(maps[y], sizes[y], comp[y]), False, of_union)
         i, j = x[i], y[j]
-    keep = comp[i] != comp[j]
-    a, b = rep[i[keep]], rep[j[keep]]
+    a, b = rep[i], rep[j]
     return np.maximum(a, b), np.minimum(a, b)
 
 

@@ -76,13 +76,28 @@ def test_trees_lose_no_pair():
     rows.sort(key=len)
     maps, sizes = shingle_join.same_length([shingle_join.bitmap(x) for x in rows]), np.array([len(x) for x in rows])
     want = {(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * len(np.intersect1d(rows[i], rows[j])) >= 90 * len(np.union1d(rows[i], rows[j]))}
-    i, j = shingle_join.joined(maps, sizes, maps, sizes, True)
+    own = np.arange(150)
+    tree = shingle_join.Tree(maps, sizes, own)
+    i, j = shingle_join.joined(tree, tree, True)
     got = set(zip(i.tolist(), j.tolist()))
     assert want and want <= got and all(a < b for a, b in got) and len(got) < 150 * 149 / 2
-    i, j = shingle_join.joined(maps[::2], sizes[::2], maps[1::2], sizes[1::2], False)
+    half = [shingle_join.Tree(maps[k::2], sizes[k::2], own[k::2]) for k in (0, 1)]
+    i, j = shingle_join.joined(*half, False)
     assert {(a, b) for a, b in want if a % 2 != b % 2} <= {tuple(sorted((2 * a, 2 * b + 1))) for a, b in zip(i.tolist(), j.tolist())}
 
 
+def test_trees_pass_over_what_is_connected():
+    r = np.random.default_rng(8)
+    base = r.integers(0, 1 << 62, 300, dtype=np.uint64)
+    rows = [np.unique(np.concatenate([base[: r.integers(270, 300)], r.integers(0, 1 << 62, 4, dtype=np.uint64)])) for _ in range(200)]
+    maps, sizes = shingle_join.same_length([shingle_join.folded(shingle_join.bitmap(x)) for x in rows]), np.array([len(x) for x in rows])
+    for component in (np.zeros(200, int), np.arange(200) // 70, r.integers(0, 9, 200)):
+        tree = shingle_join.Tree(maps, sizes, component)
+        got = set(zip(*(x.tolist() for x in shingle_join.joined(tree, tree, True))))
+        want = {(i, j) for i in range(200) for j in range(i + 1, 200) if component[i] != component[j] and 100 * len(np.intersect1d(rows[i], rows[j])) >= 90 * len(np.union1d(rows[i], rows[j]))}
+        assert want <= got and all(component[i] != component[j] for i, j in got) and bool(want) == bool(component.any())
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 60)]
