@@ -1,16 +1,19 @@
 """Removal of byte strings that repeat anywhere in the corpus, by suffix sorting.
 
-Sorting every byte's suffix takes rows many times the text. So texts are cut first where their content says so:
-each window of 200 bytes belongs to an anchor (see `anchors`), equal windows to equal anchors. Anchors whose k-gram is
-the only one of its kind end every repeat, and go. What remains are runs of anchors, each named by all bytes that its
-windows cover. Equal runs are one. The names of the different runs, with an end mark after each, are one text, which is
-sorted with a difference cover: triples of sampled positions, recursion on their names, merging of the rest. A
-name that starts two neighbours of the sorted suffixes, or stands in a run that occurs twice, repeats, and so do all
-bytes it covers.
-
-Where a repeat begins or ends, an anchor's windows repeat only in part, and its name is different in each text. There the
-windows themselves are compared, with those of the anchors that have the same k-gram: in place if they are few, else
-as rows of their own, so that no task holds an unbounded group.
+Sorting every byte's suffix takes rows many times the text. So texts are cut first where their content says so: each
+window of 200 bytes belongs to an anchor (see `anchors`), equal windows to equal anchors. The bytes from one anchor to the
+end of the next one's k-gram are a phrase. A phrase that occurs once ends every repeat; what remains are pieces, sequences of
+phrases that occur again. Equal pieces are one. The different pieces, with an end mark after each, are one text whose
+symbols are phrases. Its suffixes are sorted with a difference cover: triples of sampled positions, recursion on
+their names, merging of the rest. Then neighbours are compared by their prefixes, as many phrases as make 200 bytes:
+where they agree, those bytes repeat. A phrase is shorter than that, so that one occurs again settles nothing by itself.
+
+Where a repeat begins or ends between anchors, its outermost windows reach beyond its phrases. These are the windows of
+the anchors that the suffix order has not covered, and each is compared with those of equal k-gram. Thirteen windows that start
+one after the other are a node: the bytes that all of them hold, and up to twelve on either side. A node whose
+middle occurs once holds no repeat; one that occurs twice as a whole repeats in whole; the windows of the rest are rows
+that meet by the digest of the middle and the bytes on either side. All these are counts over keys, which are summed before
+they are shuffled, so no task holds a group.
 
 Cases. A null or empty text, and any of less than 200 bytes, is kept whole. Rows with the same id and text are two
 places of the same bytes. Strings are judged on the input. Columns other than `doc_id` and `text` are not read. Null ids
@@ -20,8 +23,6 @@ stay null. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,168 +30,195 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadgeo.llm.anchors import WINDOW, anchors
+from roadgeo.llm.anchors import GRAM, WINDOW, anchors
 from roadgeo.llm.common import by_batch, discard, staged
 from roadgeo.llm.suffix_array import BASE, counted, ranked, suffix_ranks
 
-#: Anchors of one k-gram whose windows are compared in place.
-FEW = 1000
+#: Windows of a node, which lie in its middle and up to SIDE bytes on either side of it.
+STEP = 13
+SIDE = STEP - 1
+MIDDLE = WINDOW - SIDE
 #: Suffixes in a group that compares neighbours.
 NEIGHBOURS = 1 << 16
 
-_ANCHORED = "doc bigint, row bigint, grams array<bigint>, names array<bigint>, firsts array<int>, counts array<smallint>, places array<smallint>"
-_MARK = "doc bigint, row bigint, start int, end int"
+_ANCHORED = "doc bigint, row bigint, grams array<bigint>, phrases array<bigint>, gaps array<smallint>, names array<bigint>, firsts array<int>, counts array<smallint>, places array<smallint>"
+_FIELDS = ["seq", "gram", "phrase", "gap", "name", "first", "count", "place", "again"]
+_PIECE = "piece binary, doc bigint, row bigint, start int, symbols array<struct<gram:bigint,phrase:bigint,gap:smallint>>"
+_ANCHOR = "gram bigint, name bigint, doc bigint, row bigint, first int, count smallint, place smallint, covered boolean"
+_NODE = "middle binary, before binary, after binary, doc bigint, row bigint, at int, own boolean"
 
 
 def _signed(h: np.ndarray) -> list[int]:
     return h.view(np.int64).tolist()
 
 
+def _hashes(view: memoryview, starts: np.ndarray, ends: np.ndarray) -> list[int]:
+    return _signed(np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64))
+
+
 def _anchored(ids, rows, texts):
+    """The anchors of each text: its k-gram, phrase, the phrase's step to the next anchor (0 for the last one), all that its windows cover."""
     for doc_id, row, text in zip(ids, rows, texts):
         raw = (text or "").encode("utf-8", "surrogatepass")
         at, grams, first, last = anchors(raw)
         if len(at):
-            view = memoryview(raw)
-            names = np.array([xxhash.xxh3_64_intdigest(view[a : b + WINDOW]) for a, b in zip(first.tolist(), last.tolist())], np.uint64)
-            yield doc_id, row, _signed(grams), _signed(names), first.tolist(), (last - first + 1).tolist(), (at - first).tolist()
+            view, gaps = memoryview(raw), np.append(np.diff(at), 0)
+            phrases, names = _hashes(view, at, at + gaps + GRAM), _hashes(view, first, last + WINDOW)
+            yield doc_id, row, _signed(grams), phrases, gaps.tolist(), names, first.tolist(), (last - first + 1).tolist(), (at - first).tolist()
+
+
+def _copies(seq: list[int]) -> int:
+    """How many equal rows' anchors a sorted list holds."""
+    return seq.count(seq[0])
 
 
-def _runs(ids, rows, anchors_):
-    """Maximal runs of neighbouring anchors."""
-    for doc_id, row, own in zip(ids, rows, anchors_):
+def _pieces(ids, rows, seqs, grams, phrases, gaps, firsts, places, again):
+    """Maximal sequences of phrases that all occur again and together reach a window's length."""
+    for doc_id, row, *own in zip(ids, rows, seqs, grams, phrases, gaps, firsts, places, again):
+        copies = _copies(own[0])
+        seq, gram, phrase, gap, first, place, goes_on = (x[::copies] for x in own)
         start = 0
-        for k in range(1, len(own) + 1):
-            if k == len(own) or own[k]["seq"] != own[k - 1]["seq"] + 1:
-                run = [(x["gram"], x["name"]) for x in own[start:k]]
-                key = hashlib.blake2b(np.array(run, np.int64).tobytes(), digest_size=16).digest()
-                yield key, [{"gram": g, "name": n} for g, n in run]
-                start = k
-
-
-def _repeated_neighbours(group: pd.DataFrame) -> pd.DataFrame:
-    """Symbols that start two neighbouring suffixes."""
-    c = group.sort_values("rank")["c"].to_numpy()
-    return pd.DataFrame({"c": np.unique(c[1:][c[1:] == c[:-1]])})
-
-
-def repeated_names(shared: DataFrame, base: int = BASE) -> DataFrame:
-    """gram and name of the anchors all of whose windows repeat, by sorting the suffixes of the different runs."""
-    whole = shared.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct("seq", "gram", "name"))).alias("anchors"))
-    runs = by_batch(whole, _runs, "run binary, names array<struct<gram:bigint,name:bigint>>")
-    different = staged(runs.groupBy("run").agg(F.count("*").alias("n"), F.first("names").alias("names")), "repeat-runs")
-    twice = different.where("n > 1").select(F.inline("names")).distinct()
-    # A run's place in the text: after the symbols and end marks of the runs before it.
-    placed = counted(different.select("run", "names", (F.size("names") + 1).alias("length")), ["run"], ["length"], "repeat-placed")
-    symbols = placed.select("before_length", F.posexplode("names")).select((F.col("before_length") + F.col("pos")).alias("i"), "col.gram", "col.name")
-    named = ranked(symbols, ["gram", "name"], "c", "repeat-names")
+        for k in range(len(seq) + 1):
+            inside = k < len(seq) and goes_on[k] and gap[k] > 0
+            if inside and k > start and seq[k] == seq[k - 1] + 1:
+                continue
+            if k > start and sum(gap[start:k]) + GRAM >= WINDOW:
+                key = hashlib.blake2b(np.array([gram[start:k], phrase[start:k]], np.int64).tobytes(), digest_size=16).digest()
+                symbols = [{"gram": g, "phrase": p, "gap": d} for g, p, d in zip(gram[start:k], phrase[start:k], gap[start:k])]
+                for _ in range(copies):
+                    yield key, doc_id, row, first[start] + place[start], symbols
+            start = k if inside else k + 1
+
+
+def _prefix_ends(gaps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For every suffix of a piece that reaches a window's length: the phrase after the first ones that do; and the phrases' places in bytes."""
+    places = np.append(0, np.cumsum(np.array(gaps, np.int64)))
+    ends = np.searchsorted(places, places[:-1] + WINDOW - GRAM)
+    return ends[ends < len(places)], places
+
+
+def _prefixes(pieces, befores, symbols_):
+    """Place in the text, piece, place in it and prefix of the suffixes that reach a window's length."""
+    for piece, before, symbols in zip(pieces, befores, symbols_):
+        ends, _ = _prefix_ends([x["gap"] for x in symbols])
+        text = np.array([(x["gram"], x["phrase"]) for x in symbols], np.int64)
+        for k, end in enumerate(ends.tolist()):
+            yield before + k, piece, k, xxhash.xxh3_128_digest(text[k:end].tobytes())
+
+
+def _equal_neighbours(group: pd.DataFrame) -> pd.DataFrame:
+    """The suffixes whose prefix is that of a neighbour."""
+    group = group.sort_values("rank")
+    prefix = group["prefix"].to_numpy()
+    same = prefix[1:] == prefix[:-1]
+    return group.loc[np.append(same, False) | np.append(False, same), ["piece", "k"]]
+
+
+def _spans(pieces, symbols_, whole, found):
+    """Bytes of a piece, from its start, that the prefixes found cover."""
+    for piece, symbols, all_, own in zip(pieces, symbols_, whole, found):
+        ends, places = _prefix_ends([x["gap"] for x in symbols])
+        spans = []
+        for k in range(len(ends)) if all_ else sorted(own):
+            start, end = int(places[k]), int(places[ends[k]]) + GRAM
+            if spans and start <= spans[-1]["end"]:
+                spans[-1]["end"] = end
+            else:
+                spans.append({"start": start, "end": end})
+        yield piece, spans
+
+
+def suffix_marks(kept: DataFrame, base: int = BASE) -> DataFrame:
+    """Marks (doc, row, start, end) of the phrases that repeat over 200 bytes and more, by the order of the suffixes of the different pieces."""
+    columns = [f"anchors.{c}" for c in ("seq", "gram", "phrase", "gap", "first", "place", "again")]
+    pieces = staged(by_batch(kept.select("doc", "row", *columns), _pieces, _PIECE), "repeat-pieces")
+    different = pieces.groupBy("piece").agg((F.count("*") > 1).alias("twice"), F.first("symbols").alias("symbols"))
+    # A piece's place in the text: after the symbols and end marks of the pieces before it.
+    placed = counted(different.withColumn("length", F.size("symbols") + 1), ["piece"], ["length"], "repeat-placed")
+    symbols = placed.select("before_length", F.posexplode("symbols")).select((F.col("before_length") + F.col("pos")).alias("i"), "col.gram", "col.phrase")
+    named = ranked(symbols, ["gram", "phrase"], "c", "repeat-phrases")
     ends = placed.select((F.col("before_length") + F.col("length") - 1).alias("i"), F.lit(1).cast("bigint").alias("c"))
     text = staged(named.select("i", (F.col("c") + 1).alias("c")).union(ends), "repeat-text")
     ranks = suffix_ranks(text, text.count(), base)
-    order = ranks.join(text, "i").where("c > 1").select("rank", "c")
+    prefixes = by_batch(placed.select("piece", "before_length", "symbols"), _prefixes, "i bigint, piece binary, k int, prefix binary")
+    order = ranks.join(prefixes, "i").select("rank", "piece", "k", "prefix")
     block, place = F.floor(F.col("rank") / NEIGHBOURS), F.col("rank") % NEIGHBOURS
-    both = order.select("rank", "c", F.explode(F.when(place == 0, F.array(block - 1, block)).otherwise(F.array(block))).alias("block"))
-    adjacent = both.groupBy("block").applyInPandas(_repeated_neighbours, "c bigint").distinct()
-    between = named.withColumn("c", F.col("c") + 1).join(adjacent, "c").select("gram", "name")
-    names = staged(twice.union(between).distinct(), "repeat-found")
-    discard(different, placed, named, text, ranks)
-    return names
-
-
-def window_hashes(raw: np.ndarray) -> np.ndarray:
-    """A hash of the 200 bytes at each position, from doubled hashes of 8, 64 and 128 bytes."""
-    h = (raw.astype(np.uint64) + np.uint64(0x51)) * np.uint64(0x9E3779B97F4A7C15)
-    factor, kept = np.uint64(0xD1342543DE82EF95), {}
-    with np.errstate(over="ignore"):
-        for step in (1, 2, 4, 8, 16, 32, 64):
-            if step in (8, 64):
-                kept[step] = h
-            h = h[:-step] * factor + h[step:]
-            h ^= h >> np.uint64(31)
-            factor = factor * factor | np.uint64(1)
-        n = len(raw) - WINDOW + 1
-        out = (h[:n] * factor + kept[64][128 : 128 + n]) * np.uint64(0xC2B2AE3D27D4EB4F)
-        out = (out ^ (out >> np.uint64(29))) * factor + kept[8][192 : 192 + n]
-        return out ^ (out >> np.uint64(32))
-
-
-def _window_keys(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all windows of the rows, one after the other: a key of k-gram, place to it and bytes; its row, and which of the row's it is."""
-    counts, lengths = group["count"].to_numpy().astype(np.int64), group["bytes"].map(len).to_numpy()
-    h = window_hashes(np.frombuffer(b"".join(group["bytes"]), np.uint8))
-    starts = np.cumsum(lengths) - lengths
-    row = np.repeat(np.arange(len(group)), counts)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    offset = group["place"].to_numpy().astype(np.int64)[row] - nth
-    with np.errstate(over="ignore"):
-        gram = group["gram"].to_numpy().astype(np.int64).view(np.uint64)[row]
-        key = (h[starts[row] + nth] ^ gram * np.uint64(0x9E3779B97F4A7C15)) + offset.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return key ^ (key >> np.uint64(32)), row, nth
-
-
-def _compare(group: pd.DataFrame) -> pd.DataFrame:
-    """Marks of the windows that occur twice among rows that hold whole k-gram groups."""
-    key, row, nth = _window_keys(group)
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    hit = (counts[inverse] > 1) & group["own"].to_numpy()[row]
-    goes_on = hit[1:] & hit[:-1] & (row[1:] == row[:-1])
-    starts, ends = np.flatnonzero(hit & ~np.append(False, goes_on)), np.flatnonzero(hit & ~np.append(goes_on, False))
-    own, first = row[starts], group["first"].to_numpy().astype(np.int64)
-    return pd.DataFrame({
-        "doc": group["doc"].to_numpy()[own], "row": group["row"].to_numpy()[own],
-        "start": (first[own] + nth[starts]).astype(np.int32), "end": (first[own] + nth[ends] + WINDOW).astype(np.int32)})
-
-
-def _gram_by_gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compares the k-grams of a partition, whose rows come k-gram by k-gram; the last one of a batch may go on in the next."""
-    rest = None
-    for batch in chain(batches, [None]):
-        rows = rest if batch is None else batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        if rows is None or not len(rows):
-            continue
-        whole = len(rows) if batch is None else int(np.searchsorted(rows["gram"].to_numpy(), rows["gram"].iloc[-1]))
-        if whole:
-            yield _compare(rows.iloc[:whole])
-        rest = rows.iloc[whole:]
-
-
-def _cut(ids, rows, texts, wanted):
-    """The bytes that the windows of the wanted anchors cover."""
+    both = order.select("*", F.explode(F.when(place == 0, F.array(block - 1, block)).otherwise(F.array(block))).alias("block"))
+    equal = both.groupBy("block").applyInPandas(_equal_neighbours, "piece binary, k int")
+    found = equal.groupBy("piece").agg(F.collect_set("k").alias("found"))
+    judged = placed.select("piece", "symbols", "twice").join(found, "piece", "left").where("twice or found is not null")
+    spans = by_batch(judged.select("piece", "symbols", "twice", "found"), _spans, "piece binary, spans array<struct<start:int,end:int>>")
+    marks = pieces.select("piece", "doc", "row", F.col("start").alias("at")).join(spans, "piece").select("doc", "row", "at", F.inline("spans"))
+    marks = staged(marks.select("doc", "row", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end")), "repeat-marks")
+    discard(pieces, placed, named, text, ranks)
+    return marks
+
+
+def _judged(ids, rows, seqs, grams, names, firsts, counts, places, marks):
+    """The anchors, and whether a mark covers all their windows."""
+    for doc_id, row, seq, *own, marked in zip(ids, rows, seqs, grams, names, firsts, counts, places, marks):
+        starts, ends = [], []
+        for x in marked or ():
+            if ends and x["start"] <= ends[-1]:
+                ends[-1] = max(ends[-1], x["end"])
+            else:
+                starts.append(x["start"])
+                ends.append(x["end"])
+        first, count = np.array(own[2], np.int64), np.array(own[3], np.int64)
+        by = np.searchsorted(np.array(starts, np.int64), first, "right") - 1
+        covered = (by >= 0) & (first + count - 1 + WINDOW <= np.append(np.array(ends, np.int64), 0)[by])
+        for gram, name, f, c, place, there in zip(*own, covered.tolist()):
+            yield gram, name, doc_id, row, f, c, place, there
+
+
+def _nodes(ids, rows, texts, wanted):
+    """The nodes of the wanted anchors."""
     for doc_id, row, text, own in zip(ids, rows, texts, wanted):
         raw = (text or "").encode("utf-8", "surrogatepass")
         for x in own:
-            yield x["gram"], doc_id, row, x["first"], x["count"], x["place"], x["own"], x["hot"], raw[x["first"] : x["first"] + x["count"] + WINDOW - 1]
-
-
-def _as_rows(grams, ids, rows, firsts, counts, places, owns, blobs):
-    """A row for each window: two hashes, which are the window's key, and its place."""
-    for gram, doc_id, row, first, count, place, own, blob in zip(grams, ids, rows, firsts, counts, places, owns, blobs):
-        for k in range(count):
-            key = xxhash.xxh3_128_digest(blob[k : k + WINDOW], seed=(place - k) % 4096)
-            yield gram, key, doc_id, row, first + k, own
-
-
-def edge_marks(docs: DataFrame, shared: DataFrame, names: DataFrame) -> DataFrame:
-    """Marks of the repeated windows of anchors that repeat in part only."""
-    full = names.withColumn("full", F.lit(True))
-    rows = shared.join(full, ["gram", "name"], "left")
-    partial = rows.where("full is null").select("gram", "doc", "row", "first", "count", "place", F.lit(True).alias("own"))
-    others = rows.where("full").join(partial.select("gram").distinct(), "gram", "left_semi").groupBy("gram", "name").agg(F.min(F.struct("doc", "row", "first", "count", "place")).alias("x"))
-    wanted = partial.union(others.select("gram", "x.*", F.lit(False)))
-    wanted = staged(wanted, "edge-wanted")
-    hot = wanted.groupBy("gram").agg((F.count("*") > FEW).alias("hot"), F.count("*").alias("n")).where("n > 1").select("gram", "hot")
-    by_doc = wanted.join(hot, "gram").groupBy("doc", "row").agg(F.collect_list(F.struct("gram", "first", "count", "place", "own", "hot")).alias("wanted"))
-    texts = docs.join(by_doc, ["doc", "row"]).dropDuplicates(["doc", "row"])
-    cut = by_batch(texts.select("doc", "row", "text", "wanted"), _cut, "gram bigint, doc bigint, row bigint, first int, count smallint, place smallint, own boolean, hot boolean, bytes binary")
-    cut = staged(cut, "edge-bytes")
-    columns = ["gram", "doc", "row", "first", "count", "place", "own", "bytes"]
-    few = cut.where("not hot").select(*columns).repartition("gram").sortWithinPartitions("gram").mapInPandas(_gram_by_gram, _MARK)
-    many = by_batch(cut.where("hot").select(*columns), _as_rows, "gram bigint, key binary, doc bigint, row bigint, start int, own boolean", 200)
-    twice = many.groupBy("gram", "key").agg(F.count("*").alias("n")).where("n > 1").select("gram", "key")
-    hot_marks = many.where("own").join(twice, ["gram", "key"]).select("doc", "row", "start", (F.col("start") + WINDOW).alias("end"))
-    marks = staged(few.union(hot_marks), "edge-marks")
-    discard(wanted, cut)
-    return marks
+            at, high = x["first"] + x["place"], x["place"]
+            low = high - x["count"] + 1
+            for g in range(low // STEP, high // STEP + 1):
+                start = at - g * STEP
+                before, after = raw[at - min(high, g * STEP + SIDE) : start], raw[start + MIDDLE : at + WINDOW - max(low, g * STEP)]
+                yield xxhash.xxh3_128_digest(raw[start : start + MIDDLE], seed=g), before, after, doc_id, row, start, x["own"]
+
+
+def edge_marks(docs: DataFrame, kept: DataFrame, marks: DataFrame) -> DataFrame:
+    """Marks of the repeated windows of anchors that the given marks do not cover."""
+    marked = marks.groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks"))
+    columns = [f"anchors.{c}" for c in ("seq", "gram", "name", "first", "count", "place")]
+    rows = staged(by_batch(kept.join(marked, ["doc", "row"], "left").select("doc", "row", *columns, "marks"), _judged, _ANCHOR), "edge-anchors")
+    place = F.struct("doc", "row", "first", "count", "place")
+    names = rows.groupBy("gram", "name").agg(F.count("*").alias("n"), F.min("covered").alias("covered"), F.min(place).alias("x"))
+    names = staged(names, "edge-names")
+    # All bytes of such an anchor's windows occur twice.
+    again = rows.where("not covered").join(names.where("n > 1 and not covered").select("gram", "name"), ["gram", "name"])
+    whole = again.select("doc", "row", F.col("first").alias("start"), (F.col("first") + F.col("count") + WINDOW - 1).cast("int").alias("end"))
+    open_ = (F.col("n") == 1) & ~F.col("covered")
+    grams = names.groupBy("gram").agg(F.max(open_).alias("open"), F.count("*").alias("names")).where("open and names > 1").select("gram")
+    wanted = names.join(grams, "gram").select("x.*", open_.alias("own"))
+    by_doc = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "count", "place", "own")).alias("wanted"))
+    texts = docs.select("doc", "row", "text").join(by_doc, ["doc", "row"])
+    texts = texts.groupBy("doc", "row").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+    nodes = staged(by_batch(texts, _nodes, _NODE), "edge-nodes")
+    key = ["middle", "before", "after"]
+    kinds = nodes.groupBy(*key).agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min(F.struct("doc", "row", "at")).alias("x"))
+    middles = kinds.groupBy("middle").agg(F.sum("n").alias("rows"), F.count("*").alias("kinds"), F.max((F.col("n") == 1) & F.col("own")).alias("open")).where("rows > 1")
+    kinds = staged(kinds.join(middles, "middle"), "edge-kinds")
+    full = nodes.where("own").join(kinds.where("n > 1 and own").select(*key), key)
+    full = full.select("doc", "row", (F.col("at") - F.length("before")).alias("start"), (F.col("at") + MIDDLE + F.length("after")).alias("end"))
+    step = F.explode(F.sequence(F.lit(SIDE) - F.length("after"), F.length("before")))
+    windows = kinds.where("kinds > 1 and open").select("middle", "before", "after", "x", ((F.col("n") == 1) & F.col("own")).alias("own"), step.alias("e"))
+    sides = F.concat(F.expr("substring(before, length(before) - e + 1, e)"), F.expr(f"substring(after, 1, {SIDE} - e)"))
+    windows = windows.select("middle", "e", sides.alias("sides"), "x", "own")
+    # Several windows of one key go into a few numbers: who they are matters only if they are marked.
+    twice = windows.groupBy("middle", "e", "sides").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 and own").select("middle", "e", "sides")
+    single = windows.where("own").join(twice, ["middle", "e", "sides"])
+    single = single.select("x.doc", "x.row", (F.col("x.at") - F.col("e")).alias("start"), (F.col("x.at") - F.col("e") + WINDOW).alias("end"))
+    out = staged(whole.union(full).union(single), "edge-marks")
+    discard(rows, names, nodes, kinds)
+    return out
 
 
 def _finish(ids, texts, marks):
@@ -216,14 +244,15 @@ def dedup(docs: DataFrame, base: int = BASE) -> DataFrame:
     doc = F.coalesce("doc_id", F.lit(0).cast("bigint"))
     texts = docs.select("doc_id", doc.alias("doc"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("row"), "text")
     anchored = staged(by_batch(texts.select("doc", "row", "text"), _anchored, _ANCHORED), "anchors")
-    rows = anchored.select("doc", "row", F.posexplode(F.arrays_zip("grams", "names", "firsts", "counts", "places")).alias("seq", "x")).select(
-        "doc", "row", "seq", F.col("x.grams").alias("gram"), F.col("x.names").alias("name"), F.col("x.firsts").alias("first"), F.col("x.counts").alias("count"), F.col("x.places").alias("place"))
-    repeated = anchored.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    shared = staged(rows.join(repeated, "gram"), "anchors-shared")
+    rows = anchored.select("doc", "row", F.posexplode(F.arrays_zip("grams", "phrases", "gaps", "names", "firsts", "counts", "places")).alias("seq", "x"))
+    rows = rows.select("doc", "row", "seq", *(F.col(f"x.{c}s").alias(c) for c in _FIELDS[1:-1]))
+    phrases = rows.groupBy("gram", "phrase").agg(F.count("*").alias("n"))
+    repeated = phrases.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram")
+    shared = rows.join(phrases.join(repeated, "gram").select("gram", "phrase", (F.col("n") > 1).alias("again")), ["gram", "phrase"])
+    kept = staged(shared.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct(*_FIELDS))).alias("anchors")), "anchors-shared")
     discard(anchored)
-    names = repeated_names(shared, base)
-    whole = shared.join(names, ["gram", "name"]).select("doc", "row", F.col("first").alias("start"), (F.col("first") + F.col("count") + WINDOW - 1).cast("int").alias("end"))
-    edges = edge_marks(texts, shared, names)
-    marks = whole.union(edges).groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks"))
+    found = suffix_marks(kept, base)
+    edges = edge_marks(texts, kept, found)
+    marks = found.union(edges).groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks"))
     ready = texts.join(marks, ["doc", "row"], "left")
     return by_batch(ready.select("doc_id", "text", "marks"), _finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, marks array<array<int>>")

@@ -146,9 +146,8 @@ def brute_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("few,base,neighbours", [(1000, 1 << 18, 1 << 16), (2, 64, 8)])
-def test_substring_dedup(spark, awkward, monkeypatch, few, base, neighbours):
-    monkeypatch.setattr(substring_dedup, "FEW", few)
+@pytest.mark.parametrize("base,neighbours", [(1 << 18, 1 << 16), (64, 8)])
+def test_substring_dedup(spark, awkward, monkeypatch, base, neighbours):
     monkeypatch.setattr(substring_dedup, "NEIGHBOURS", neighbours)
     r = random.Random(6)
     noise = lambda n: "".join(r.choice("abcdefghij é") for _ in range(n))
@@ -165,3 +164,26 @@ def test_substring_dedup(spark, awkward, monkeypatch, few, base, neighbours):
 
 def test_substring_dedup_of_nothing(spark, awkward):
     assert substring_dedup.dedup(awkward.limit(0)).collect() == []
+
+
+def test_neighbouring_suffixes_decide(spark):
+    """Phrases that occur again, but never over 200 bytes, are not marked; a longer run of them is, whatever stands before and after it."""
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    short, long = [noise(190) for _ in range(40)], noise(2000)
+    made = [noise(300) + x + noise(300) for x in short * 2] + [noise(100) + long + noise(400), noise(350) + long + noise(90)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc bigint, text string").selectExpr("doc", "doc as row", "text")
+    found = []
+    marks = substring_dedup.suffix_marks
+    try:
+        substring_dedup.suffix_marks = lambda kept, base: found.append((kept, marks(kept, base))) or found[0][1]
+        got = {g.doc_id: g for g in substring_dedup.dedup(docs.select(docs["doc"].alias("doc_id"), "text")).collect()}
+    finally:
+        substring_dedup.suffix_marks = marks
+    again = found[0][0].selectExpr("doc", "inline(anchors)").where("again and gap > 0 and doc < 80").count()
+    by_order = found[0][1].collect()
+    assert again > 0 and {m.doc for m in by_order} == {80, 81}
+    for m in by_order:
+        at = made[m.doc].index(long)
+        assert at <= m.start and m.end <= at + 2000 and m.end - m.start > 1500
+    assert all(got[d].n_removed == (0 if d < 80 else 2000) for d in got)
