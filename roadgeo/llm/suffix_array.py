@@ -16,13 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadgeo.llm.common import discard, shuffle_partitions, staged
 
 #: Symbols that one task sorts at the end of the recursion: a few MB.
 BASE = 1 << 18
+#: Positions that lie together when symbols are given those after them.
+BLOCK = 1 << 12
 
 
 def counted(df: DataFrame, keys: list[str], flags: list[str], name: str) -> DataFrame:
@@ -79,17 +81,24 @@ def _doubled(text: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"i": text["i"].to_numpy(), "rank": rank})
 
 
+def with_following(df: DataFrame, value: str, one: str, two: str) -> DataFrame:
+    """The rows, whose i leave no number out, with the values of the next position and of the one after it: 0 beyond the end.
+
+    Blocks of positions come together once; the first two of each go to the block before it too."""
+    block, place = F.expr(f"i div {BLOCK}"), F.col("i") % BLOCK
+    dealt = df.withColumn("block", F.explode(F.when((place < 2) & (block > 0), F.array(block - 1, block)).otherwise(F.array(block))))
+    along = Window.partitionBy("block").orderBy("i")
+    after = lambda by, alias: F.coalesce(F.lead(value, by).over(along), F.lit(0)).alias(alias)
+    return dealt.select("*", after(1, one), after(2, two)).where(F.col("block") == block).drop("block")
+
+
 def suffix_ranks(text: DataFrame, n: int, base: int = BASE) -> DataFrame:
     """i and rank, from 1, of every suffix of a text (i from 0, symbol c from 1) of n symbols. Shorter suffixes come before their continuations."""
     if n <= base:
         return staged(text.select("i", "c", F.lit(0).alias("all")).groupBy("all").applyInPandas(_doubled, "i bigint, rank bigint"), "suffix-order")
     text = staged(text.select("i", "c"), "suffix-text")
 
-    def ahead(df: DataFrame, value: str, by: int, alias: str) -> DataFrame:
-        return df.select((F.col("i") - by).alias("i"), F.col(value).alias(alias))
-
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    with_next = text.join(ahead(text, "c", 1, "c1"), "i", "left").join(ahead(text, "c", 2, "c2"), "i", "left").select("i", "c", zero("c1"), zero("c2"))
+    with_next = with_following(text, "c", "c1", "c2")
     with_next = staged(with_next, "suffix-triples")
     named = ranked(with_next.where("i % 3 <> 0"), ["c", "c1", "c2"], "name", "suffix-names")
     size, names = named.agg(F.count("*"), F.coalesce(F.max("name"), F.lit(0))).first()
@@ -108,8 +117,9 @@ def suffix_ranks(text: DataFrame, n: int, base: int = BASE) -> DataFrame:
         dense = counted(joined.select("i", "rank", F.lit(True).alias("one")), ["rank"], ["one"], "suffix-sample")
         sample = staged(dense.select("i", (F.col("before_one") + 1).alias("rank")), "suffix-ranks")
         discard(below, dense)
-    full = with_next.join(sample, "i", "left").join(ahead(sample, "rank", 1, "r1"), "i", "left").join(ahead(sample, "rank", 2, "r2"), "i", "left")
-    full = staged(full.select("i", "c", "c1", "rank", zero("r1"), zero("r2"), *((F.col("i") % 3 == r).alias(f"is{r}") for r in range(3))), "suffix-full")
+    placed = with_next.select("i", "c", "c1").join(sample, "i", "left")
+    full = with_following(placed, "rank", "r1", "r2").select("i", "c", "c1", "rank", "r1", "r2", *((F.col("i") % 3 == r).alias(f"is{r}") for r in range(3)))
+    full = staged(full, "suffix-full")
     with_ones = counted(full.where("not is2"), ["c", "r1", "i"], ["is0", "is1"], "suffix-merge-1")
     with_twos = counted(full.where("not is1"), ["c", "c1", "r2", "i"], ["is0", "is2"], "suffix-merge-2")
     rest = with_ones.where("is0").select("i", (F.col("before_is0") + F.col("before_is1")).alias("one")).join(

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from roadgeo.llm import anchors, shingle_join, substring_dedup
+from roadgeo.llm import anchors, shingle_join, substring_dedup, suffix_array
 from roadgeo.llm.components import components
 from roadgeo.llm.suffix_array import suffix_ranks
 
@@ -106,7 +106,8 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize("n,letters", [(40, 2), (61, 3), (90, 1), (3, 2)])
-def test_suffix_ranks(spark, n, letters):
+def test_suffix_ranks(spark, n, letters, monkeypatch):
+    monkeypatch.setattr(suffix_array, "BLOCK", 16)
     c = np.random.default_rng(n).integers(1, letters + 1, n).tolist()
     for base in (4, 1000):
         got = suffix_ranks(spark.createDataFrame(list(enumerate(c)), "i bigint, c bigint"), n, base).collect()
