@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter
 
@@ -130,6 +130,14 @@ class OsmPbfSink(DataSource):
         return OsmPbfWriter(self.options["path"], overwrite)
 
 
+def _present(field) -> Column:
+    """A column of the elements. The format knows no null lists, so they go as empty ones: after each row that Spark hands to
+    Python it walks over all the null lists that its Arrow batch ends with, which takes the square of a batch's rows."""
+    empty = {"array": F.array, "map": F.create_map}.get(field.dataType.typeName())
+    column = F.col(field.name).cast(field.dataType)
+    return F.coalesce(column, empty().cast(field.dataType)) if empty else column
+
+
 def write_osm_pbf(elements: DataFrame, path: str, overwrite: bool = False) -> None:
     """Write elements as PBF files in a directory; an existing target is an error unless ``overwrite``.
 
@@ -139,5 +147,5 @@ def write_osm_pbf(elements: DataFrame, path: str, overwrite: bool = False) -> No
         refuse_existing(path)
     elements.sparkSession.dataSource.register(OsmPbfSink)
     known = elements.filter((F.col("kind") != "node") | F.col("location").isNotNull())
-    columns = known.select(*(F.col(f.name).cast(f.dataType) for f in ELEMENTS.fields))
+    columns = known.select(*(_present(f).alias(f.name) for f in ELEMENTS.fields))
     columns.write.format(OsmPbfSink.name()).mode("overwrite" if overwrite else "append").save(path)

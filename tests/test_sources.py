@@ -247,6 +247,17 @@ def test_pbf_directories_and_roundtrip(spark, tmp_path):
     assert read_osm(spark, str(tmp_path / "deep.pbf")).count() == 16
 
 
+def test_pbf_sink_is_given_no_null_lists(spark, tmp_path, monkeypatch):
+    """Each null list that an Arrow batch ends with is walked over again at every row after it."""
+    from pyspark.sql import DataFrameWriter
+
+    elements = spark.createDataFrame([(1, "node", None, (1.0, 2.0), None, None), (2, "way", None, None, None, None)], ELEMENTS)
+    given = []
+    monkeypatch.setattr(DataFrameWriter, "save", lambda self, path: given.append(self._df))
+    write_osm_pbf(elements, str(tmp_path / "out.pbf"))
+    assert [(r["tags"], r["refs"], r["ref_types"]) for r in given[0].collect()] == [({}, [], [])] * 2
+
+
 def test_failed_write_leaves_nothing(spark, tmp_path):
     out = str(tmp_path / "out.pbf")
     bad = read_osm(spark, write_pbf(tmp_path / "a.osm.pbf")).withColumn("id", F.expr("if(kind = 'relation', raise_error('stop'), id)"))
