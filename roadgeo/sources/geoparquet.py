@@ -23,6 +23,7 @@ VERSION = "1.1.0"
 TYPE_NAMES = {1: "Point", 2: "LineString", 3: "Polygon", 4: "MultiPoint", 5: "MultiLineString", 6: "MultiPolygon"}
 
 ROW_GROUP_BYTES = 64 << 20  # in memory, before encoding
+IS_NULL = "_is_null_"  # before the name of a list or map column: whether it is null
 
 
 def type_codes(wkb: pa.Array) -> set[int]:
@@ -42,7 +43,17 @@ class GeoParquetWriter(PartFiles):
 
     def __init__(self, path: str, overwrite: bool, schema: pa.Schema):
         super().__init__(path, overwrite)
-        self.schema = schema
+        self.schema = pa.schema([f.with_nullable(True) for f in schema if not f.name.startswith(IS_NULL)])
+
+    def _as_given(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The columns of the table, with the nulls that ``_without_null_lists`` took out."""
+        columns = []
+        for f in self.schema:
+            column = batch[f.name].cast(f.type)
+            if IS_NULL + f.name in batch.schema.names:
+                column = pc.if_else(batch[IS_NULL + f.name], pa.nulls(len(column), f.type), column)
+            columns.append(column)
+        return pa.RecordBatch.from_arrays(columns, schema=self.schema)
 
     def fill(self, file, batches: Iterator[pa.RecordBatch]) -> None:
         codes: set[int] = set()
@@ -52,7 +63,7 @@ class GeoParquetWriter(PartFiles):
             for batch in batches:
                 codes |= type_codes(batch["geometry"])
                 box = _wider(box, batch)
-                held.append(batch.cast(self.schema))
+                held.append(self._as_given(batch))
                 size += batch.nbytes
                 if size >= ROW_GROUP_BYTES:
                     writer.write_table(pa.Table.from_batches(held))
@@ -77,6 +88,16 @@ def _described(codes: set[int], box: list) -> dict:
     return {"version": VERSION, "primary_column": "geometry", "columns": {"geometry": column}}
 
 
+def _without_null_lists(df: DataFrame) -> DataFrame:
+    """Null lists and maps as empty ones, beside a column that tells them: after each row that Spark hands to Python it walks
+    over all the null lists that its Arrow batch ends with, which takes the square of a batch's rows."""
+    empty = {"array": F.array, "map": F.create_map}
+    lists = {f.name: f.dataType for f in df.schema.fields if f.dataType.typeName() in empty}
+    flags = [F.col(f"`{c}`").isNull().alias(IS_NULL + c) for c in lists]
+    filled = {c: F.coalesce(F.col(f"`{c}`"), empty[t.typeName()]().cast(t)) for c, t in lists.items()}
+    return df.select(*[filled.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns], *flags)
+
+
 class GeoParquetSink(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -96,7 +117,7 @@ def write_geoparquet(df: DataFrame, path: str, overwrite: bool = False) -> None:
     if not overwrite:
         refuse_existing(path)
     df.sparkSession.dataSource.register(GeoParquetSink)
-    df.write.format(GeoParquetSink.name()).mode("overwrite" if overwrite else "append").save(path)
+    _without_null_lists(df).write.format(GeoParquetSink.name()).mode("overwrite" if overwrite else "append").save(path)
 
 
 # ---------------------------------------------------------------- reading

@@ -384,6 +384,22 @@ def test_geoparquet_footers(spark, tmp_path):
     assert geo_footers(spark, path).count() == len(files)
 
 
+def test_geoparquet_sink_is_given_no_null_lists(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    places = shapes(spark).select("id", "geometry", F.expr("if(id < 3, null, if(id < 4, map(), tags)) AS tags"), F.expr("if(id = 1, null, array(id)) AS ids"))
+    tables.write_geometry_parquet(places, str(tmp_path / "shapes"), encoding="wkb")
+    back = tables.read_geometry_parquet(spark, str(tmp_path / "shapes"))
+    assert set(back.columns) == {*places.columns, *BBOX_COLUMNS, "n_points"}
+    found = {r["id"]: (r["tags"], r["ids"]) for r in back.collect()}
+    assert found == {0: (None, [0]), 1: (None, None), 2: (None, [2]), 3: ({}, [3]), 4: ({"a": "b"}, [4])}
+
+    given = []
+    monkeypatch.setattr(DataFrameWriter, "save", lambda self, path: given.append(self._df))
+    tables.write_geometry_parquet(places, str(tmp_path / "more"), encoding="wkb")
+    assert all(r["tags"] is not None and r["ids"] is not None for r in given[0].collect())
+
+
 def test_geoparquet_without_rows(spark, tmp_path):
     path = str(tmp_path / "none")
     tables.write_geometry_parquet(shapes(spark).limit(0), path, encoding="wkb")
