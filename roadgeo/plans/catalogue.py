@@ -82,8 +82,16 @@ def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.ways(_elements(spark, sf_dir))
 
 
-def _road_query(fn, shape=lambda df: df):
-    return lambda spark, sf_dir: _rounded(shape(fn(_ways(spark, sf_dir))))
+def _stored_ways(spark: SparkSession, sf_dir: str, *keep_tags: str) -> DataFrame:
+    """The ways assembled once and stored with their boxes, for the joins, which read each side twice: once to count crowded
+    cells, from the boxes alone."""
+    path = scratch_path(spark, "ways")
+    tables.write_geometry_parquet(_ways(spark, sf_dir), path, keep_tags=keep_tags)
+    return tables.read_geometry_parquet(spark, path)
+
+
+def _road_query(fn, shape=lambda df: df, ways=_ways):
+    return lambda spark, sf_dir: _rounded(shape(fn(ways(spark, sf_dir))))
 
 
 def _road_text(name, shape=lambda df: df):
@@ -91,6 +99,10 @@ def _road_text(name, shape=lambda df: df):
     return lambda spark, sf_dir: _rounded(shape(run_text(spark, _ways(spark, sf_dir), name[:3])))
 
 
+def _stored_names(spark, sf_dir):
+    return _stored_ways(spark, sf_dir, "name")
+
+
 # ---------------------------------------------------------------- assembly
 
 
@@ -307,14 +319,14 @@ def intersects_window_pairs(spark, sf_dir):
 
 
 def distance_join_all(spark, sf_dir):
-    return _rounded(roads.nearby_roads(_ways(spark, sf_dir)))
+    return _rounded(roads.nearby_roads(_stored_names(spark, sf_dir)))
 
 
 def distance_join_close(spark, sf_dir):
     """Pairs of lit and unlit roads, two different sides."""
-    lines = _ways(spark, sf_dir)
-    lit = lines.filter(F.col("tags")["lit"] == "yes").select("id", "geometry")
-    dark = lines.filter(F.col("tags")["lit"] == "no").select("id", "geometry")
+    lines = _stored_ways(spark, sf_dir, "lit")
+    lit = lines.filter(F.col("tag_lit") == "yes").select("id", "geometry", *BBOX_COLUMNS)
+    dark = lines.filter(F.col("tag_lit") == "no").select("id", "geometry", *BBOX_COLUMNS)
     return _rounded(distance_join(lit, dark, 0.002))
 
 
@@ -604,12 +616,12 @@ ROADS = {
         lambda df: _xy(_xy(df, "start_point", "sx", "sy"), "end_point", "ex", "ey"),
     ),
     "q14_road_complexity": (roads.road_complexity, lambda df: _long(df, "num_points")),
-    "q15_self_join_nearby": (roads.self_join_nearby,),
+    "q15_self_join_nearby": (roads.self_join_nearby, lambda df: df, _stored_names),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _road_query(*how) for name, how in ROADS.items()},
-    **{f"sql_{name}": _road_text(name, *how[1:]) for name, how in ROADS.items()},
+    **{f"sql_{name}": _road_text(name, *how[1:2]) for name, how in ROADS.items()},
     "osm_points": osm_points,
     "osm_points_strict": osm_points_strict,
     "osm_points_dropped": osm_points_dropped,

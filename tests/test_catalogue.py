@@ -22,6 +22,13 @@ def test_query(spark, duck, sf_dir, name):
     assert problem is None
 
 
+@pytest.mark.parametrize("name", ["distance_join_all", "distance_join_close", "q15_self_join_nearby"])
+def test_joins_read_stored_ways(spark, sf_dir, name):
+    """Each side is read more than once: the assembly is not part of the join's plan."""
+    text = QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "l_orderkey" not in text and "xmin" in text
+
+
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns[0] == "highway_type" and df.count() == 4
