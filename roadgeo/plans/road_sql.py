@@ -21,31 +21,43 @@ from roadgeo.plans.road_queries import (
 
 VIEW = "osm_data"
 
-_CELL = "STRUCT<cx: BIGINT, cy: BIGINT, x0: BIGINT, y0: BIGINT>"
+_BOX = ("xmin", "ymin", "xmax", "ymax")
+_CELL = "STRUCT<cx: BIGINT, cy: BIGINT, x0: BIGINT, y0: BIGINT, xmin: DOUBLE, ymin: DOUBLE, xmax: DOUBLE, ymax: DOUBLE>"
 
 
 def _cells() -> str:
-    """The cells that a box meets, each with the lowest ones of its row and column."""
-    edges = {"x0": ("x", "min", "-"), "y0": ("y", "min", "-"), "x1": ("x", "max", "+"), "y1": ("y", "max", "+")}
-    ends = ", ".join(
-        f"'{name}', cast(floor((array_{m}(transform(flatten(g.parts), v -> v.{c})) {sign} margin) / cell) AS BIGINT)"
-        for name, (c, m, sign) in edges.items()
-    )
-    across = """transform(sequence(b.x0, b.x1), cx ->
-      transform(sequence(b.y0, b.y1), cy -> named_struct('cx', cx, 'cy', cy, 'x0', b.x0, 'y0', b.y0)))"""
-    return f"get(transform(filter(array(named_struct({ends})), b -> b.x0 IS NOT NULL), b -> flatten({across})), 0)"
+    """The cells that a box meets, each with the lowest ones of its row and column and with the box."""
+    box = ", ".join(f"'{side}', array_{side[1:]}(transform(flatten(g.parts), v -> v.{side[0]}))" for side in _BOX)
+    sides = ", ".join(f"'{side}', b.{side}" for side in _BOX)
+    first = {"x0": "b.xmin - margin", "y0": "b.ymin - margin", "x1": "b.xmax + margin", "y1": "b.ymax + margin"}
+    ends = ", ".join(f"'{name}', cast(floor(({edge}) / cell) AS BIGINT)" for name, edge in first.items())
+    across = f"""transform(sequence(b.x0, b.x1), cx ->
+      transform(sequence(b.y0, b.y1), cy -> named_struct('cx', cx, 'cy', cy, 'x0', b.x0, 'y0', b.y0, {sides})))"""
+    boxes = f"filter(array(named_struct({box})), b -> b.xmin IS NOT NULL)"
+    placed = f"transform({boxes}, b -> named_struct({ends}, {sides}))"
+    return f"get(transform({placed}, b -> flatten({across})), 0)"
+
+
+def _near(low: str, high: str) -> str:
+    """Whether a low side of a box lies no farther than d above a high side of another. Rounding is allowed for."""
+    return f"{low} - {high} <= d * (1 + 1e-9D) + 1e-14D * (abs({low}) + abs({high}))"
 
 
 def _pairs() -> str:
-    """Rows of the view meet in the cells of a grid, one side widened; a pair counts in the first cell that both meet."""
+    """Rows of the view meet in the cells of a grid, one side widened; a pair counts in the first cell that both meet.
+
+    Cells are wider than the distance, so most of what meets in one is too far apart: boxes decide that before the distance."""
     side = lambda margin: f"SELECT *, explode(cells) AS c FROM (SELECT *, st_cells(geometry, {margin}, 2 * d) AS cells FROM {VIEW})"
+    near = " AND ".join(_near(f"{p}.c.{axis}min", f"{q}.c.{axis}max") for p, q in ("ab", "ba") for axis in "xy")
+    # the distance comes out of an array: as a column that is filtered on, the optimizer would compute it twice
     return f"""
-    SELECT * FROM (
-      SELECT a.id AS id, a.tags AS tags, b.id AS other_id, b.tags AS other_tags, st_distance(a.geometry, b.geometry) AS distance
+    SELECT id, tags, other_id, other_tags, distance FROM (
+      SELECT a.id AS id, a.tags AS tags, a.geometry AS geometry, b.id AS other_id, b.tags AS other_tags, b.geometry AS other_geometry
       FROM ({side("d * (1 + 1e-9D)")}) a JOIN ({side("0D")}) b
         ON a.c.cx = b.c.cx AND a.c.cy = b.c.cy AND a.id < b.id
         AND a.c.cx = greatest(a.c.x0, b.c.x0) AND a.c.cy = greatest(a.c.y0, b.c.y0)
-    ) WHERE distance < d"""
+        AND {near}
+    ) LATERAL VIEW explode(filter(array(st_distance(geometry, other_geometry)), v -> v < d)) found AS distance"""
 
 
 def register_roads(spark: SparkSession, ways: DataFrame) -> None:

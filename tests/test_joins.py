@@ -1,6 +1,7 @@
 """The distance join and the window filter against brute force."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from roadgeo.functions import line_from_vertices
 from roadgeo.operators.distance_join import _crowded, _split_table, distance_join, first_pairs
 from roadgeo.operators.range_filter import range_filter
 from roadgeo.plans import road_queries as Q
+from roadgeo.plans.road_sql import register_roads
 from roadgeo.sources import tables
 
 
@@ -159,3 +161,15 @@ def test_first_pairs_are_those_of_the_join(spark, n):
     whole = sorted((r["a_id"], r["b_id"], r["distance"]) for r in distance_join(df, df, 0.01, once=True).collect())
     found = [(r["a_id"], r["b_id"], r["distance"]) for r in first_pairs(df, df, 0.01, n, once=True).collect()]
     assert len(whole) > 50 and found == whole[:n]
+
+
+@pytest.mark.parametrize("d", [0.02, 0.3])
+def test_pairs_of_sql_text(spark, d):
+    """All pairs, and one distance computed for those whose boxes are near alone."""
+    a = shapes(spark, 120, seed=6, crowd=0.2).withColumn("tags", F.create_map(F.lit("name"), F.lit("x")))
+    register_roads(spark, a)
+    got = spark.sql(f"SELECT id AS a_id, other_id AS b_id, distance FROM near_pairs({d}D)")
+    assert as_set(got) == as_set(brute(a.select("id", "geometry"), a.select("id", "geometry"), d, once=True))
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1
+    assert len(re.findall(r"c#\d+\.(?:xmax|ymax)\) <=", text)) == 4
