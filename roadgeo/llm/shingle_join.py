@@ -9,8 +9,10 @@ being a key by itself.
 
 In a bucket, first every class is compared with the smallest one: that is linear, and joins most copies. What is left
 are buckets whose classes are not all connected. There, signature trees are joined: leaves hold the classes' token
-bitmaps and sizes, inner nodes the bitmaps (folded) combined by OR (and by AND) and the range of sizes. A pair of nodes is
-entered only if the largest overlap that bitmaps and sizes allow reaches the threshold. Buckets of more than CHUNK
+bitmaps and sizes, inner nodes the bitmaps (folded) combined by OR (and by AND) and the range of sizes. A bit tells whether
+an odd number of elements fall on it, so what two sets share leaves no trace in the bits in which they differ, and these are
+never more than the elements in which they differ. A pair of nodes is
+entered only if the least difference that bitmaps and sizes allow is within the threshold. Buckets of more than CHUNK
 classes are cut into chunks, and each pair of chunks is a task's work. A pair that is connected already is not given. Of buckets of one table that hold the same classes, one stands for all.
 Every candidate is then decided on its whole shingle sets.
 
@@ -42,7 +44,7 @@ WORDS, OF_UNION = 3, 90
 CHUNK, LEAF, FANOUT = 2048, 16, 8
 #: Shares of buckets and of pairs that are handled one after the other: the shuffle of one is gone before the next.
 SHARES = 4
-#: The trees' bitmaps are so many times shorter than those that pairs are compared by: a class has one in each of its buckets.
+#: Bitmaps are kept so many times shorter, at a bit or more per element: a class has one in each of its buckets.
 FOLDED = 4
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -97,7 +99,7 @@ def tables_of(n: int, of_union: int = OF_UNION) -> list[int]:
     return [t for t in (own, own + 1) if differences(t, of_union) and (t == own or 100 * n >= of_union * (1 << t))]
 
 
-_SETS = "doc_id bigint, n_shingles bigint, set_key binary, tables array<struct<size:int,parts:array<int>>>"
+_SETS = "doc_id bigint, n_shingles bigint, set_key binary, bits binary, tables array<struct<size:int,parts:array<int>>>"
 
 
 def _described(words: int, of_union: int):
@@ -105,7 +107,8 @@ def _described(words: int, of_union: int):
         for doc_id, text in zip(ids, texts):
             h = shingles(text, words)
             key = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
-            yield doc_id, len(h), key, [{"size": t, "parts": fingerprints(h, t, of_union).tolist()} for t in tables_of(len(h), of_union)] if len(h) else []
+            tables = [{"size": t, "parts": fingerprints(h, t, of_union).tolist()} for t in tables_of(len(h), of_union)] if len(h) else []
+            yield doc_id, len(h), key, folded(bitmap(h)) if tables else None, tables
 
     return rows
 
@@ -114,45 +117,34 @@ def _sets_of(words: int):
     return lambda ids, texts: ((i, shingles(t, words).view(np.int64).tolist()) for i, t in zip(ids, texts))
 
 
-def _signatures_of(words: int):
-    def rows(ids, texts):
-        for doc_id, text in zip(ids, texts):
-            h = shingles(text, words)
-            bits = bitmap(h)
-            yield doc_id, len(h), bits, folded(bits)
-
-    return rows
-
-
 def _likely(of_union: int):
     def rows(a, b, n_a, n_b, bits_a, bits_b):
         """Pairs whose bitmaps allow the threshold."""
         for x, y, n, m, u, v in zip(a, b, n_a, n_b, bits_a, bits_b):
             maps = same_length([u, v])
-            lacks, more = _missing(maps[0], maps[1]), _missing(maps[1], maps[0])
-            if (100 + of_union) * min(n - lacks, m - more) >= of_union * (n + m):
+            apart = max(int(np.bitwise_count(maps[0] ^ maps[1]).sum(dtype=np.int64)), abs(n - m))
+            if (100 + of_union) * apart <= (100 - of_union) * (n + m):
                 yield x, y
 
     return rows
 
 
 def bitmap(h: np.ndarray) -> bytes:
-    """A bit per element, in four bits for each of twice the elements at most."""
-    size = 1 << max(6, int(2 * len(h)).bit_length() + 1)
-    bits = np.zeros(min(size, 1 << 15), bool)
-    bits[(h >> np.uint64(17)) & np.uint64(len(bits) - 1)] = True
-    return np.packbits(bits).tobytes()
+    """Whether an odd number of elements fall on each of four to ten times as many bits: of sets that may meet in a table, none has fewer than four for each element of another."""
+    size = min(1 << max(6, int(2.5 * len(h)).bit_length() + 1), 1 << 15)
+    at = (h >> np.uint64(17)) & np.uint64(size - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
 
 
 def folded(bits: bytes) -> bytes:
     """A bitmap's parts on top of each other: bits that differ here differ in the whole."""
-    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, max(8, len(bits) // FOLDED)), axis=0).tobytes()
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, max(8, len(bits) // FOLDED)), axis=0).tobytes()
 
 
 def same_length(maps: list[bytes]) -> np.ndarray:
     """Bitmaps folded to the shortest length, as rows of 64-bit words."""
     least = min(map(len, maps))
-    rows = [np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, least), axis=0) for m in maps]
+    rows = [np.bitwise_xor.reduce(np.frombuffer(m, np.uint8).reshape(-1, least), axis=0) for m in maps]
     return np.stack(rows).view(np.uint64) if least % 8 == 0 else np.stack(rows)
 
 
@@ -183,8 +175,8 @@ def _possible(x, i, y, j, of_union: int) -> np.ndarray:
     ok &= (x[4][i] != y[5][j]) | (x[5][i] != y[4][j])
     open_ = np.flatnonzero(ok)
     i, j = i[open_], j[open_]
-    overlap = np.minimum(x[3][i] - _missing(x[1][i], y[0][j]), y[3][j] - _missing(y[1][j], x[0][i]))
-    ok[open_] = (100 + of_union) * overlap >= of_union * (x[2][i] + y[2][j])
+    apart = _missing(x[1][i], y[0][j]) + _missing(y[1][j], x[0][i])
+    ok[open_] = (100 + of_union) * apart <= (100 - of_union) * (x[3][i] + y[3][j])
     return ok
 
 
@@ -233,7 +225,7 @@ def _tree_join(cell: dict[str, np.ndarray], of_union: int) -> tuple[np.ndarray,
     _, own, counts = np.unique(cell["component"], return_inverse=True, return_counts=True)
     order = np.lexsort((cell["rep"], cell["n"], np.where(counts[own] >= LEAF, own, -1)))
     cell = {k: v[order] for k, v in cell.items()}
-    maps, sizes, comp, rep = same_length(cell["folded"].tolist()), cell["n"], cell["component"], cell["rep"]
+    maps, sizes, comp, rep = same_length(cell["bits"].tolist()), cell["n"], cell["component"], cell["rep"]
     left, right = cell["left"][0], cell["right"][0]
     if left == right:
         tree = Tree(maps, sizes, comp)
@@ -309,20 +301,20 @@ def link(docs: DataFrame, words: int = WORDS, of_union: int = OF_UNION) -> DataF
     texts = docs.select("doc_id", "text")
     wide = staged(by_batch(texts, _described(words, of_union), _SETS), "shingle-tables")
     described = staged(wide.select("doc_id", "n_shingles", "set_key"), "shingle-sets")
-    classes = wide.where("doc_id is not null and set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tables").alias("tables"))
-    classes = staged(classes, "shingle-classes")
+    of_key = wide.where("doc_id is not null and set_key is not null").groupBy("set_key")
+    full = staged(of_key.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("tables").alias("tables")), "shingle-classes")
     discard(wide)
 
     # size, n and place make one number: few bytes are shuffled for each part.
     sizes = F.shiftleft(F.col("n"), 32).bitwiseOR(F.shiftleft(F.col("size").cast("bigint"), 26)).bitwiseOR(F.col("place").cast("bigint"))
-    keyed = classes.select("rep", "n", F.hash("set_key").alias("own"), F.inline("tables")).select("rep", "n", "own", "size", F.posexplode("parts").alias("place", "part")).where("part <> 0")
+    keyed = full.select("rep", "n", F.hash("set_key").alias("own"), F.inline("tables")).select("rep", "n", "own", "size", F.posexplode("parts").alias("place", "part")).where("part <> 0")
     keyed = keyed.select(F.xxhash64("size", "place", "part").alias("key"), "rep", "own", sizes.alias("sizes"))
     shares = [_buckets(keyed.where(F.pmod("key", F.lit(SHARES)) == share)) for share in range(SHARES)]
     members = reduce(DataFrame.union, shares)
 
-    involved = members.select("rep").distinct()
-    signatures = by_batch(texts.join(involved, texts["doc_id"] == involved["rep"], "left_semi"), _signatures_of(words), "rep bigint, n bigint, bits binary, folded binary")
-    signatures = staged(signatures, "shingle-signatures")
+    signatures = staged(full.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "bits"), "shingle-signatures")
+    classes = staged(full.select("set_key", "rep"), "shingle-classes")
+    discard(full)
 
     fits = 100 * F.least("n", "first.n") >= of_union * F.greatest("n", "first.n")
     stars = members.where((F.col("rep") != F.col("first.rep")) & fits).select(F.col("rep").alias("a"), F.col("first.rep").alias("b")).distinct()
@@ -330,7 +322,7 @@ def link(docs: DataFrame, words: int = WORDS, of_union: int = OF_UNION) -> DataF
     close = likely(stars, signatures, of_union)
     # Rows of one id that have different sets are one document.
     known = described.where("doc_id is not null and set_key is not null")
-    same = known.select("doc_id", "set_key").distinct().join(classes.select("set_key", "rep"), "set_key").groupBy("doc_id").agg(
+    same = known.select("doc_id", "set_key").distinct().join(classes, "set_key").groupBy("doc_id").agg(
         F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).where("size(reps) > 1").select(F.explode("reps").alias("a"), "b").where("a <> b")
     links = verified(close, texts, words, of_union)
     connected = components(links.union(same))
@@ -341,12 +333,11 @@ def link(docs: DataFrame, words: int = WORDS, of_union: int = OF_UNION) -> DataF
         pairs.append(staged(_tree_pairs(share, signatures, connected, of_union), "shingle-tree-pairs"))
         discard(share)
     different = staged(reduce(DataFrame.union, pairs).distinct(), "shingle-tree-pairs")
-    more = likely(different, signatures, of_union)
-    rest = verified(more, texts, words, of_union)
-    discard(signatures, different, more, *pairs)
+    rest = verified(different, texts, words, of_union)
+    discard(signatures, different, *pairs)
     if not rest.isEmpty():
         connected = components(connected.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest))
-    placed = classes.select("set_key", "rep").join(connected.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = classes.join(connected.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = described.select("doc_id", "n_shingles", "set_key").join(placed, "set_key", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
@@ -374,12 +365,12 @@ def _tree_pairs(members: DataFrame, sets: DataFrame, connected: DataFrame, of_un
     rows = members.join(connected.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     open_ = rows.join(split, "key")
-    full = open_.join(sets.select("rep", "n", "folded"), ["rep", "n"])
+    full = open_.join(sets, ["rep", "n"])
     chunks = F.ceil(F.col("members") / CHUNK).cast("int")
     dealt = full.withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
     # A row of chunk c goes to the cells (i, c) with i <= c and (c, j) with j > c.
     cells = F.transform(F.sequence(F.lit(0), chunks - 1), lambda i: F.struct(F.least(i, F.col("chunk")).alias("left"), F.greatest(i, F.col("chunk")).alias("right")))
-    dealt = dealt.select("key", "rep", "component", "n", "folded", "chunk", F.inline(cells))
+    dealt = dealt.select("key", "rep", "component", "n", "bits", "chunk", F.inline(cells))
     cell = ["key", "left", "right"]
     laid = dealt.repartition(*cell).sortWithinPartitions(*cell)
     return laid.mapInPandas(_cell_by_cell(of_union), "a bigint, b bigint").distinct()

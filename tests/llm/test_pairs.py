@@ -98,6 +98,21 @@ def test_trees_pass_over_what_is_connected():
         assert want <= got and all(component[i] != component[j] for i, j in got) and bool(want) == bool(component.any())
 
 
+def test_bitmaps_tell_what_differs_however_much_is_shared():
+    """Near copies a little too far apart: few of all pairs may be left for the comparison of whole sets, and no pair within the threshold is lost."""
+    r = np.random.default_rng(3)
+    for of_union, base, changed in ((90, 700, 60), (80, 700, 130), (80, 1000, 190)):
+        shared = r.integers(0, 1 << 62, base, dtype=np.uint64)
+        rows = [np.unique(np.concatenate([r.permutation(shared)[changed:], r.integers(0, 1 << 62, changed, dtype=np.uint64)])) for _ in range(120)]
+        rows += [np.unique(np.append(rows[k][3:], r.integers(0, 1 << 62, 3, dtype=np.uint64))) for k in range(40)]
+        maps, sizes = shingle_join.same_length([shingle_join.folded(shingle_join.bitmap(x)) for x in rows]), np.array([len(x) for x in rows])
+        tree = shingle_join.Tree(maps, sizes, np.arange(len(rows)))
+        got = set(zip(*(x.tolist() for x in shingle_join.joined(tree, tree, True, of_union))))
+        every = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows))]
+        want = {(i, j) for i, j in every if 100 * len(np.intersect1d(rows[i], rows[j])) >= of_union * len(np.union1d(rows[i], rows[j]))}
+        assert len(want) >= 40 and want <= got and len(got) < 2 * len(want)
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 60)]
