@@ -3,9 +3,11 @@
 Two sets of a and b elements whose intersection is t hundredths of the union differ in (a + b) (100 - t) / (100 + t)
 elements, one nineteenth of a + b for 90.
 So when the hash space is cut into one part more than that, at least one part of both holds the same elements. Texts
-with the same set are one class. A class has a fingerprint for every part of the tables of its size, and classes that
-agree in a part meet in a bucket. This places pairs without losing one, and without a shingle, however frequent,
-being a key by itself.
+with the same set are one class. A class has a fingerprint for every part of the tables of its size: these are its keys.
+Of two linked classes each has no more keys that the other lacks than elements may differ. So the rarest key that they share is
+among the first of each, in order of how many classes have a key, as soon as one more of them is taken than may differ.
+Only these bring classes together in a bucket, and keys that one class alone has come first of all. This places pairs without
+losing one, and a frequent passage makes a bucket only of classes that have too few rarer keys.
 
 In a bucket, first every class is compared with the smallest one: that is linear, and joins most copies. What is left
 are buckets whose classes are not all connected. There, signature trees are joined: leaves hold the classes' token
@@ -26,6 +28,8 @@ null component. Columns other than `doc_id` and `text` are not read. An empty ta
 from __future__ import annotations
 
 import hashlib
+import math
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import chain
@@ -33,7 +37,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadgeo.llm.common import by_batch, discard, staged
@@ -44,8 +48,10 @@ WORDS, OF_UNION = 3, 90
 CHUNK, LEAF, FANOUT = 2048, 16, 8
 #: Shares of buckets and of pairs that are handled one after the other: the shuffle of one is gone before the next.
 SHARES = 4
+#: Bits of a part's place, below the 7 of its table.
+PLACE = 25
 #: Bitmaps are kept so many times shorter, at a bit or more per element: a class has one in each of its buckets.
-FOLDED = 4
+FOLDED = 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -64,19 +70,46 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
+def _edges() -> list[int]:
+    edges = [1]
+    while edges[-1] < 1 << 31:
+        edges.append(max(edges[-1] + 1, edges[-1] * 5 // 4))
+    return edges
+
+
+#: Sizes from which on sets lie in the next table.
+EDGES = _edges()
+_PARTS: dict[tuple[int, int], int] = {}
+
+
 def differences(table: int, of_union: int) -> int:
-    """Elements in which two sets of a table may differ: its sizes lie below 2 ** (table + 1)."""
-    return (100 - of_union) * 2 * ((2 << table) - 1) // (100 + of_union)
+    """Elements in which two sets of a table may differ: its sizes lie below the next edge."""
+    return (100 - of_union) * 2 * (EDGES[table + 1] - 1) // (100 + of_union)
+
+
+def allowed(n: int, table: int, of_union: int) -> int:
+    """Elements in which a set of n may differ from another one of a table: that has at most 100 n / of_union."""
+    return min(differences(table, of_union), n * (100 - of_union) // of_union)
 
 
 def n_parts(table: int, of_union: int) -> int:
-    """One more than may differ, and some for parts that are empty in both sets."""
-    k = differences(table, of_union)
-    return k + 2 + k // 40
+    """So many that even a set of the smallest size hardly ever has fewer parts with elements than one more than may differ, where that is possible."""
+    if (found := _PARTS.get((table, of_union))) is None:
+        k, least = differences(table, of_union), -(-of_union * EDGES[table] // 100)
+        found = k + 2 + k // 40
+        for m in range(k + 2, 2 * k + 8, 1 + k // 50):
+            full, share = least / m, math.exp(-least / m)
+            if m * (1 - share) - 3 * math.sqrt(m * share * (1 - (1 + full) * share)) > k:
+                found = m
+                break
+        _PARTS[table, of_union] = found
+    return found
 
 
-def fingerprints(h: np.ndarray, table: int, of_union: int = OF_UNION) -> np.ndarray:
-    """A 32-bit number for each part of the hash space, 0 for an empty part; -1 in front of parts whose emptiness counts as agreement."""
+def fingerprints(h: np.ndarray, table: int, of_union: int = OF_UNION) -> tuple[np.ndarray, int]:
+    """A 32-bit number for each part of the hash space, 0 for an empty part, and how many of the others, the most frequent ones, are not needed as keys.
+
+    A set with so few parts that all agreement could lie in empty ones has these as keys too, as -1, and needs all."""
     m = n_parts(table, of_union)
     edges = (np.arange(m, dtype=np.uint64) * np.uint64((1 << 64) // m)).astype(np.uint64)
     starts = np.searchsorted(h, edges)
@@ -87,19 +120,19 @@ def fingerprints(h: np.ndarray, table: int, of_union: int = OF_UNION) -> np.ndar
     out = (sums >> np.uint64(32)).astype(np.int64).astype(np.int32)
     out[out == 0] = 1
     out[sizes == 0] = 0
-    # So many empty parts that all agreement could lie in them: they are keys too.
-    if (sizes == 0).sum() >= m - differences(table, of_union):
+    surplus = int((sizes > 0).sum()) - allowed(len(h), table, of_union) - 1
+    if surplus < 0:
         out[sizes == 0] = -1
-    return out
+    return out, max(0, surplus)
 
 
 def tables_of(n: int, of_union: int = OF_UNION) -> list[int]:
-    """Tables by size: a set's own, and the next one if a partner may lie in it. Sets that allow no difference have none."""
-    own = n.bit_length() - 1
-    return [t for t in (own, own + 1) if differences(t, of_union) and (t == own or 100 * n >= of_union * (1 << t))]
+    """Tables by size: a set's own, and the next ones if a partner may lie in them. Sets that allow no difference have none."""
+    own, last = (bisect_right(EDGES, x) - 1 for x in (n, 100 * n // of_union))
+    return [t for t in range(own, last + 1) if differences(t, of_union)]
 
 
-_SETS = "doc_id bigint, n_shingles bigint, set_key binary, bits binary, tables array<struct<size:int,parts:array<int>>>"
+_SETS = "doc_id bigint, n_shingles bigint, set_key binary, bits binary, tables array<struct<size:int,surplus:int,parts:array<int>>>"
 
 
 def _described(words: int, of_union: int):
@@ -107,7 +140,10 @@ def _described(words: int, of_union: int):
         for doc_id, text in zip(ids, texts):
             h = shingles(text, words)
             key = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None
-            tables = [{"size": t, "parts": fingerprints(h, t, of_union).tolist()} for t in tables_of(len(h), of_union)] if len(h) else []
+            tables = []
+            for t in tables_of(len(h), of_union) if len(h) else ():
+                parts, surplus = fingerprints(h, t, of_union)
+                tables.append({"size": t, "surplus": surplus, "parts": parts.tolist()})
             yield doc_id, len(h), key, folded(bitmap(h)) if tables else None, tables
 
     return rows
@@ -306,10 +342,12 @@ def link(docs: DataFrame, words: int = WORDS, of_union: int = OF_UNION) -> DataF
     discard(wide)
 
     # size, n and place make one number: few bytes are shuffled for each part.
-    sizes = F.shiftleft(F.col("n"), 32).bitwiseOR(F.shiftleft(F.col("size").cast("bigint"), 26)).bitwiseOR(F.col("place").cast("bigint"))
-    keyed = full.select("rep", "n", F.hash("set_key").alias("own"), F.inline("tables")).select("rep", "n", "own", "size", F.posexplode("parts").alias("place", "part")).where("part <> 0")
-    keyed = keyed.select(F.xxhash64("size", "place", "part").alias("key"), "rep", "own", sizes.alias("sizes"))
-    shares = [_buckets(keyed.where(F.pmod("key", F.lit(SHARES)) == share)) for share in range(SHARES)]
+    sizes = F.shiftleft(F.col("n"), 32).bitwiseOR(F.shiftleft(F.col("size").cast("bigint"), PLACE)).bitwiseOR(F.col("place").cast("bigint"))
+    keyed = full.select("rep", "n", F.hash("set_key").alias("own"), F.inline("tables")).select("rep", "n", "own", "size", "surplus", F.posexplode("parts").alias("place", "part")).where("part <> 0")
+    keyed = keyed.select(F.xxhash64("size", "place", "part").alias("key"), "rep", "own", sizes.alias("sizes"), "surplus")
+    prefixes = _prefixes(keyed)
+    shares = [_buckets(prefixes.where(F.pmod("key", F.lit(SHARES)) == share)) for share in range(SHARES)]
+    discard(prefixes)
     members = reduce(DataFrame.union, shares)
 
     signatures = staged(full.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "bits"), "shingle-signatures")
@@ -343,14 +381,32 @@ def link(docs: DataFrame, words: int = WORDS, of_union: int = OF_UNION) -> DataF
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _several(keyed: DataFrame) -> DataFrame:
+    """The rows of keys that several classes have, and of how many."""
+    met = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    return keyed.join(met, "key")
+
+
+def _prefixes(keyed: DataFrame) -> DataFrame:
+    """The keys of a class and table that several classes have, without its most frequent ones that are not needed."""
+    of_key, of_rep = F.pmod("key", F.lit(SHARES)), F.pmod(F.xxhash64("rep"), F.lit(SHARES))
+    stored = [staged(_several(keyed.where(of_key == share)), "shingle-keys") for share in range(SHARES)]
+    ranked = reduce(DataFrame.union, stored).withColumn("size", F.shiftright("sizes", PLACE))
+    frequent = F.row_number().over(Window.partitionBy("rep", "size").orderBy(F.desc("members"), F.desc("key")))
+    kept = [ranked.where(of_rep == share).withColumn("frequent", frequent).where("frequent > surplus") for share in range(SHARES)]
+    kept = [staged(k.select("key", "rep", "own", "sizes"), "shingle-prefixes") for k in kept]
+    whole = staged(reduce(DataFrame.union, kept), "shingle-prefixes")
+    discard(*stored, *kept)
+    return whole
+
+
 def _buckets(keyed: DataFrame) -> DataFrame:
     """The rows of the buckets that hold several classes, and the smallest class of each.
 
     Copies that differ little agree in most parts, so many buckets of a table hold the same classes and give the same pairs.
     The one of the first place stands for them all."""
-    met = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    stored = staged(keyed.join(met, "key"), "shingle-buckets")
-    n, table, place = F.shiftright("sizes", 32), F.shiftright("sizes", 26).bitwiseAND(F.lit(63)), F.col("sizes").bitwiseAND(F.lit((1 << 26) - 1))
+    stored = staged(_several(keyed), "shingle-buckets")
+    n, table, place = F.shiftright("sizes", 32), F.shiftright("sizes", PLACE).bitwiseAND(F.lit(127)), F.col("sizes").bitwiseAND(F.lit((1 << PLACE) - 1))
     rows = stored.select("key", "rep", "own", "members", n.alias("n"), table.cast("int").alias("size"), place.cast("int").alias("place"))
     low = F.xxhash64("rep").bitwiseAND(F.lit((1 << 32) - 1))
     buckets = rows.groupBy("key", "members", "size", "place").agg(F.min(F.struct("rep", "n")).alias("first"), F.sum(F.col("own").cast("bigint")).alias("owns"), F.sum(low).alias("reps"))

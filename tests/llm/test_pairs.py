@@ -113,6 +113,30 @@ def test_bitmaps_tell_what_differs_however_much_is_shared():
         assert len(want) >= 40 and want <= got and len(got) < 2 * len(want)
 
 
+def test_frequent_passages_and_empty_parts_bring_no_classes_together(spark, monkeypatch):
+    """Texts that share a passage, but are far from linked, meet in hardly any bucket; copies near the threshold still do."""
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [passage + [f"w{r.randrange(10**9)}" for _ in range(r.randrange(180, 420))] for _ in range(150)]
+    alone = len(texts)
+    for k in range(0, 60, 2):
+        # A word replaced changes five shingles; some words left out at the end make the sizes differ.
+        copy = list(texts[k])
+        for at in r.sample(range(40, len(copy)), max(1, len(copy) // 50 + r.randrange(-1, 2))):
+            copy[at] = f"x{r.randrange(10**9)}"
+        texts.append(copy[: len(copy) - r.randrange(0, 9)])
+    rows = list(enumerate(map(" ".join, texts)))
+    members, buckets = [], shingle_join._buckets
+    monkeypatch.setattr(shingle_join, "_buckets", lambda keyed: members.append(buckets(keyed)) or members[-1])
+    removed = []
+    monkeypatch.setattr(shingle_join, "discard", lambda *stored: removed.extend(stored))
+    got = {x.doc_id: x.component_id for x in shingle_join.link(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 80).collect()}
+    want = brute_links(rows, 5, 80)
+    assert got == want and 10 < sum(want[d] != d for d in want) < len(texts) - alone + 1
+    lone = [d for d in range(60, alone)]
+    assert sum(m.where(m["rep"].isin(lone)).count() for m in members) < len(lone)
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)]
     star = [(100, 100 + i) for i in range(1, 60)]
