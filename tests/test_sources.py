@@ -494,3 +494,42 @@ def test_z_order_keeps_neighbours_together(spark):
     order = cells.select("x", "y", tables.z_order(F.col("x"), F.col("y"), 1.0).alias("z")).orderBy("z")
     got = [(int(r["x"]), int(r["y"])) for r in order.collect()]
     assert len(set(got)) == 64 and set(got[:4]) == {(-4, -4), (-3, -4), (-4, -3), (-3, -3)}
+
+
+def test_osm_xml_columns_without_a_tree(tmp_path, monkeypatch):
+    """Elements become columns while they are read, without an object of the tree each; odd nesting, entities and absent attributes included."""
+    from xml.etree import ElementTree
+
+    from roadgeo.sources import osm_xml
+
+    monkeypatch.setattr(osm_xml, "XMLPullParser", None, raising=False)
+    path = tmp_path / "odd.osm"
+    path.write_text(
+        '<osm><node id="1" lat="1" lon="2"/><node id="2" lat="3"><tag k="a" v="&amp;&#233;"/><tag k="b"/><nd ref="4"/>'
+        '<tag k="x" v="y"><tag k="in" v="in"/></tag></node><way id="3"><nd ref="1"/><nd ref=" 2 "/><member ref="9"/>'
+        '<node id="7" lon="1" lat="2"><tag k="n" v="m"/></node></way><way id="4"/>'
+        '<relation id="5"><member type="way" ref="3"/><member ref="4"/></relation><z:node xmlns:z="q" id="8"/><way id="9"><nd ref="1"/>'
+    )
+
+    def read(columns, **options):
+        reader = osm_xml.OsmXmlReader({"path": str(path), **options}, columns)
+        return [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+
+    at = lambda lon, lat: {"longitude": lon, "latitude": lat}
+    names = ["id", "kind", "tags", "location", "refs", "ref_types"]
+    want = [
+        (1, "node", [], at(2.0, 1.0), None, None),
+        (2, "node", [("a", "&é"), ("b", None), ("x", "y")], None, None, None),
+        (7, "node", [("n", "m")], at(1.0, 2.0), None, None),
+        (3, "way", [], None, [1, 2], None),
+        (4, "way", [], None, [], None),
+        (5, "relation", [], None, [3, 4], ["way", None]),
+    ]
+    assert [tuple(r[c] for c in names) for r in read(names)] == want
+    assert read(["refs", "id"], kinds="way") == [{"refs": [1, 2], "id": 3}, {"refs": [], "id": 4}]
+    monkeypatch.setattr(osm_xml, "BATCH_ROWS", 1)
+    monkeypatch.setattr(osm_xml, "READ_BYTES", 40)
+    assert [tuple(r[c] for c in names) for r in read(names)] == want
+    path.write_text("<osm><node id='1'></way></osm>")
+    with pytest.raises(ElementTree.ParseError):
+        read(names)
