@@ -77,6 +77,23 @@ def by_batch(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: str, a
     return df.mapInArrow(run, schema)
 
 
+def by_arrays(df: DataFrame, arrays: Callable[..., list], schema: str, at_once: int = 2000) -> DataFrame:
+    """Applies arrays(*columns as Arrow arrays), which gives numpy or Arrow arrays of equal length, to up to `at_once` rows at a time."""
+    target = StructType.fromDDL(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(target)
+        for batch in batches:
+            for start in range(0, batch.num_rows, at_once):
+                out = arrays(*batch.slice(start, at_once).columns)
+                if len(out[0]):
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(out, arrow)], names=arrow.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def by_row(df: DataFrame, row: Callable[..., tuple], schema: str) -> DataFrame:
     """Applies row(*values), which gives a result row, to each row, in Arrow batches."""
     return by_batch(df, lambda *columns: map(row, *columns), schema)

@@ -3,10 +3,10 @@
 Sorting every byte's suffix takes rows many times the text. So texts are cut first where their content says so: each
 window of 200 bytes belongs to an anchor (see `anchors`), equal windows to equal anchors. The bytes from one anchor to the
 end of the next one's k-gram are a phrase. A phrase that occurs once ends every repeat; what remains are pieces, sequences of
-phrases that occur again. Equal pieces are one. The different pieces, with an end mark after each, are one text whose
-symbols are phrases. Its suffixes are sorted with a difference cover: triples of sampled positions, recursion on
-their names, merging of the rest. Then neighbours are compared by their prefixes, as many phrases as make 200 bytes:
-where they agree, those bytes repeat. A phrase is shorter than that, so that one occurs again settles nothing by itself.
+phrases that occur again. Equal pieces are one. The different pieces are texts whose symbols are phrases. Their suffixes
+are sorted by their prefixes, as many phrases as make 200 bytes; what comes after these bytes decides nothing, so the sort
+goes no deeper. Then neighbours are compared by their prefixes: where they agree, those bytes repeat. A phrase is shorter than
+that, so that one occurs again settles nothing by itself. Of equal prefixes in a piece only the first one is sorted.
 
 Where a repeat begins or ends between anchors, its outermost windows reach beyond its phrases. These are the windows of
 the anchors that the suffix order has not covered, and each is compared with those of equal k-gram. Thirteen windows that start
@@ -23,37 +23,41 @@ stay null. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadgeo.llm.anchors import GRAM, WINDOW, anchors
-from roadgeo.llm.common import by_batch, discard, staged
-from roadgeo.llm.suffix_array import BASE, counted, ranked, suffix_ranks
+from roadgeo.llm.common import by_arrays, by_batch, discard, shuffle_partitions, staged
+from roadgeo.llm.suffix_array import BASE, equal_neighbours
 
 #: Windows of a node, which lie in its middle and up to SIDE bytes on either side of it.
 STEP = 13
 SIDE = STEP - 1
 MIDDLE = WINDOW - SIDE
-#: Suffixes in a group that compares neighbours.
+#: Suffixes that are compared with their neighbours at once.
 NEIGHBOURS = 1 << 16
 
-_ANCHORED = "doc bigint, row bigint, grams array<bigint>, phrases array<bigint>, gaps array<smallint>, names array<bigint>, firsts array<int>, counts array<smallint>, places array<smallint>"
-_FIELDS = ["seq", "gram", "phrase", "gap", "name", "first", "count", "place", "again"]
-_PIECE = "piece binary, doc bigint, row bigint, start int, symbols array<struct<gram:bigint,phrase:bigint,gap:smallint>>"
-_ANCHOR = "gram bigint, name bigint, doc bigint, row bigint, first int, count smallint, place smallint, covered boolean"
-_NODE = "middle binary, before binary, after binary, doc bigint, row bigint, at int, own boolean"
-
+#: What is stored of an anchor, and of a phrase in a piece.
+_STORED = np.dtype([("gram", "<i8"), ("phrase", "<i8"), ("name", "<i8"), ("first", "<i4"), ("gap", "<i2"), ("count", "<i2"), ("place", "<i2")])
+_SYMBOL = np.dtype([("gram", "<i8"), ("phrase", "<i8"), ("gap", "<i2")])
 
-def _signed(h: np.ndarray) -> list[int]:
-    return h.view(np.int64).tolist()
+_ANCHORED = "doc bigint, row bigint, anchors binary"
+_PHRASE = "gram bigint, phrase bigint, doc bigint, row bigint, seq int"
+_FIELDS = ["seq", "gram", "phrase", "name", "first", "gap", "count", "place", "again"]
+_KEPT = "doc bigint, row bigint, copies bigint, anchors array<struct<seq:int,gram:bigint,phrase:bigint,name:bigint,first:int,gap:smallint,count:smallint,place:smallint,again:boolean>>"
+_PIECE = "piece binary, doc bigint, row bigint, copies bigint, start int, symbols binary"
+_ANCHOR = "gram bigint, name bigint, doc bigint, row bigint, first int, count smallint, place smallint, covered boolean, copies bigint"
+_NODE = "middle binary, before binary, after binary, doc bigint, row bigint, at int, own boolean"
 
 
-def _hashes(view: memoryview, starts: np.ndarray, ends: np.ndarray) -> list[int]:
-    return _signed(np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64))
+def _hashes(view: memoryview, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64).view(np.int64)
 
 
 def _anchored(ids, rows, texts):
@@ -62,113 +66,144 @@ def _anchored(ids, rows, texts):
         raw = (text or "").encode("utf-8", "surrogatepass")
         at, grams, first, last = anchors(raw)
         if len(at):
-            view, gaps = memoryview(raw), np.append(np.diff(at), 0)
-            phrases, names = _hashes(view, at, at + gaps + GRAM), _hashes(view, first, last + WINDOW)
-            yield doc_id, row, _signed(grams), phrases, gaps.tolist(), names, first.tolist(), (last - first + 1).tolist(), (at - first).tolist()
-
-
-def _copies(seq: list[int]) -> int:
-    """How many equal rows' anchors a sorted list holds."""
-    return seq.count(seq[0])
-
-
-def _pieces(ids, rows, seqs, grams, phrases, gaps, firsts, places, again):
+            view, out = memoryview(raw), np.empty(len(at), _STORED)
+            gaps = np.append(np.diff(at), 0)
+            out["gram"], out["first"], out["gap"], out["count"], out["place"] = grams.view(np.int64), first, gaps, last - first + 1, at - first
+            out["phrase"], out["name"] = _hashes(view, at, at + gaps + GRAM), _hashes(view, first, last + WINDOW)
+            yield doc_id, row, out.tobytes()
+
+
+def _phrases(ids: pa.Array, rows: pa.Array, stored: pa.Array) -> list[np.ndarray]:
+    """A row for each anchor."""
+    blobs = stored.to_pylist()
+    sizes = np.array([len(x) for x in blobs], np.int64) // _STORED.itemsize
+    every = np.frombuffer(b"".join(blobs), _STORED)
+    seq = np.arange(len(every)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return [np.ascontiguousarray(every["gram"]), np.ascontiguousarray(every["phrase"]), np.repeat(ids.to_numpy(), sizes), np.repeat(rows.to_numpy(), sizes), seq.astype(np.int32)]
+
+
+def _kept(ids: pa.Array, rows: pa.Array, copies: pa.Array, stored: pa.Array, codes: pa.Array) -> list:
+    """Of each text, the anchors whose codes, twice their place and one if the phrase occurs again, are given."""
+    parts = []
+    for blob, code in zip(stored.to_pylist(), codes):
+        # Equal rows give the same codes.
+        own = np.unique(code.values.to_numpy(zero_copy_only=False))
+        parts.append((own, np.frombuffer(blob, _STORED)[own >> 1]))
+    own, every = (np.concatenate(x) for x in zip(*parts))
+    columns = {"seq": (own >> 1).astype(np.int32), "again": (own & 1).astype(bool)} | {c: np.ascontiguousarray(every[c]) for c in _STORED.names}
+    offsets = np.append(0, np.cumsum([len(x) for x, _ in parts])).astype(np.int32)
+    values = pa.StructArray.from_arrays([pa.array(columns[c]) for c in _FIELDS], names=_FIELDS)
+    return [ids, rows, copies, pa.ListArray.from_arrays(pa.array(offsets), values)]
+
+
+def _columns(lists: pa.Array) -> tuple[dict[str, np.ndarray], list[int]]:
+    """The fields of all structs in an array of their lists; where each list ends among them, after a zero."""
+    values, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return {f.name: values.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(values.type)}, np.append(0, np.cumsum(sizes)).astype(int).tolist()
+
+
+def _pieces(ids: pa.Array, rows: pa.Array, copies: pa.Array, kept: pa.Array) -> list[list]:
     """Maximal sequences of phrases that all occur again and together reach a window's length."""
-    for doc_id, row, *own in zip(ids, rows, seqs, grams, phrases, gaps, firsts, places, again):
-        copies = _copies(own[0])
-        seq, gram, phrase, gap, first, place, goes_on = (x[::copies] for x in own)
-        start = 0
-        for k in range(len(seq) + 1):
-            inside = k < len(seq) and goes_on[k] and gap[k] > 0
-            if inside and k > start and seq[k] == seq[k - 1] + 1:
-                continue
-            if k > start and sum(gap[start:k]) + GRAM >= WINDOW:
-                key = hashlib.blake2b(np.array([gram[start:k], phrase[start:k]], np.int64).tobytes(), digest_size=16).digest()
-                symbols = [{"gram": g, "phrase": p, "gap": d} for g, p, d in zip(gram[start:k], phrase[start:k], gap[start:k])]
-                for _ in range(copies):
-                    yield key, doc_id, row, first[start] + place[start], symbols
-            start = k if inside else k + 1
-
-
-def _prefix_ends(gaps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    x, ends = _columns(kept)
+    inside = x["again"] & (x["gap"] > 0)
+    symbols = np.empty(len(inside), _SYMBOL)
+    for c in _SYMBOL.names:
+        symbols[c] = x[c]
+    out = []
+    for doc_id, row, n, low, high in zip(ids.to_pylist(), rows.to_pylist(), copies.to_pylist(), ends, ends[1:]):
+        at = low + np.flatnonzero(inside[low:high])
+        new = np.flatnonzero(np.append(True, np.diff(x["seq"][at]) != 1)) if len(at) else []
+        for a, b in zip(new, [*new[1:], len(at)]):
+            own = symbols[at[a] : at[b - 1] + 1]
+            if int(own["gap"].sum(dtype=np.int64)) + GRAM >= WINDOW:
+                key = hashlib.blake2b(np.array([own["gram"], own["phrase"]]).tobytes(), digest_size=16).digest()
+                out.append((key, doc_id, row, n, int(x["first"][at[a]]) + int(x["place"][at[a]]), own.tobytes()))
+    return [list(c) for c in zip(*out)] or [[]]
+
+
+def _prefix_ends(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every suffix of a piece that reaches a window's length: the phrase after the first ones that do; and the phrases' places in bytes."""
-    places = np.append(0, np.cumsum(np.array(gaps, np.int64)))
+    places = np.append(0, np.cumsum(gaps.astype(np.int64)))
     ends = np.searchsorted(places, places[:-1] + WINDOW - GRAM)
     return ends[ends < len(places)], places
 
 
-def _prefixes(pieces, befores, symbols_):
-    """Place in the text, piece, place in it and prefix of the suffixes that reach a window's length."""
-    for piece, before, symbols in zip(pieces, befores, symbols_):
-        ends, _ = _prefix_ends([x["gap"] for x in symbols])
-        text = np.array([(x["gram"], x["phrase"]) for x in symbols], np.int64)
-        for k, end in enumerate(ends.tolist()):
-            yield before + k, piece, k, xxhash.xxh3_128_digest(text[k:end].tobytes())
+def _prefixes(own: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+    """The suffixes' prefixes: their phrases, which sort them, and a digest of phrases and k-grams."""
+    phrases, both = own["phrase"].astype(">i8").tobytes(), np.stack([own["gram"], own["phrase"]], 1).tobytes()
+    return (phrases[8 * k : 8 * end] + xxhash.xxh3_128_digest(both[16 * k : 16 * end]) for k, end in enumerate(ends.tolist()))
 
 
-def _equal_neighbours(group: pd.DataFrame) -> pd.DataFrame:
-    """The suffixes whose prefix is that of a neighbour."""
-    group = group.sort_values("rank")
-    prefix = group["prefix"].to_numpy()
-    same = prefix[1:] == prefix[:-1]
-    return group.loc[np.append(same, False) | np.append(False, same), ["piece", "k"]]
+def _suffixes(pieces, symbols_):
+    """The first suffix of each prefix in a piece, of those that reach a window's length."""
+    for piece, symbols in zip(pieces, symbols_):
+        own, seen = np.frombuffer(symbols, _SYMBOL), set()
+        for k, prefix in enumerate(_prefixes(own, _prefix_ends(own["gap"])[0])):
+            if prefix not in seen:
+                seen.add(prefix)
+                yield piece, k, prefix
 
 
 def _spans(pieces, symbols_, whole, found):
-    """Bytes of a piece, from its start, that the prefixes found cover."""
-    for piece, symbols, all_, own in zip(pieces, symbols_, whole, found):
-        ends, places = _prefix_ends([x["gap"] for x in symbols])
-        spans = []
-        for k in range(len(ends)) if all_ else sorted(own):
-            start, end = int(places[k]), int(places[ends[k]]) + GRAM
-            if spans and start <= spans[-1]["end"]:
-                spans[-1]["end"] = end
-            else:
-                spans.append({"start": start, "end": end})
-        yield piece, spans
+    """Bytes of a piece, from its start, that its repeated prefixes cover: those found, and those that occur twice in it."""
+    for piece, symbols, all_, numbers in zip(pieces, symbols_, whole, found):
+        own = np.frombuffer(symbols, _SYMBOL)
+        ends, places = _prefix_ends(own["gap"])
+        at = np.arange(len(ends))
+        if not all_:
+            first: dict[bytes, int] = {}
+            like = np.array([first.setdefault(p, k) for k, p in enumerate(_prefixes(own, ends))])
+            again = np.bincount(like) > 1
+            again[numbers or []] = True
+            at = at[again[like]]
+        start, end = places[at], places[ends[at]] + GRAM
+        if len(at):
+            # Starts and ends both ascend.
+            new = np.append(True, start[1:] > end[:-1])
+            yield piece, [{"start": a, "end": b} for a, b in zip(start[new].tolist(), end[np.append(new[1:], True)].tolist())]
 
 
 def suffix_marks(kept: DataFrame, base: int = BASE) -> DataFrame:
     """Marks (doc, row, start, end) of the phrases that repeat over 200 bytes and more, by the order of the suffixes of the different pieces."""
-    columns = [f"anchors.{c}" for c in ("seq", "gram", "phrase", "gap", "first", "place", "again")]
-    pieces = staged(by_batch(kept.select("doc", "row", *columns), _pieces, _PIECE), "repeat-pieces")
-    different = pieces.groupBy("piece").agg((F.count("*") > 1).alias("twice"), F.first("symbols").alias("symbols"))
-    # A piece's place in the text: after the symbols and end marks of the pieces before it.
-    placed = counted(different.withColumn("length", F.size("symbols") + 1), ["piece"], ["length"], "repeat-placed")
-    symbols = placed.select("before_length", F.posexplode("symbols")).select((F.col("before_length") + F.col("pos")).alias("i"), "col.gram", "col.phrase")
-    named = ranked(symbols, ["gram", "phrase"], "c", "repeat-phrases")
-    ends = placed.select((F.col("before_length") + F.col("length") - 1).alias("i"), F.lit(1).cast("bigint").alias("c"))
-    text = staged(named.select("i", (F.col("c") + 1).alias("c")).union(ends), "repeat-text")
-    ranks = suffix_ranks(text, text.count(), base)
-    prefixes = by_batch(placed.select("piece", "before_length", "symbols"), _prefixes, "i bigint, piece binary, k int, prefix binary")
-    order = ranks.join(prefixes, "i").select("rank", "piece", "k", "prefix")
-    block, place = F.floor(F.col("rank") / NEIGHBOURS), F.col("rank") % NEIGHBOURS
-    both = order.select("*", F.explode(F.when(place == 0, F.array(block - 1, block)).otherwise(F.array(block))).alias("block"))
-    equal = both.groupBy("block").applyInPandas(_equal_neighbours, "piece binary, k int")
+    pieces = staged(by_arrays(kept.select("doc", "row", "copies", "anchors"), _pieces, _PIECE), "repeat-pieces")
+    different = staged(pieces.groupBy("piece").agg((F.sum("copies") > 1).alias("twice"), F.first("symbols").alias("symbols")), "repeat-different")
+    # No task sorts many more than `base` suffixes.
+    total = different.agg(F.sum(F.length("symbols"))).first()[0] or 0
+    slices = max(shuffle_partitions(kept.sparkSession), -(-total // (_SYMBOL.itemsize * base)))
+    suffixes = by_batch(different.select("piece", "symbols"), _suffixes, "piece binary, k int, prefix binary", 50)
+    equal = equal_neighbours(suffixes, slices, NEIGHBOURS, "repeat-order")
     found = equal.groupBy("piece").agg(F.collect_set("k").alias("found"))
-    judged = placed.select("piece", "symbols", "twice").join(found, "piece", "left").where("twice or found is not null")
-    spans = by_batch(judged.select("piece", "symbols", "twice", "found"), _spans, "piece binary, spans array<struct<start:int,end:int>>")
+    judged = different.join(found, "piece", "left").select("piece", "symbols", "twice", "found")
+    spans = by_batch(judged, _spans, "piece binary, spans array<struct<start:int,end:int>>")
     marks = pieces.select("piece", "doc", "row", F.col("start").alias("at")).join(spans, "piece").select("doc", "row", "at", F.inline("spans"))
     marks = staged(marks.select("doc", "row", (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end")), "repeat-marks")
-    discard(pieces, placed, named, text, ranks)
+    discard(pieces, different)
     return marks
 
 
-def _judged(ids, rows, seqs, grams, names, firsts, counts, places, marks):
+def _marks_by_row(marks: DataFrame) -> DataFrame:
+    """The marks of each row, each one number: start and end."""
+    code = F.col("start").cast("bigint") * (1 << 32) + F.col("end")
+    return marks.groupBy("doc", "row").agg(F.collect_list(code).alias("marks"))
+
+
+def _judged(ids: pa.Array, rows: pa.Array, copies: pa.Array, kept: pa.Array, marks: pa.Array) -> list[np.ndarray]:
     """The anchors, and whether a mark covers all their windows."""
-    for doc_id, row, seq, *own, marked in zip(ids, rows, seqs, grams, names, firsts, counts, places, marks):
-        starts, ends = [], []
-        for x in marked or ():
-            if ends and x["start"] <= ends[-1]:
-                ends[-1] = max(ends[-1], x["end"])
-            else:
-                starts.append(x["start"])
-                ends.append(x["end"])
-        first, count = np.array(own[2], np.int64), np.array(own[3], np.int64)
-        by = np.searchsorted(np.array(starts, np.int64), first, "right") - 1
-        covered = (by >= 0) & (first + count - 1 + WINDOW <= np.append(np.array(ends, np.int64), 0)[by])
-        for gram, name, f, c, place, there in zip(*own, covered.tolist()):
-            yield gram, name, doc_id, row, f, c, place, there
+    x, borders = _columns(kept)
+    covered = np.zeros(borders[-1], bool)
+    last = x["first"].astype(np.int64) + x["count"] - 1 + WINDOW
+    for low, high, marked in zip(borders, borders[1:], marks):
+        if marked.is_valid:
+            codes = np.sort(marked.values.to_numpy())
+            starts, ends = codes >> 32, np.maximum.accumulate(codes & 0xFFFFFFFF)
+            # Marks that overlap or touch are one.
+            new = np.append(True, starts[1:] > ends[:-1])
+            starts, ends = starts[new], ends[np.append(new[1:], True)]
+            by = np.searchsorted(starts, x["first"][low:high], "right") - 1
+            covered[low:high] = (by >= 0) & (last[low:high] <= ends[by])
+    sizes = np.diff(borders)
+    own = (np.repeat(c.to_numpy(), sizes) for c in (ids, rows, copies))
+    return [x["gram"], x["name"], next(own), next(own), x["first"], x["count"], x["place"], covered, next(own)]
 
 
 def _nodes(ids, rows, texts, wanted):
@@ -186,56 +221,60 @@ def _nodes(ids, rows, texts, wanted):
 
 def edge_marks(docs: DataFrame, kept: DataFrame, marks: DataFrame) -> DataFrame:
     """Marks of the repeated windows of anchors that the given marks do not cover."""
-    marked = marks.groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks"))
-    columns = [f"anchors.{c}" for c in ("seq", "gram", "name", "first", "count", "place")]
-    rows = staged(by_batch(kept.join(marked, ["doc", "row"], "left").select("doc", "row", *columns, "marks"), _judged, _ANCHOR), "edge-anchors")
-    place = F.struct("doc", "row", "first", "count", "place")
-    names = rows.groupBy("gram", "name").agg(F.count("*").alias("n"), F.min("covered").alias("covered"), F.min(place).alias("x"))
-    names = staged(names, "edge-names")
+    joined = kept.join(_marks_by_row(marks), ["doc", "row"], "left").select("doc", "row", "copies", "anchors", "marks")
+    rows = staged(by_arrays(joined, _judged, _ANCHOR), "edge-anchors")
+    # Any one of the places of a name: all columns are of the same row.
+    place = [F.first(c).alias(c) for c in ("doc", "row", "first", "count", "place")]
+    names = staged(rows.groupBy("gram", "name").agg(F.sum("copies").alias("n"), F.min("covered").alias("covered"), *place), "edge-names")
     # All bytes of such an anchor's windows occur twice.
     again = rows.where("not covered").join(names.where("n > 1 and not covered").select("gram", "name"), ["gram", "name"])
     whole = again.select("doc", "row", F.col("first").alias("start"), (F.col("first") + F.col("count") + WINDOW - 1).cast("int").alias("end"))
     open_ = (F.col("n") == 1) & ~F.col("covered")
     grams = names.groupBy("gram").agg(F.max(open_).alias("open"), F.count("*").alias("names")).where("open and names > 1").select("gram")
-    wanted = names.join(grams, "gram").select("x.*", open_.alias("own"))
+    wanted = names.join(grams, "gram").select("doc", "row", "first", "count", "place", open_.alias("own"))
     by_doc = wanted.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "count", "place", "own")).alias("wanted"))
     texts = docs.select("doc", "row", "text").join(by_doc, ["doc", "row"])
     texts = texts.groupBy("doc", "row").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     nodes = staged(by_batch(texts, _nodes, _NODE), "edge-nodes")
     key = ["middle", "before", "after"]
-    kinds = nodes.groupBy(*key).agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min(F.struct("doc", "row", "at")).alias("x"))
-    middles = kinds.groupBy("middle").agg(F.sum("n").alias("rows"), F.count("*").alias("kinds"), F.max((F.col("n") == 1) & F.col("own")).alias("open")).where("rows > 1")
-    kinds = staged(kinds.join(middles, "middle"), "edge-kinds")
-    full = nodes.where("own").join(kinds.where("n > 1 and own").select(*key), key)
+    # Most middles occur once.
+    middles = nodes.groupBy("middle").agg(F.count("*").alias("rows")).where("rows > 1").select("middle")
+    shared = staged(nodes.join(middles, "middle"), "edge-shared")
+    discard(nodes)
+    alone = (F.col("n") == 1) & F.col("own")
+    kinds = staged(shared.groupBy(*key).agg(F.count("*").alias("n"), F.max("own").alias("own"), *(F.first(c).alias(c) for c in ("doc", "row", "at"))), "edge-kinds")
+    open_middles = kinds.groupBy("middle").agg(F.count("*").alias("kinds"), F.max(alone).alias("open")).where("kinds > 1 and open").select("middle")
+    full = shared.where("own").join(kinds.where("n > 1 and own").select(*key), key)
     full = full.select("doc", "row", (F.col("at") - F.length("before")).alias("start"), (F.col("at") + MIDDLE + F.length("after")).alias("end"))
     step = F.explode(F.sequence(F.lit(SIDE) - F.length("after"), F.length("before")))
-    windows = kinds.where("kinds > 1 and open").select("middle", "before", "after", "x", ((F.col("n") == 1) & F.col("own")).alias("own"), step.alias("e"))
+    windows = kinds.join(open_middles, "middle").select("middle", "before", "after", "doc", "row", "at", alone.alias("own"), step.alias("e"))
     sides = F.concat(F.expr("substring(before, length(before) - e + 1, e)"), F.expr(f"substring(after, 1, {SIDE} - e)"))
-    windows = windows.select("middle", "e", sides.alias("sides"), "x", "own")
+    windows = windows.select("middle", "e", sides.alias("sides"), "doc", "row", "at", "own")
     # Several windows of one key go into a few numbers: who they are matters only if they are marked.
     twice = windows.groupBy("middle", "e", "sides").agg(F.count("*").alias("n"), F.max("own").alias("own")).where("n > 1 and own").select("middle", "e", "sides")
     single = windows.where("own").join(twice, ["middle", "e", "sides"])
-    single = single.select("x.doc", "x.row", (F.col("x.at") - F.col("e")).alias("start"), (F.col("x.at") - F.col("e") + WINDOW).alias("end"))
+    single = single.select("doc", "row", (F.col("at") - F.col("e")).alias("start"), (F.col("at") - F.col("e") + WINDOW).alias("end"))
     out = staged(whole.union(full).union(single), "edge-marks")
-    discard(rows, names, nodes, kinds)
+    discard(rows, names, shared, kinds)
     return out
 
 
 def _finish(ids, texts, marks):
     for doc_id, text, own in zip(ids, texts, marks):
         raw = (text or "").encode("utf-8", "surrogatepass")
-        kept, at, spans, removed = [], 0, 0, 0
-        end = -1
-        for x in own or ():
-            if x["start"] > end:
-                kept.append(raw[at : x["start"]])
-                spans += 1
-                removed += x["end"] - x["start"]
-            elif x["end"] > end:
-                removed += x["end"] - end
-            end = at = max(end, x["end"])
+        codes = np.unique(np.array(own or [], np.int64))
+        starts, ends = codes >> 32, codes & 0xFFFFFFFF
+        marks_ = np.stack([starts, ends], 1).tolist()
+        kept, at, removed, spans = [], 0, 0, 0
+        if len(codes):
+            # Marks that overlap or touch are one.
+            ends = np.maximum.accumulate(ends)
+            new = np.append(True, starts[1:] > ends[:-1])
+            for start, end in zip(starts[new].tolist(), ends[np.append(new[1:], True)].tolist()):
+                kept.append(raw[at:start])
+                spans, removed, at = spans + 1, removed + end - start, end
         kept.append(raw[at:])
-        yield doc_id, len(raw), removed, spans, hashlib.sha256(b"".join(kept)).hexdigest(), [[x["start"], x["end"]] for x in own or ()]
+        yield doc_id, len(raw), removed, spans, hashlib.sha256(b"".join(kept)).hexdigest(), marks_
 
 
 def dedup(docs: DataFrame, base: int = BASE) -> DataFrame:
@@ -244,15 +283,15 @@ def dedup(docs: DataFrame, base: int = BASE) -> DataFrame:
     doc = F.coalesce("doc_id", F.lit(0).cast("bigint"))
     texts = docs.select("doc_id", doc.alias("doc"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("row"), "text")
     anchored = staged(by_batch(texts.select("doc", "row", "text"), _anchored, _ANCHORED), "anchors")
-    rows = anchored.select("doc", "row", F.posexplode(F.arrays_zip("grams", "phrases", "gaps", "names", "firsts", "counts", "places")).alias("seq", "x"))
-    rows = rows.select("doc", "row", "seq", *(F.col(f"x.{c}s").alias(c) for c in _FIELDS[1:-1]))
+    rows = by_arrays(anchored, _phrases, _PHRASE)
     phrases = rows.groupBy("gram", "phrase").agg(F.count("*").alias("n"))
     repeated = phrases.groupBy("gram").agg(F.sum("n").alias("all")).where("all > 1").select("gram")
     shared = rows.join(phrases.join(repeated, "gram").select("gram", "phrase", (F.col("n") > 1).alias("again")), ["gram", "phrase"])
-    kept = staged(shared.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct(*_FIELDS))).alias("anchors")), "anchors-shared")
+    codes = shared.groupBy("doc", "row").agg(F.collect_list(F.col("seq") * 2 + F.col("again").cast("int")).alias("codes"))
+    own = anchored.groupBy("doc", "row").agg(F.count("*").alias("copies"), F.first("anchors").alias("anchors"))
+    kept = staged(by_arrays(own.join(codes, ["doc", "row"]).select("doc", "row", "copies", "anchors", "codes"), _kept, _KEPT), "anchors-shared")
     discard(anchored)
     found = suffix_marks(kept, base)
     edges = edge_marks(texts, kept, found)
-    marks = found.union(edges).groupBy("doc", "row").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks"))
-    ready = texts.join(marks, ["doc", "row"], "left")
+    ready = texts.join(_marks_by_row(found.union(edges)), ["doc", "row"], "left")
     return by_batch(ready.select("doc_id", "text", "marks"), _finish, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, marks array<array<int>>")

@@ -7,6 +7,9 @@ sorts, one with each half of the sample, count how many of either half come befo
 
 A text short enough for BASE is sorted in one task, by doubling; that is the end of the recursion and its size is fixed.
 A triple that is very common is one row where it is named, and the key of a plain join after that.
+
+Where only the first symbols of suffixes are compared, their order beyond these decides nothing. Then `equal_neighbours` sorts the
+suffixes by their prefixes, dealt out by range, and compares each with those beside it.
 """
 
 from __future__ import annotations
@@ -15,6 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,6 +98,48 @@ def with_following(df: DataFrame, value: str, one: str, two: str) -> DataFrame:
     return dealt.select("*", after(1, one), after(2, two)).where(F.col("block") == block).drop("block")
 
 
+def equal_neighbours(suffixes: DataFrame, slices: int, at_once: int, name: str) -> DataFrame:
+    """piece and k of the suffixes (piece, k, prefix) whose prefix is that of a neighbour in the order of prefix, piece and k.
+
+    Suffixes of one prefix may lie in several tasks: the first and the last one of each task are compared on the driver."""
+    order = ["prefix", "piece", "k"]
+    laid = suffixes.select(*order).repartitionByRange(slices, *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = TaskContext.get().partitionId()
+        last, shown = None, True
+
+        def end(kind: int, prefix: bytes | None, piece: bytes, k: int) -> pa.RecordBatch:
+            x = [here], [kind], [piece], [k], [prefix and xxhash.xxh3_128_digest(prefix)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(x, types)], names=names)
+
+        types, names = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()), ["slice", "kind", "piece", "k", "digest"]
+        for batch in batches:
+            for start in range(0, batch.num_rows, at_once):
+                part = batch.slice(start, at_once)
+                prefix, piece, k = part.columns
+                row = lambda i: (prefix[i].as_py(), piece[i].as_py(), k[i].as_py())
+                if last is None:
+                    yield end(1, *row(0))
+                before = np.append(last is not None and last[0] == prefix[0].as_py(), pc.equal(prefix[1:], prefix[:-1]).to_numpy(zero_copy_only=False)).astype(bool)
+                if before[0] and not shown:
+                    yield end(0, None, *last[1:])
+                found = np.flatnonzero(before | np.append(before[1:], False))
+                if len(found):
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array([here] * n, types[0]), pa.array([0] * n, types[1]), piece.take(pa.array(found)), k.take(pa.array(found)), pa.nulls(n, types[4])], names=names)
+                last, shown = row(part.num_rows - 1), bool(before[-1])
+        if last is not None:
+            yield end(2, *last)
+
+    out = staged(laid.mapInArrow(run, "slice int, kind int, piece binary, k int, digest binary"), name)
+    # Two rows per task come to the driver.
+    ends = sorted(out.where("kind > 0").select("slice", "kind", "digest", "piece", "k").collect())
+    more = [(bytes(x.piece), x.k) for a, b in zip(ends[1::2], ends[2::2]) if a.digest == b.digest for x in (a, b)]
+    found = out.where("kind = 0").select("piece", "k")
+    return found.union(suffixes.sparkSession.createDataFrame(more, "piece binary, k int")) if more else found
+
+
 def suffix_ranks(text: DataFrame, n: int, base: int = BASE) -> DataFrame:
     """i and rank, from 1, of every suffix of a text (i from 0, symbol c from 1) of n symbols. Shorter suffixes come before their continuations."""
     if n <= base:

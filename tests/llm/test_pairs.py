@@ -154,6 +154,16 @@ def test_suffix_ranks(spark, n, letters, monkeypatch):
         assert order == sorted(range(n), key=lambda i: c[i:]) and len({r["rank"] for r in got}) == n
 
 
+@pytest.mark.parametrize("slices,at_once", [(7, 3), (1, 1), (4, 1000)])
+def test_equal_neighbours(spark, slices, at_once):
+    """Suffixes of one prefix find each other in one task and in several, whether few or most of all rows."""
+    r = random.Random(slices)
+    prefixes = [b"common"] * 60 + [bytes([r.randrange(40)]) * r.randrange(1, 4) for _ in range(60)] + [b"", b"z"]
+    rows = [(bytes([r.randrange(5)]), k, p) for k, p in enumerate(prefixes)]
+    got = suffix_array.equal_neighbours(spark.createDataFrame(rows, "piece binary, k int, prefix binary"), slices, at_once, "test-order").collect()
+    assert {(bytes(x.piece), x.k) for x in got} == {(piece, k) for piece, k, p in rows if prefixes.count(p) > 1}
+
+
 def test_anchors_give_each_window_its_smallest_gram(monkeypatch):
     r = random.Random(5)
     for letters in ("ab", "a", "abcdefgh"):
@@ -206,6 +216,24 @@ def test_substring_dedup_of_nothing(spark, awkward):
     assert substring_dedup.dedup(awkward.limit(0)).collect() == []
 
 
+def test_more_suffixes_take_no_more_rounds(spark, monkeypatch):
+    """Suffixes that fit no single task are dealt out and sorted in as many steps as few ones; each task reads few of them."""
+    r = random.Random(21)
+    shared = "".join(r.choice("abcdefghij ") for _ in range(4000))
+    texts = [f"{k} {shared[k * 10 :]}{k}" for k in range(12)] + ["line of a log that repeats; " * 80]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    steps = []
+    for module in (substring_dedup, suffix_array):
+        monkeypatch.setattr(module, "staged", lambda df, name, f=module.staged: steps.append(name) or f(df, name))
+    results, counts = [], []
+    for base in (1 << 18, 16):
+        steps.clear()
+        results.append(sorted(tuple(x)[:5] for x in substring_dedup.dedup(docs, base).collect()))
+        counts.append(len(steps))
+    assert results[0] == results[1] == [(d, *w) for d, w in enumerate(brute_removed(texts))]
+    assert counts[0] == counts[1]
+
+
 def test_neighbouring_suffixes_decide(spark):
     """Phrases that occur again, but never over 200 bytes, are not marked; a longer run of them is, whatever stands before and after it."""
     r = random.Random(8)
