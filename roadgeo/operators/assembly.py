@@ -93,6 +93,7 @@ def ways(
     """
     gathered = (
         way_vertices(elements, without_refs)
+        .repartition("way_id")  # as they are: gathered in part by node they are larger, and are sorted once more
         .groupBy("way_id")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("v"))
     )

@@ -1,10 +1,13 @@
 """Distance join on a grid: pairs of rows whose geometries are nearer than ``d``.
 
 A partition-based spatial join in DataFrame operations. Each row is placed in the grid cells its
-bounding box covers, one side widened by ``d``; an equi join on the cell brings candidates
-together; a pair is kept only in its reference cell, so no pair is met twice and nothing has to be
-made distinct. Long lines are placed segment by segment, so that a diagonal road does not fill the
-whole rectangle around it.
+bounding box covers, widened by half of ``d``; what shares a cell is a candidate; a pair is kept
+only in its reference cell, so no pair is met twice and nothing has to be made distinct. Long lines
+are placed segment by segment, so that a diagonal road does not fill the whole rectangle around it.
+
+Rows travel by tiles of many cells, which a row seldom leaves, and a tile's rows are joined where
+they arrive, in numpy; a self join sends them once. A crowded tile is joined cell by cell instead,
+by an equi join on the cell, and its crowded cells are split.
 """
 
 from __future__ import annotations
@@ -12,13 +15,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadgeo.functions import bbox, distance_once
+from roadgeo.operators.tile_join import near_in_tiles
 from roadgeo.types import BBOX_COLUMNS, has_bbox
 
 HOT_CELL_ROWS = 20_000  # rows that a split of a cell holds of one side, about
+TILE_CELLS = 8  # cells along the side of a tile
+KEY_BUCKETS = 1 << 16  # of the hashes of keys that come more than once
 
 BOX = "box"
+OWN = "own_"
 CELL_RANGE = ("cx0", "cy0", "cx1", "cy1")
 
 
@@ -86,14 +94,49 @@ def _in_cells(df: DataFrame) -> DataFrame:
     return across.withColumn("cy", F.explode(F.sequence("cy0", "cy1")))
 
 
-def _placed(df: DataFrame, prefix: str, geom: str, cell: float, span: float, margin: float):
-    """One side of the join: its pieces, one row per cell; own columns get ``prefix``."""
-    kept = [c for c in df.columns if c != geom and c not in BBOX_COLUMNS]
-    pieces = _boxed(df, geom).select(*kept, F.explode(_pieces(geom, span)).alias("piece"))
-    placed = pieces.select(*kept, F.col("piece.box").alias(BOX), F.col("piece.g").alias("g"))
-    placed = _in_cells(placed.select("*", *_cell_range(cell, margin)))
-    own = [*kept, BOX, "g", "cx0", "cy0"]
-    return placed.select(*[F.col(c).alias(prefix + c) for c in own], "cx", "cy")
+def _kept(df: DataFrame, geom: str) -> list[str]:
+    return [c for c in df.columns if c != geom and c not in BBOX_COLUMNS]
+
+
+def _repeated_keys(df: DataFrame, key: str, geom: str) -> DataFrame:
+    """Buckets of the keys that come more than once: at most ``KEY_BUCKETS`` rows."""
+    counts = _boxed(df, geom).groupBy(key).count().filter("count > 1")
+    return counts.select(_bucket(key)).distinct()
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).alias("_bucket")
+
+
+def _pieced(df: DataFrame, key: str, geom: str, span: float, repeated: DataFrame | None = None) -> DataFrame:
+    """The pieces of all rows: own columns, ``box``, ``g`` and ``several``, whether a pair may be met in more than one of them."""
+    boxed = _boxed(df, geom)
+    several = F.coalesce(_is_long(span, geom), F.lit(False))
+    if repeated is not None:
+        boxed = boxed.withColumn("_bucket", _bucket(key)).join(
+            F.broadcast(repeated.withColumnRenamed("_bucket", "_again")), F.col("_bucket") == F.col("_again"), "left"
+        )
+        several |= F.col("_again").isNotNull()
+    own = [F.col(c).alias(OWN + c) for c in _kept(df, geom)]
+    pieces = boxed.select(*own, several.alias("several"), F.explode(_pieces(geom, span)).alias("piece"))
+    return pieces.select("*", F.col("piece.box").alias(BOX), F.col("piece.g").alias("g")).drop("piece")
+
+
+def _in_tiles(pieces: DataFrame, cell: float, margin: float) -> DataFrame:
+    """One row per tile that the box meets after widening it by ``margin``; tx0 and ty0 are the lowest ones."""
+    placed = _in_cells(pieces.select("*", *_cell_range(TILE_CELLS * cell, margin)))
+    return placed.drop("cx1", "cy1").withColumnsRenamed({"cx": "tx", "cy": "ty", "cx0": "tx0", "cy0": "ty0"})
+
+
+def _in_tile_cells(tiled: DataFrame, prefix: str, cell: float, margin: float) -> DataFrame:
+    """One row per cell of a row's tile that the box meets; own columns get ``prefix``."""
+    placed = tiled.select("*", *_cell_range(cell, margin))
+    for c in ("x", "y"):
+        first = f"greatest(c{c}0, t{c} * {TILE_CELLS})"
+        last = f"least(c{c}1, t{c} * {TILE_CELLS} + {TILE_CELLS - 1})"
+        placed = placed.withColumn(f"c{c}", F.explode(F.expr(f"if({first} <= {last}, sequence({first}, {last}), array())")))
+    own = [F.col(c).alias(prefix + c.removeprefix(OWN)) for c in tiled.columns if c.startswith(OWN)]
+    return placed.select(*own, *[F.col(c).alias(prefix + c) for c in (BOX, "g", "cx0", "cy0")], "cx", "cy")
 
 
 def _crowded(df: DataFrame, geom: str, cell: float, span: float, margin: float, hot_rows: int):
@@ -124,11 +167,27 @@ def _split_table(a_hot: DataFrame, b_hot: DataFrame) -> DataFrame:
     )
 
 
+def _crowded_tiles(a: DataFrame, b: DataFrame, geom: str, cell: float, span: float, margin: float, hot_rows: int) -> DataFrame:
+    """(tx, ty) of the tiles in which a side has more than ``hot_rows`` pieces: few, as each holds that many."""
+    wide = TILE_CELLS * cell
+    hot = _crowded(a, geom, wide, span, margin, hot_rows)
+    # of one table, the widened boxes fill each tile at least as much as the boxes themselves
+    if a is not b:
+        hot = hot.unionByName(_crowded(b, geom, wide, span, 0.0, hot_rows))
+    return hot.select(F.col("cx").alias("tx"), F.col("cy").alias("ty")).distinct()
+
+
+def _hot_cells(side: DataFrame, hot_rows: int) -> DataFrame:
+    """The cells with more than ``hot_rows`` rows of a placed side, with the splits they need."""
+    counts = side.groupBy("cx", "cy").count().filter(F.col("count") > hot_rows)
+    return counts.select("cx", "cy", F.ceil(F.col("count") / F.lit(hot_rows)).cast("int").alias("splits"))
+
+
 def _salted(side: DataFrame, prefix: str, key: str, splits: DataFrame) -> DataFrame:
     """Deal the rows of a split cell over its splits, and repeat them for the other side's."""
     own, other = ("a", "b") if prefix == "a_" else ("b", "a")
-    # not a hint: Spark broadcasts the table if its size allows, and splits a crowded key if not
-    found = side.join(splits, ["cx", "cy"], "left")
+    # a row for ``hot_rows`` pieces at least, so broadcast: else Spark would shuffle the whole side for it first
+    found = side.join(F.broadcast(splits), ["cx", "cy"], "left")
     n_own = F.coalesce(f"{own}_splits", F.lit(1))
     n_other = F.coalesce(f"{other}_splits", F.lit(1))
     dealt = found.withColumn(f"{own}_salt", F.pmod(F.xxhash64(prefix + key), n_own))
@@ -138,51 +197,73 @@ def _salted(side: DataFrame, prefix: str, key: str, splits: DataFrame) -> DataFr
     ).drop("a_splits", "b_splits")
 
 
-def candidate_pairs(
-    a: DataFrame,
-    b: DataFrame,
-    d: float,
-    *,
-    key: str = "id",
-    geom: str = "geometry",
-    once: bool = False,
-    cell: float | None = None,
-    hot_rows: int | None = HOT_CELL_ROWS,
-) -> DataFrame:
-    """Pairs of pieces whose boxes are within ``d``: the columns of both sides, ``a_g``, ``b_g``."""
-    cell = cell or 2.0 * d
-    span = 2.0 * cell
-    margin = d * (1 + 1e-9)
-    left = _placed(a, "a_", geom, cell, span, margin)
-    right = _placed(b, "b_", geom, cell, span, 0.0)
-    on = ["cx", "cy"]
-    if hot_rows:
-        hot = _crowded(a, geom, cell, span, margin, hot_rows)
-        # of one table, the widened boxes fill each cell at least as much as the boxes themselves
-        splits = _split_table(hot, hot if a is b else _crowded(b, geom, cell, span, 0.0, hot_rows))
-        left = _salted(left, "a_", key, splits)
-        right = _salted(right, "b_", key, splits)
-        on += ["a_salt", "b_salt"]
-    l, r = left.alias("l"), right.alias("r")
-    condition = (
-        (F.col("l.cx") == F.greatest("a_cx0", "b_cx0"))
-        & (F.col("l.cy") == F.greatest("a_cy0", "b_cy0"))
-        & (F.col("a_box.xmin") - margin <= F.col("b_box.xmax"))
-        & (F.col("b_box.xmin") <= F.col("a_box.xmax") + margin)
-        & (F.col("a_box.ymin") - margin <= F.col("b_box.ymax"))
-        & (F.col("b_box.ymin") <= F.col("a_box.ymax") + margin)
-    )
-    for c in on:
-        condition = (F.col(f"l.{c}") == F.col(f"r.{c}")) & condition
-    if once:
-        condition &= F.col(f"a_{key}") < F.col(f"b_{key}")
-    columns = [
-        f"{p}{c}"
-        for p, side in (("a_", a), ("b_", b))
-        for c in side.columns
-        if c != geom and c not in BBOX_COLUMNS
-    ]
-    return l.join(r, condition).select(*columns, "a_g", "b_g")
+class _Grid:
+    """Both sides of a join in pieces, and the ways to pair them."""
+
+    def __init__(self, a, b, d, key, geom, once, cell, hot_rows, find_repeated):
+        if not d > 0:
+            raise ValueError("the distance must be positive")
+        self.d, self.key, self.once, self.hot_rows = d, key, once, hot_rows
+        self.cell = cell or 2.0 * d
+        self.margin = d * (1 + 1e-9)  # between boxes; each is widened by half of it
+        self.half = self.margin / 2
+        span = 2.0 * self.cell
+        fields = [(p, side.schema[c]) for p, side in (("a_", a), ("b_", b)) for c in _kept(side, geom)]
+        self.own = [T.StructField(p + f.name, f.dataType) for p, f in fields]
+
+        def pieced(side):
+            return _pieced(side, key, geom, span, _repeated_keys(side, key, geom) if find_repeated else None)
+
+        self.same = a is b
+        self.a = pieced(a)
+        self.b = self.a if self.same else pieced(b)
+        self.tiles = None
+        if hot_rows:
+            self.tiles = _crowded_tiles(a, b, geom, self.cell, span, self.half, hot_rows)
+
+    def near(self, several: bool | None = None) -> DataFrame:
+        """Pairs nearer than the distance in the tiles that are not crowded. ``several`` takes only those with, or only
+        those without a side that may be met in several pieces."""
+
+        def named(pieces, prefix, mark):
+            own = {c: prefix + c.removeprefix(OWN) for c in pieces.columns if c.startswith(OWN)}
+            return pieces.withColumnsRenamed(own).withColumn("from_a", F.lit(mark))
+
+        pieces = self.a if self.same else named(self.a, "a_", True).unionByName(named(self.b, "b_", False), allowMissingColumns=True)
+        tiled = _in_tiles(pieces, self.cell, self.half)
+        if self.tiles is not None:
+            tiled = tiled.join(F.broadcast(self.tiles), ["tx", "ty"], "left_anti")
+        dealt = tiled.repartition("tx", "ty").sortWithinPartitions("tx", "ty")
+        sizes = (self.d, self.margin, self.cell, TILE_CELLS)
+        return near_in_tiles(dealt, *sizes, self.own, self.key, self.once, OWN if self.same else None, several)
+
+    def crowded(self) -> DataFrame | None:
+        """Pairs nearer than the distance in crowded tiles: cells are dealt, and crowded ones are split in both directions."""
+        if self.tiles is None:
+            return None
+        left, right = (
+            _in_tile_cells(
+                _in_tiles(pieces, self.cell, self.half).join(F.broadcast(self.tiles), ["tx", "ty"], "left_semi"),
+                prefix, self.cell, self.half,
+            )
+            for pieces, prefix in ((self.a, "a_"), (self.b, "b_"))
+        )
+        splits = _split_table(_hot_cells(left, self.hot_rows), _hot_cells(right, self.hot_rows))
+        l = _salted(left, "a_", self.key, splits).alias("l")
+        r = _salted(right, "b_", self.key, splits).alias("r")
+        condition = (
+            (F.col("l.cx") == F.greatest("a_cx0", "b_cx0"))
+            & (F.col("l.cy") == F.greatest("a_cy0", "b_cy0"))
+            & (F.col("a_box.xmin") - self.margin <= F.col("b_box.xmax"))
+            & (F.col("b_box.xmin") <= F.col("a_box.xmax") + self.margin)
+            & (F.col("a_box.ymin") - self.margin <= F.col("b_box.ymax"))
+            & (F.col("b_box.ymin") <= F.col("a_box.ymax") + self.margin)
+        )
+        for c in ("cx", "cy", "a_salt", "b_salt"):
+            condition = (F.col(f"l.{c}") == F.col(f"r.{c}")) & condition
+        if self.once:
+            condition &= F.col(f"a_{self.key}") < F.col(f"b_{self.key}")
+        return _near(l.join(r, condition).select(*[f.name for f in self.own], "a_g", "b_g"), self.d)
 
 
 def distance_join(
@@ -202,17 +283,20 @@ def distance_join(
     geometry and box) and ``distance``. ``key`` is unique on each side. ``once`` keeps pairs with
     ``a.key < b.key`` only, for a self join.
 
-    The grid cell is ``2 d`` wide unless given. A cell in which a side holds more than
-    ``hot_rows`` rows is split in both directions, so that no task gets more than about
-    ``hot_rows`` rows of either side. A stored bounding box makes that count a narrow scan.
-    Polygons are placed by their whole box, so give a larger ``cell`` for large ones.
+    The grid cell is ``2 d`` wide unless given. A tile in which a side holds more than ``hot_rows``
+    rows is joined cell by cell, and a cell with more is split in both directions, so that no task
+    gets more than about ``hot_rows`` rows of either side of a cell. A stored bounding box makes
+    that count a narrow scan. Polygons are placed by their whole box, so give a larger ``cell`` for
+    large ones.
+
+    Only pairs that may be met more than once are shuffled and merged: those with a long line or
+    with a key that comes again, and those of crowded tiles.
     """
-    if not d > 0:
-        raise ValueError("the distance must be positive")
-    pairs = candidate_pairs(
-        a, b, d, key=key, geom=geom, once=once, cell=cell, hot_rows=hot_rows
-    )
-    return _merged(_near(pairs, d))
+    grid = _Grid(a, b, d, key, geom, once, cell, hot_rows, find_repeated=True)
+    more, crowded = grid.near(several=True), grid.crowded()
+    if crowded is not None:
+        more = more.unionByName(crowded)
+    return grid.near(several=False).unionByName(_merged(more))
 
 
 def _near(pairs: DataFrame, d: float) -> DataFrame:
@@ -243,10 +327,11 @@ def first_pairs(
 
     Every partition keeps the pieces of its first ``n`` distinct pairs, and only these are shuffled and merged.
     """
-    pairs = candidate_pairs(
-        a, b, d, key=key, geom=geom, once=once, cell=cell, hot_rows=hot_rows
-    )
+    grid = _Grid(a, b, d, key, geom, once, cell, hot_rows, find_repeated=False)
+    near, crowded = grid.near(), grid.crowded()
+    if crowded is not None:
+        near = crowded.unionByName(near)
     keys = [f"a_{key}", f"b_{key}"]
     rank = F.dense_rank().over(W.orderBy(*keys))
-    first = _near(pairs, d).withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    first = near.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
     return _merged(first).orderBy(*keys).limit(n)

@@ -41,7 +41,7 @@ from roadgeo.sources.geoparquet import geo_footers
 from roadgeo.sources.gpx import read_gpx, track_name
 from roadgeo.sources.osm import read_osm, stage_elements
 from roadgeo.sources.pbf_sink import write_osm_pbf
-from roadgeo.sources.scratch import scratch_path
+from roadgeo.sources.scratch import scratch_path, without_shuffle_files
 from roadgeo.types import BBOX_COLUMNS, GEOMETRY
 
 DIGITS = 9
@@ -84,9 +84,12 @@ def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored_ways(spark: SparkSession, sf_dir: str, *keep_tags: str) -> DataFrame:
     """The ways assembled once and stored with their boxes, for the joins, which read each side twice: once to count crowded
-    cells, from the boxes alone."""
+    tiles, from the boxes alone. Of the tags only those named are taken along."""
     path = scratch_path(spark, "ways")
-    tables.write_geometry_parquet(_ways(spark, sf_dir), path, keep_tags=keep_tags)
+    elements = _elements(spark, sf_dir)
+    tags = F.map_filter("tags", lambda k, _: k.isin(*keep_tags))
+    with without_shuffle_files(spark):
+        tables.write_geometry_parquet(assembly.ways(elements.withColumn("tags", tags)), path, keep_tags=keep_tags)
     return tables.read_geometry_parquet(spark, path)
 
 

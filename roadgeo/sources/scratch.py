@@ -7,9 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the cluster's shared folder, spark.checkpoint.dir.
@@ -24,3 +28,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     own = os.path.join(tempfile.gettempdir(), f"roadgeo-{uuid.uuid4().hex}")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     return f"{own}/{name}"
+
+
+@contextmanager
+def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files behind: else they stay until the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)

@@ -3,13 +3,15 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from roadgeo.functions import st_distance, st_geomfromwkt, st_intersects
 from roadgeo.functions import line_from_vertices
-from roadgeo.operators.distance_join import _crowded, _split_table, distance_join, first_pairs
+from roadgeo.operators.distance_join import _crowded, _in_tiles, _pieced, _split_table, distance_join, first_pairs
 from roadgeo.operators.range_filter import range_filter
+from roadgeo.operators.tile_join import whole_tiles
 from roadgeo.plans import road_queries as Q
 from roadgeo.plans.road_sql import register_roads
 from roadgeo.sources import tables
@@ -173,3 +175,50 @@ def test_pairs_of_sql_text(spark, d):
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("ArrowEvalPython") == 1
     assert len(re.findall(r"c#\d+\.(?:xmax|ymax)\) <=", text)) == 4
+
+
+def test_a_row_seldom_travels_twice(spark):
+    """Before, a short road was sent nearly six times, once for each of the cells that it or its surroundings meet."""
+    rng = random.Random(9)
+    rows = [(i, f"LINESTRING({x} {y},{x + 0.003} {y + 0.003})") for i in range(2000) for x, y in [(rng.uniform(-1, 1), rng.uniform(-1, 1))]]
+    roads = spark.createDataFrame(rows, "id bigint, t string").select("id", st_geomfromwkt(F.col("t")).alias("geometry"))
+    placed = _in_tiles(_pieced(roads, "id", "geometry", 0.04), 0.02, 0.005)
+    assert 2000 < placed.count() < 2 * 1.3 * 2000
+
+
+@pytest.mark.parametrize("hot_rows", [None, 5, 20_000])
+def test_rows_with_one_key_count_as_one(spark, hot_rows):
+    """The least distance of all rows with that key, near each other or not, long or short; a null key is no key of a self join."""
+    rows = [(1, "LINESTRING(0 0,0.001 0)"), (1, "LINESTRING(0 0,0.001 0)"), (1, "LINESTRING(0.9 0,0.9 0.001)"), (1, "LINESTRING(0 0.5,3 0.5)"),
+            (2, "POINT(0 0.004)"), (2, "POINT(0.9 -0.002)"), (3, "POINT(2.5 0.503)"), (3, "POINT(1 0.507)"), (4, "POINT(0.9 0.008)"),
+            (None, "POINT(0 0)"), (None, "POINT(0 0)")]
+    a = spark.createDataFrame(rows, "id bigint, t string").select("id", st_geomfromwkt(F.col("t")).alias("geometry"))
+    want = {(1, 2): 0.002, (1, 3): 0.003, (1, 4): 0.007}
+    assert as_set(distance_join(a, a, 0.01, once=True, hot_rows=hot_rows)) == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()}
+    first = first_pairs(a, a, 0.01, 2, once=True, hot_rows=hot_rows).collect()
+    assert [(r["a_id"], r["b_id"], pytest.approx(r["distance"], rel=1e-9)) for r in first] == [(1, 2, 0.002), (1, 3, 0.003)]
+    both = as_set(distance_join(a, a.select("*"), 0.01, hot_rows=hot_rows))
+    assert {k: both[k] for k in want} == {k: pytest.approx(v, rel=1e-9) for k, v in want.items()}
+    assert both[None, None] == 0 and both[1, None] == 0 and both[2, 1] == pytest.approx(0.002, rel=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(9,2)", "date", "double"])
+def test_keys_of_other_types(spark, kind):
+    a = shapes(spark, 80, 11, crowd=0.3)
+    cast = {"date": "date_add(date'2020-01-01', cast(id as int))"}.get(kind, f"cast(id as {kind})")
+    b = a.selectExpr(f"{cast} as id", "geometry")
+    whole = {tuple(sorted(p)) for p in as_set(distance_join(a, a, 0.03, once=True))}
+    back = {r["k"]: r["id"] for r in a.selectExpr("id", f"{cast} as k").collect()}
+    got = distance_join(b, b, 0.03, once=True)
+    assert got.filter("a_id >= b_id").count() == 0
+    assert {tuple(sorted((back[r["a_id"]], back[r["b_id"]]))) for r in got.collect()} == whole
+
+
+def test_whole_tiles():
+    """Chunks end where a tile ends, whatever the batches."""
+    tx = [0] * 3 + [1] * 10 + [2] + [3] * 2 + [4] * 30
+    table = pa.table({"tx": tx, "ty": [x // 3 for x in tx]})
+    for size in (1, 4, 7, 100):
+        found = [t["tx"].to_pylist() for t in whole_tiles(iter(table.to_batches(max_chunksize=size)), at_least=5)]
+        assert sum(found, []) == tx
+        assert all(not set(p) & set(q) for p, q in zip(found, found[1:]))

@@ -98,3 +98,11 @@ def test_library_keeps_data_off_the_driver():
         text = path.read_text()
         for call in (".collect(", ".toPandas(", ".toLocalIterator(", "localCheckpoint", ".rdd", "crossJoin"):
             assert call not in text, f"{call} in {path.name}"
+
+
+def test_pairs_met_once_are_not_shuffled(stored):
+    """Rows travel by tile; the pairs of short roads with keys of their own are the result as they are found."""
+    text = plan(Q.nearby_roads(stored))
+    first = text[text.index("Union") : text.index("MapInArrow")]
+    assert "Exchange" not in first and "Aggregate" not in first
+    assert text.index("Exchange hashpartitioning(tx") > text.index("MapInArrow")
