@@ -106,3 +106,10 @@ def test_pairs_met_once_are_not_shuffled(stored):
     first = text[text.index("Union") : text.index("MapInArrow")]
     assert "Exchange" not in first and "Aggregate" not in first
     assert text.index("Exchange hashpartitioning(tx") > text.index("MapInArrow")
+
+
+def test_first_pairs_read_each_road_from_one_exchange(stored):
+    """A self join sends its rows once, not once for each side and again for the table of crowded cells."""
+    text = plan(Q.self_join_nearby(stored))
+    assert text.count("Exchange hashpartitioning(tx") == 1 and text.count("MapInArrow") == 1
+    assert "splits" not in text[text.rindex("MapInArrow") :]
