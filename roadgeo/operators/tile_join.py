@@ -18,27 +18,33 @@ from pyspark.sql import types as T
 from roadgeo.functions import kernels
 
 CHUNK_ROWS = 1 << 15  # rows joined at a time, if tiles are small
+ROW_BYTES = 1 << 11  # of a row that counts as one: larger ones count as several
 PAIR_BLOCK = 1 << 18  # candidates looked at a time
 
 
+def _weight(rows: pa.RecordBatch | pa.Table) -> int:
+    return max(rows.num_rows, rows.nbytes // ROW_BYTES)
+
+
 def whole_tiles(batches: Iterator[pa.RecordBatch], at_least: int = CHUNK_ROWS) -> Iterator[pa.Table]:
     """Rows that are sorted by tile, in tables of whole tiles with about as many rows."""
     held: list[pa.RecordBatch] = []
-    rows, enough = 0, at_least
+    weight, enough = 0, at_least
     for batch in batches:
         held.append(batch)
-        rows += batch.num_rows
-        if rows < enough:
+        weight += _weight(batch)
+        if weight < enough:
             continue
         table = pa.Table.from_batches(held)
         cut = _starts(table)[-1]
         if not cut:  # one tile so far
-            enough = 2 * rows
+            enough = 2 * weight
             continue
         yield table.slice(0, cut)
-        held = table.slice(cut).to_batches()
-        rows, enough = table.num_rows - cut, max(at_least, 2 * (table.num_rows - cut))
-    if rows:
+        rest = table.slice(cut)
+        held, weight = rest.to_batches(), _weight(rest)
+        enough = max(at_least, 2 * weight)
+    if held:
         yield pa.Table.from_batches(held)
 
 

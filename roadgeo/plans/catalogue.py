@@ -97,9 +97,9 @@ def _road_query(fn, shape=lambda df: df, ways=_ways):
     return lambda spark, sf_dir: _rounded(shape(fn(ways(spark, sf_dir))))
 
 
-def _road_text(name, shape=lambda df: df):
+def _road_text(name, shape=lambda df: df, ways=_ways):
     """A road query by its SQL text."""
-    return lambda spark, sf_dir: _rounded(shape(run_text(spark, _ways(spark, sf_dir), name[:3])))
+    return lambda spark, sf_dir: _rounded(shape(run_text(spark, ways(spark, sf_dir), name[:3])))
 
 
 def _stored_names(spark, sf_dir):
@@ -624,7 +624,7 @@ ROADS = {
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{name: _road_query(*how) for name, how in ROADS.items()},
-    **{f"sql_{name}": _road_text(name, *how[1:2]) for name, how in ROADS.items()},
+    **{f"sql_{name}": _road_text(name, *how[1:]) for name, how in ROADS.items()},
     "osm_points": osm_points,
     "osm_points_strict": osm_points_strict,
     "osm_points_dropped": osm_points_dropped,

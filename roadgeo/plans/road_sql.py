@@ -29,8 +29,9 @@ def _cells() -> str:
     """The cells that a box meets, each with the lowest ones of its row and column and with the box."""
     box = ", ".join(f"'{side}', array_{side[1:]}(transform(flatten(g.parts), v -> v.{side[0]}))" for side in _BOX)
     sides = ", ".join(f"'{side}', b.{side}" for side in _BOX)
-    first = {"x0": "b.xmin - margin", "y0": "b.ymin - margin", "x1": "b.xmax + margin", "y1": "b.ymax + margin"}
-    ends = ", ".join(f"'{name}', cast(floor(({edge}) / cell) AS BIGINT)" for name, edge in first.items())
+    edge = lambda side, sign: f"b.{side} {sign} (margin + 1e-14D * abs(b.{side}))"
+    first = {"x0": edge("xmin", "-"), "y0": edge("ymin", "-"), "x1": edge("xmax", "+"), "y1": edge("ymax", "+")}
+    ends = ", ".join(f"'{name}', cast(floor(({at}) / cell) AS BIGINT)" for name, at in first.items())
     across = f"""transform(sequence(b.x0, b.x1), cx ->
       transform(sequence(b.y0, b.y1), cy -> named_struct('cx', cx, 'cy', cy, 'x0', b.x0, 'y0', b.y0, {sides})))"""
     boxes = f"filter(array(named_struct({box})), b -> b.xmin IS NOT NULL)"
@@ -44,16 +45,17 @@ def _near(low: str, high: str) -> str:
 
 
 def _pairs() -> str:
-    """Rows of the view meet in the cells of a grid, one side widened; a pair counts in the first cell that both meet.
+    """Rows of the view meet in the cells of a grid, widened by half the distance; a pair counts in the first cell that both meet.
 
-    Cells are wider than the distance, so most of what meets in one is too far apart: boxes decide that before the distance."""
-    side = lambda margin: f"SELECT *, explode(cells) AS c FROM (SELECT *, st_cells(geometry, {margin}, 2 * d) AS cells FROM {VIEW})"
+    Both sides are placed alike, so that one exchange serves both. Cells are much wider than the distance, so that few rows
+    lie in several: what meets in one is mostly too far apart, and boxes decide that before the distance."""
+    side = f"SELECT *, explode(cells) AS c FROM (SELECT *, st_cells(geometry, 0.5D * d * (1 + 1e-9D), 4 * d) AS cells FROM {VIEW})"
     near = " AND ".join(_near(f"{p}.c.{axis}min", f"{q}.c.{axis}max") for p, q in ("ab", "ba") for axis in "xy")
     # the distance comes out of an array: as a column that is filtered on, the optimizer would compute it twice
     return f"""
     SELECT id, tags, other_id, other_tags, distance FROM (
       SELECT a.id AS id, a.tags AS tags, a.geometry AS geometry, b.id AS other_id, b.tags AS other_tags, b.geometry AS other_geometry
-      FROM ({side("d * (1 + 1e-9D)")}) a JOIN ({side("0D")}) b
+      FROM ({side}) a JOIN ({side}) b
         ON a.c.cx = b.c.cx AND a.c.cy = b.c.cy AND a.id < b.id
         AND a.c.cx = greatest(a.c.x0, b.c.x0) AND a.c.cy = greatest(a.c.y0, b.c.y0)
         AND {near}

@@ -1,9 +1,10 @@
 """Every query of the catalogue against its DuckDB statement."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from roadgeo.plans.catalogue import QUERIES
+from roadgeo.plans.catalogue import QUERIES, _stored_names
 from tools import compare
 
 
@@ -29,6 +30,16 @@ def test_joins_read_stored_ways(spark, sf_dir, name):
     assert "l_orderkey" not in text and "xmin" in text
 
 
+def test_nearby_pairs_by_sql_text_read_stored_ways(spark, sf_dir):
+    """Stored with the name alone of their tags, and without shuffle files of the assembly left behind."""
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    text = QUERIES["sql_q15_self_join_nearby"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "l_orderkey" not in text and "FileScan parquet" in text
+    assert spark.conf.get(cleanup) == before
+    assert set(_stored_names(spark, sf_dir).select(F.explode("tags").alias("k", "v")).distinct().select("k").toPandas()["k"]) == {"name"}
+
+
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns[0] == "highway_type" and df.count() == 4

@@ -222,3 +222,18 @@ def test_whole_tiles():
         found = [t["tx"].to_pylist() for t in whole_tiles(iter(table.to_batches(max_chunksize=size)), at_least=5)]
         assert sum(found, []) == tx
         assert all(not set(p) & set(q) for p, q in zip(found, found[1:]))
+
+
+def test_both_sides_of_near_pairs_read_one_exchange(spark, tmp_path):
+    a = shapes(spark, 120, seed=6, crowd=0.2).withColumn("tags", F.create_map(F.lit("name"), F.lit("x")))
+    tables.write_geometry_parquet(a, str(tmp_path / "a"))
+    register_roads(spark, tables.read_geometry_parquet(spark, str(tmp_path / "a")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = spark.sql("SELECT id AS a_id, other_id AS b_id, distance FROM near_pairs(0.05D)")
+        got = as_set(pairs)
+        final = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == as_set(brute(a.select("id", "geometry"), a.select("id", "geometry"), 0.05, once=True))
+    assert final.count("ReusedExchange") == 1
