@@ -80,6 +80,7 @@ def ways(
     require_complete: bool = False,
     without_refs: Observation | None = None,
     too_short: Observation | None = None,
+    vertices: DataFrame | None = None,
 ) -> DataFrame:
     """Road lines ``(id, tags, geometry)``, vertices in reference order.
 
@@ -88,12 +89,14 @@ def ways(
     ``ways_with_one_vertex``, those without references in ``without_refs`` as
     ``ways_without_refs``. With ``require_complete`` a way also needs every reference resolved.
 
+    Stored ``vertices`` of ``way_vertices`` save finding them again, and ``without_refs`` is theirs then.
+
     A line is one row, so a group is one way. Tags do not travel with the vertices; they join the
     finished lines, which are already placed by id.
     """
+    found = way_vertices(elements, without_refs) if vertices is None else vertices
     gathered = (
-        way_vertices(elements, without_refs)
-        .repartition("way_id")  # as they are: gathered in part by node they are larger, and are sorted once more
+        found.repartition("way_id")  # as they are: gathered in part by node they are larger, and are sorted once more
         .groupBy("way_id")
         .agg(F.sort_array(F.collect_list(F.struct("pos", "x", "y"))).alias("v"))
     )

@@ -41,7 +41,7 @@ from roadgeo.sources.geoparquet import geo_footers
 from roadgeo.sources.gpx import read_gpx, track_name
 from roadgeo.sources.osm import read_osm, stage_elements
 from roadgeo.sources.pbf_sink import write_osm_pbf
-from roadgeo.sources.scratch import scratch_path, without_shuffle_files
+from roadgeo.sources.scratch import discard, scratch_path, without_shuffle_files
 from roadgeo.types import BBOX_COLUMNS, GEOMETRY
 
 DIGITS = 9
@@ -84,12 +84,19 @@ def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored_ways(spark: SparkSession, sf_dir: str, *keep_tags: str) -> DataFrame:
     """The ways assembled once and stored with their boxes, for the joins, which read each side twice: once to count crowded
-    tiles, from the boxes alone. Of the tags only those named are taken along."""
-    path = scratch_path(spark, "ways")
-    elements = _elements(spark, sf_dir)
+    tiles, from the boxes alone. Of the tags only those named are taken along.
+
+    Elements and vertices are stored on the way, so that the shuffle files of one step go before the next one begins."""
     tags = F.map_filter("tags", lambda k, _: k.isin(*keep_tags))
+    elements = _elements(spark, sf_dir).filter("kind <> 'relation'").withColumn("tags", tags)
+    on_the_way = [scratch_path(spark, name) for name in ("elements", "vertices")]
+    path = scratch_path(spark, "ways")
     with without_shuffle_files(spark):
-        tables.write_geometry_parquet(assembly.ways(elements.withColumn("tags", tags)), path, keep_tags=keep_tags)
+        staged = stage_elements(elements, on_the_way[0])
+        assembly.way_vertices(staged).write.parquet(on_the_way[1])
+        lines = assembly.ways(staged, vertices=spark.read.parquet(on_the_way[1]))
+        tables.write_geometry_parquet(lines, path, keep_tags=keep_tags)
+    discard(spark, *on_the_way)
     return tables.read_geometry_parquet(spark, path)
 
 

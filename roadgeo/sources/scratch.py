@@ -39,3 +39,10 @@ def without_shuffle_files(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(_CLEANUP, before)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes intermediate tables that nothing reads any more."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

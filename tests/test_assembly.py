@@ -5,6 +5,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from roadgeo import derived
 from roadgeo.functions import st_astext
 from roadgeo.operators import assembly
 from roadgeo.types import ELEMENTS
@@ -151,3 +152,12 @@ def test_a_node_shared_by_very_many_ways_is_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_stored_vertices_give_the_same_ways(spark, sf_dir, tmp_path):
+    elements = derived.elements(spark, sf_dir)
+    path = str(tmp_path / "vertices")
+    assembly.way_vertices(elements).write.parquet(path)
+    again = assembly.ways(elements, vertices=spark.read.parquet(path)).select("id", "geometry")
+    whole = assembly.ways(elements).select("id", "geometry")
+    assert again.count() == whole.count() and again.exceptAll(whole).count() == 0

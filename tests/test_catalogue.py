@@ -40,6 +40,13 @@ def test_nearby_pairs_by_sql_text_read_stored_ways(spark, sf_dir):
     assert set(_stored_names(spark, sf_dir).select(F.explode("tags").alias("k", "v")).distinct().select("k").toPandas()["k"]) == {"name"}
 
 
+def test_stored_ways_leave_nothing_else(spark, sf_dir, tmp_path, monkeypatch):
+    """What is stored on the way to them is removed."""
+    monkeypatch.setattr("roadgeo.plans.catalogue.scratch_path", lambda _, name: str(tmp_path / name))
+    assert _stored_names(spark, sf_dir).count() > 0
+    assert {p.parent.name for p in tmp_path.rglob("*.parquet") if p.is_file()} == {"ways"}
+
+
 def test_flagship(spark):
     df = entry.entry(spark)
     assert df.columns[0] == "highway_type" and df.count() == 4
