@@ -22,7 +22,7 @@ from roadgeo.operators.tile_join import near_in_tiles
 from roadgeo.types import BBOX_COLUMNS, has_bbox
 
 HOT_CELL_ROWS = 20_000  # rows that a split of a cell holds of one side, about
-TILE_CELLS = 8  # cells along the side of a tile
+TILE_CELLS = 8  # cells along the side of a tile; a power of two, so that a cell lies in one tile whatever is rounded
 KEY_BUCKETS = 1 << 16  # of the hashes of keys that come more than once
 
 BOX = "box"
